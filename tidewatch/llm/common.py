@@ -63,3 +63,22 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fan_in(n: int) -> int:
     """Reducers of a two-level sum over n partial results: about the root of n."""
     return max(1, min(256, int(round(n**0.5))))
+
+
+def add_up(partials: DataFrame, column: str = "part"):
+    """Sum float64 vectors, held as bytes in one row for each task or so, over two levels: no task or driver meets them all."""
+    import numpy as np
+    import pyarrow as pa
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                v = np.frombuffer(x.as_buffer(), np.float64)
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    n = fan_in(partials.sparkSession.sparkContext.defaultParallelism * 16)
+    rows = partials.select(F.col(column).alias("part")).repartition(n).mapInArrow(add, "part binary").collect()
+    return sum((np.frombuffer(r.part, np.float64) for r in rows), start=np.zeros(1)) if rows else None

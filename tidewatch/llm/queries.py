@@ -6,6 +6,8 @@ from importlib import import_module
 
 NAMES = {
     "op2_sharding": "sharding",
+    "op3_quality": "quality",
+    "op4_toxicity": "toxicity",
     "op8_media": "media",
     "op9_mixing": "mixing",
 }
