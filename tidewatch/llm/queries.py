@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op1_decontaminate": "decontaminate",
     "op2_sharding": "sharding",
     "op3_quality": "quality",
     "op4_toxicity": "toxicity",
