@@ -12,6 +12,7 @@ NAMES = {
     "op7_ngram_join": "ngram_join",
     "op8_media": "media",
     "op9_mixing": "mixing",
+    "op10_url_filter": "url_filter",
 }
 
 
