@@ -9,6 +9,7 @@ NAMES = {
     "op2_sharding": "sharding",
     "op3_quality": "quality",
     "op4_toxicity": "toxicity",
+    "op5_pii": "pii",
     "op7_ngram_join": "ngram_join",
     "op8_media": "media",
     "op9_mixing": "mixing",
