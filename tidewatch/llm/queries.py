@@ -10,6 +10,7 @@ NAMES = {
     "op3_quality": "quality",
     "op4_toxicity": "toxicity",
     "op5_pii": "pii",
+    "op6_lm_scoring": "lm_scoring",
     "op7_ngram_join": "ngram_join",
     "op8_media": "media",
     "op9_mixing": "mixing",
