@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -16,11 +17,11 @@ from .params import Params
 class Pipeline:
     """Raw tables to marts. Frames are plans: nothing runs until one is used.
 
-    `keep` may turn a frame that several others read into a written table (see build); without it Spark plans each mart from the raw tables.
+    `keep` stores a frame that several others read (see stored and build); without it Spark plans each mart from the raw tables.
     """
 
     TABLES = ("stg_transactions", "stg_accounts", "stg_patterns", "int_txn_enriched", "int_edges", "int_account_daily", "int_account_activity_days", "int_account_profile", "rule_fan_in_out", "rule_structuring", "rule_pass_through", "rule_cycles", "rule_baseline_anomaly", "rule_dummy_all", "rule_dummy_none", "fct_alerts", "fct_alerts_combined_headline", "fct_alerts_combined_all", "fct_account_split_label", "dim_account", "fct_transactions", "fct_alert_features", "fct_rule_performance", "fct_rule_pattern_recall", "fct_rule_threshold_sensitivity", "fct_rule_overlap")
-    SHARED = ("int_txn_enriched", "int_account_daily", "int_account_activity_days", "fct_alerts", "fct_account_split_label")
+    SHARED = ("int_txn_enriched", "int_account_daily", "int_account_activity_days", "int_account_profile", "fct_alerts", "fct_account_split_label")
 
     def __init__(self, raw: dict[str, DataFrame], params: Params = Params(), keep: Callable[[str, DataFrame], DataFrame] | None = None):
         self.raw, self.params, self.keep = raw, params, keep or (lambda name, df: df)
@@ -63,7 +64,7 @@ class Pipeline:
 
     @cached_property
     def int_account_profile(self) -> DataFrame:
-        return layers.account_profile(self.stg_accounts, self.int_txn_enriched, self.int_edges)
+        return self.keep("int_account_profile", layers.account_profile(self.stg_accounts, self.int_txn_enriched, self.int_edges))
 
     @cached_property
     def rule_fan_in_out(self) -> DataFrame:
@@ -79,7 +80,7 @@ class Pipeline:
 
     @cached_property
     def rule_cycles(self) -> DataFrame:
-        return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles)
+        return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles, lambda df: self.keep("cycle_edges", df))
 
     @cached_property
     def rule_baseline_anomaly(self) -> DataFrame:
@@ -124,7 +125,9 @@ class Pipeline:
     @cached_property
     def evaluation(self) -> evaluate.Evaluation:
         tagged = self.fct_alerts.unionByName(self.fct_alerts_combined_headline).unionByName(self.fct_alerts_combined_all)
-        return evaluate.Evaluation(tagged, self.int_account_activity_days, self.fct_account_split_label, self.int_txn_enriched, self.params.tune_last_day)
+        e = evaluate.Evaluation(tagged, self.int_account_activity_days, self.fct_account_split_label, self.int_txn_enriched, self.params.tune_last_day)
+        e.accounts = self.keep("alerted_accounts", e.accounts)
+        return e
 
     @cached_property
     def fct_rule_performance(self) -> DataFrame:
@@ -143,6 +146,20 @@ class Pipeline:
         return evaluate.rule_overlap(self.fct_alerts, self.int_account_profile)
 
 
+def stored(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
+    """A `keep` that writes tables into the folder that driver and executors share (spark.checkpoint.dir), or persists where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    base = f"{root.rstrip('/')}/marts-{uuid.uuid4().hex}" if root else None
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if base is None:
+            return df.persist()
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    return keep
+
+
 def evaluate_rule(pipeline: Pipeline, alerts: DataFrame, rule_id: str) -> dict[str, DataFrame]:
     """The three evaluations of one set of alerts, before it is wired in."""
     e = evaluate.Evaluation(alerts, pipeline.int_account_activity_days, pipeline.fct_account_split_label, pipeline.int_txn_enriched, pipeline.params.tune_last_day, (rule_id,))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,13 +64,20 @@ def pass_through(edge: DataFrame, p: PassThroughParams = PassThroughParams()) ->
     return _alerts(daily, "rule_pass_through", sent, "pass-through: ", grouped(a_in), " USD received, ", grouped(sent), " USD (", plain(F.lit(100) * sent / a_in), f"%) forwarded to other accounts within {p.window_hours}h")
 
 
-def cycles(edge: DataFrame, profile: DataFrame, p: CycleParams = CycleParams()) -> DataFrame:
-    """Payments that run in a loop back to their start; every member alerts at the closing payment, once a day, with the loop of the largest smallest leg (of equal ones the shortest)."""
+def cycle_edges(edge: DataFrame, profile: DataFrame, p: CycleParams = CycleParams()) -> DataFrame:
+    """The payments that can be part of a cycle: large enough, between no hubs, from accounts that also receive to accounts that also send."""
     hubs = profile.filter((F.col("out_degree") > p.max_degree) | (F.col("in_degree") > p.max_degree)).select("account_id")
     e = edge.filter(F.col("amount_usd") >= F.lit(float(p.min_amount_usd))).select("src", "dst", "txn_ts", "amount_usd")
     e = e.join(hubs.withColumnRenamed("account_id", "src"), "src", "left_anti").join(hubs.withColumnRenamed("account_id", "dst"), "dst", "left_anti")
-    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    loops = closed_walks(e, p.min_hops, p.max_hops, p.window_hours, p.row_budget)
+    return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def cycles(edge: DataFrame, profile: DataFrame, p: CycleParams = CycleParams(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Payments that run in a loop back to their start; every member alerts at the closing payment, once a day, with the loop of the largest smallest leg (of equal ones the shortest).
+
+    Each hop reads the pruned payments again, so `keep` should store them where there are many.
+    """
+    loops = closed_walks(keep(cycle_edges(edge, profile, p)), p.min_hops, p.max_hops, p.window_hours, p.row_budget)
     members = loops.select(F.explode("path").alias("account_id"), "hops", "closed_ts", "smallest")
     daily = members.groupBy("account_id", F.to_date("closed_ts").alias("day")).agg(F.min("closed_ts").alias("alert_ts"), F.min(F.struct(-F.col("smallest"), F.col("hops"))).alias("best"), F.count("*").alias("n"))
     leg = F.lit(-1) * F.col("best.col1")
