@@ -88,7 +88,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
 
 
 def order_key(cfg: MixConfig, size: Column) -> Column:
-    return F.xxhash64(F.lit(cfg.seed), F.col("doc_id"), size)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), F.col("doc_id"), size), 1)  # not negative, so lanes and keys sort alike
 
 
 def plan_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), scratch: Scratch | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def plan_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), scratch: Scratch | N
     scratch = scratch or Scratch(spark, "mixing")
     size = word_count(F.col("text"))
     rows = docs.select("doc_id", "source", size.alias("size")).withColumn("key", order_key(cfg, F.col("size")))
-    rows = scratch.table(rows.withColumn("lane", F.shiftrightunsigned("key", 64 - int(math.log2(cfg.lanes))).cast("int")), "rows")
+    rows = scratch.table(rows.withColumn("lane", F.shiftright("key", 63 - int(math.log2(cfg.lanes))).cast("int")), "rows")
     cells = rows.groupBy("source", "lane").agg(F.sum("size").alias("n"))
     totals = [(r.source, r.n) for r in cells.groupBy("source").agg(F.sum("n").alias("n")).collect()]
     targets = source_targets(totals, cfg)
@@ -148,7 +148,7 @@ def realise(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """The mix itself, with docs' columns: every row as often as the plan takes it whole, in an order shuffled within partitions.
 
     A row that the plan takes only in part comes if the part is at least half of it, so a source is off its target by at most
-    half a document. The texts stay where they are: only one cut (the key of the row at which the
+    half a document. Rows without words are not taken. The texts stay where they are: only one cut (the key of the row at which the
     last walk of a source's tape ends) is joined to them.
     """
     spark = docs.sparkSession
