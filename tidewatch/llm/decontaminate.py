@@ -35,7 +35,8 @@ def near_distance(pattern: list[int], text: list[int], most: int) -> tuple[int,
     for k, w in enumerate(pattern):
         where[w] = where.get(w, 0) | 1 << k
     full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best, end = full, 0, m, most + 1, -1
+    plus, minus, score = full, 0, m
+    best, end = (m, 0) if m <= most else (most + 1, -1)
     for at, w in enumerate(text):
         eq = where.get(w, 0)
         diag = (((eq & plus) + plus) ^ plus) | eq | minus

@@ -259,7 +259,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicC
     scratch = Scratch(spark, "toxicity")
     marks = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out("label_id"))
     first = F.broadcast(marks.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(cfg.max_fit_rows))  # at most max_fit_rows rows of two numbers
-    sample = docs.join(first, F.col("doc_id") == F.col("label_id")).select("label", "text")
+    sample = docs.select("doc_id", "text").join(first, F.col("doc_id") == F.col("label_id")).select("label", "text")
     stems = find_stems(sample, cfg)
     votes = scratch.table(vote_table(docs, stems), "votes")
     v = len(voter_names(stems))
