@@ -53,6 +53,15 @@ def test_model_protocol(built):
     assert (ml.verdict(1.1, 1.0), ml.verdict(1.0, 1.0), ml.verdict(0.9, 1.0)) == ("beats", "level with", "does not beat")
 
 
+def test_permutation_importance(built):
+    from pyspark.sql import functions as F
+
+    _, tables = built
+    tune = tables["fct_alert_features"].filter("split = 'tune'")
+    rows = {r.column: r.importance for r in ml.permutation_importance(tune, lambda df: df.select("label", F.col("f_n_sent").cast("double").alias("model_score")), ["f_n_sent", "f_n_recv"], repeats=1).collect()}
+    assert rows["f_n_recv"] == 0 and rows["f_n_sent"] != 0
+
+
 def test_stream(spark, tmp_path):
     from datetime import datetime, timedelta
 
