@@ -89,6 +89,6 @@ def test_sample_is_reproducible(spark, tmp_path):
 
     s = stratified_sample(raw_from_events(spark, "/root/testdata/sf0.001")["transactions"], 200, 80)
     one, two = write_sample(s, str(tmp_path / "a"), "h"), write_sample(s, str(tmp_path / "b"), "h")
-    assert one == two and one["transactions"] == 200 and one["laundering_transactions"] == 14
+    assert one == two and one["transactions"] == s.count() <= 200 and one["laundering_transactions"] == 14
     assert "| n |" in markdown_table(s.selectExpr("count(*) as n"))
     assert rewrite_block("<!-- x:begin -->old<!-- x:end -->.", "x", "new") == "<!-- x:begin -->\nnew\n<!-- x:end -->."
