@@ -54,6 +54,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """The fold that no fit may see: crc32 of the id's text leaves remainder 0 by 5 (a null id: False)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -155,16 +155,15 @@ def realise(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     plan = plan_mix(docs, cfg)
     last = F.max(F.when(F.col("part") * 2 >= F.col("size"), F.struct("key", "doc_id", "size")))
     cuts = plan.filter(F.col("size") > 0).groupBy("source").agg(last.alias("cut"), F.first("whole").alias("whole"))
-    cuts = Scratch(spark, "mixing").table(cuts.select(F.col("source").alias("cut_source"), "cut", "whole"), "cuts")
+    n, of, cut, whole, times, copy = (spare(docs, c) for c in ("__size", "__of", "__cut", "__whole", "__times", "__copy"))
+    cuts = Scratch(spark, "mixing").table(cuts.select(F.col("source").alias(of), F.col("cut").alias(cut), F.col("whole").alias(whole)), "cuts")
     if cuts.count() <= cfg.broadcast_sources:
         cuts = F.broadcast(cuts)
-    names = docs.columns
-    size = word_count(F.col("text"))
-    out = docs.withColumn("__size", size).filter("__size > 0").join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
-    here = F.struct(order_key(cfg, F.col("__size")).alias("key"), F.col("doc_id"), F.col("__size").alias("size"))
-    times = F.col("whole") + F.coalesce(here <= F.col("cut"), F.lit(False)).cast("long")
-    out = out.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __times)")))
-    return out.sortWithinPartitions(F.xxhash64(F.lit(cfg.seed + 2), "doc_id", "__copy")).select(*names)
+    out = docs.withColumn(n, word_count(F.col("text"))).filter(F.col(n) > 0).join(cuts, F.col("source").eqNullSafe(F.col(of)))
+    here = F.struct(order_key(cfg, F.col(n)).alias("key"), F.col("doc_id"), F.col(n).alias("size"))
+    out = out.withColumn(times, F.col(whole) + F.coalesce(here <= F.col(cut), F.lit(False)).cast("long"))
+    out = out.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return out.sortWithinPartitions(F.xxhash64(F.lit(cfg.seed + 2), "doc_id", copy)).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 from .components import connected_components
 from .textkernel import as_strings, iter_grams, mix
 
@@ -352,14 +352,13 @@ def one_of_each(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     kept = classify(docs, cfg).filter("is_kept").groupBy("row_key").agg(F.count("*").alias("rows"))
-    kept = scratch.table(kept.select(F.col("row_key").alias("__row_key"), (F.col("rows") > 1).alias("__repeated")), "kept")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = docs.withColumn("__row_key", key).join(kept, "__row_key")
-    if kept.filter("__repeated").limit(1).count():  # the same row more than once
-        one = F.row_number().over(Window.partitionBy("__row_key", "__lane").orderBy("__row_key"))
-        lanes = out.filter("__repeated").withColumn("__lane", F.spark_partition_id())
-        again = lanes.withColumn("__one", one).filter("__one = 1").drop("__one", "__lane").dropDuplicates(["__row_key"])
-        out = out.filter("not __repeated").unionByName(again)
+    key, again, lane, one = (spare(docs, c) for c in ("__row_key", "__again", "__lane", "__one"))
+    kept = scratch.table(kept.select(F.col("row_key").alias(key), (F.col("rows") > 1).alias(again)), "kept")
+    out = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(kept, key)
+    if kept.filter(F.col(again)).limit(1).count():  # the same row more than once: first one of each partition, then one of all
+        rank = F.row_number().over(Window.partitionBy(key, lane).orderBy(key))
+        firsts = out.filter(F.col(again)).withColumn(lane, F.spark_partition_id()).withColumn(one, rank).filter(F.col(one) == 1).drop(one, lane)
+        out = out.filter(~F.col(again)).unionByName(firsts.dropDuplicates([key]))
     return out.select(*docs.columns)
 
 
