@@ -24,12 +24,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no Arrow batch exceed `most` bytes: a worker holds a few batches at once, and so does the JVM beside it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written once into the shared folder, so that a lost executor loses no work."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        small_batches(spark)
 
     def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
         """Write df and return the table read back: the plan above starts from files."""

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textkernel import GRAM_BASE, iter_words, mix, powers
 
 
@@ -172,6 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
     Scale: one pass over the texts for each block of test items, and no exchange; a passage that a third of all texts share costs each
     of them one verification.
     """
+    small_batches(docs.sparkSession)
     out = None
     for block in item_blocks(benchmark, cfg):
         pieces = docs.sparkSession.sparkContext.broadcast(Pieces(block, cfg))  # about block_words words
@@ -182,6 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConfig()) -> DataFrame:
     """Rows of docs in which no test item is found; texts stay where they are."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in item_blocks(benchmark, cfg):
         pieces = docs.sparkSession.sparkContext.broadcast(Pieces(block, cfg))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNIT = 576
 WIDTH = 24
 
@@ -152,6 +154,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     A null text counts as empty; an empty text is one unit of 255s. Equal texts give equal values; repeated rows stay rows.
     No exchange: memory holds 256 rows' images, so it follows the longest texts. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_texts, SCHEMA)
 
 

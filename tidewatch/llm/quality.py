@@ -11,12 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, add_up, held_out
-from .textkernel import as_strings, buffers, gram_hashes, mix, slices, word_hashes, word_spans
+from .textkernel import as_strings, buffers, gram_hashes, lowered, mix, word_hashes, word_spans
 
 FEATURES = ("bytes", "words", "word_length", "upper", "digits", "stops", "symbols", "bangs", "pipes", "spaces", "line_length", "repeat_words", "repeat_trigrams", "adjacent", "repeat_lines", "wide_words")
 
@@ -35,9 +34,8 @@ def statistics(col: pa.Array, most: int = 2_000_000) -> np.ndarray:
     """One row of transformed statistics for each text (nulls as empty): shares as log odds per 100 units, sizes as logs."""
     raw = as_strings(col)
     data, off = buffers(raw)
-    low, low_off = buffers(pc.utf8_lower(raw))
     out = np.zeros((len(raw), len(FEATURES)))
-    for i, j in slices(off, most):
+    for i, j, lpart, lo in lowered(raw, most):
         n, part, o = j - i, data[off[i] : off[j]], off[i : j + 1] - off[i]
         size = np.diff(o).astype(float)
         sums = {}
@@ -45,7 +43,6 @@ def statistics(col: pa.Array, most: int = 2_000_000) -> np.ndarray:
             flag = np.zeros(256, np.int32)
             flag[list(chars)] = 1
             sums[name] = np.diff(np.concatenate(([0], np.cumsum(flag[part], dtype=np.int64)))[o]).astype(float)
-        lpart, lo = low[low_off[i] : low_off[j]], low_off[i : j + 1] - low_off[i]
         starts, lens, first = word_spans(lpart, lo)
         words = word_hashes(lpart, starts, lens)
         count = np.diff(first)

@@ -112,21 +112,21 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
     return mix(gram[keep]), np.concatenate(([0], np.cumsum(per)))
 
 
+def lowered(col: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, lower-cased bytes, offsets) over slices of an Arrow string column; only a slice is copied at a time."""
+    raw = as_strings(col)
+    for i, j in slices(buffers(raw)[1], most):
+        yield i, j, *buffers(pc.utf8_lower(raw.slice(i, j - i)))
+
+
 def iter_grams(col: pa.Array, n: int, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, gram hashes, offsets) over slices of an Arrow string column."""
-    low = pc.utf8_lower(as_strings(col))
-    data, off = buffers(low)
-    for i, j in slices(off, most):
-        part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        starts, lens, first = word_spans(part, o)
-        yield i, j, *gram_hashes(word_hashes(part, starts, lens), first, n)
+    for i, j, words, first in iter_words(col, most):
+        yield i, j, *gram_hashes(words, first, n)
 
 
 def iter_words(col: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, word hashes, offsets) over slices of an Arrow string column."""
-    low = pc.utf8_lower(as_strings(col))
-    data, off = buffers(low)
-    for i, j in slices(off, most):
-        part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        starts, lens, first = word_spans(part, o)
-        yield i, j, word_hashes(part, starts, lens), first
+    for i, j, data, off in lowered(col, most):
+        starts, lens, first = word_spans(data, off)
+        yield i, j, word_hashes(data, starts, lens), first
