@@ -27,6 +27,8 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
 }
+# Every kind implies one of these: texts without any skip the search.
+SIGN = r"[0-9@]|(?i:password)=|AKIA|[a-f]{32}|[A-F]{32}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)  # 73,170 days, to 2100-05-02: dates beyond are left alone
@@ -166,16 +168,16 @@ def replacement(m: str, cfg: PiiConfig) -> str:
 def pseudonymise(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     """docs with the text rewritten, and the columns pii_kinds (kind of each value replaced, in order) and pii_found (their number).
 
-    Values that look like a kind but fail its validation stay as they are. Null texts stay null, with no values; empty and
-    digit-free texts without an address come back unchanged. Repeated rows change alike; an empty table gives no rows. Columns named pii_kinds or pii_found are replaced.
+    Values that look like a kind but fail its validation stay as they are. Null texts stay null, with no values; texts
+    without values come back unchanged. Repeated rows change alike; an empty table gives no rows. Columns named pii_kinds or pii_found are replaced.
 
-    Scale: one projection, no exchange, no Python; texts without a digit skip the search.
+    Scale: one projection, no exchange, no Python; texts without a SIGN (a digit, @, password=, AKIA or 32 hex letters) skip the search.
     """
     pattern = search_pattern(cfg.kinds)
     plain = docs.drop("pii_kinds", "pii_found")
     m, r, b = spare(plain, "__matches"), spare(plain, "__replaced"), spare(plain, "__between")
     found, between = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-    out = plain.withColumn(m, F.when(F.col("text").rlike("[0-9]"), found))
+    out = plain.withColumn(m, F.when(F.col("text").rlike(SIGN), found))
     out = out.withColumn(r, F.when(F.size(m) > 0, F.expr(f"transform({m}, m -> {replacement('m', cfg)})")))
     out = out.withColumn(b, F.when(F.col(r).isNotNull(), between))
     pieces = F.expr(f"array_join(flatten(zip_with({b}, {r}, (x, y) -> if(y is null, array(x), array(x, y.new)))), '')")
