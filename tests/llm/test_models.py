@@ -73,6 +73,23 @@ def test_scores(spark, make, odd, none):
     assert lm.score_documents(odd).count() == odd.count() and lm.score_documents(none).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark, make):
+    cfg = lm.LmConfig(digits=(4, 4), classes=1, rounds=1)
+    usual = [" ".join(f"w{k}" for k in range(14))] * 60
+    rows = {x.doc_id: x for x in lm.score_documents(make([*usual, *["w1 w2 seldom w3 w4"] * 6, "w1 w2 junk w3 w4", "w5 junk2 junk3 w6"]), cfg).collect()}
+    assert rows[60].log_likelihood - rows[66].log_likelihood == pytest.approx(np.log(6), abs=1e-4)
+    many = lm.score_documents(make([f"a{k} b{k} a{k % 7}" for k in range(3000)] + ["!!!"])).collect()
+    assert len(many) == 3001 and all(x.log_likelihood < 0 for x in many if x.n_tokens) and sum(x.n_tokens for x in many) == 9000
+
+
+def test_vocabulary_grows(spark):
+    counts = spark.range(3000).selectExpr("id as word", "500L as n")
+    assert lm.grown(lm.LmConfig(), counts) == lm.LmConfig()
+    more = spark.range(3000).selectExpr("id as word", "5000L as n")
+    cfg = lm.grown(lm.LmConfig(), more)
+    assert cfg.words >= 3000 and len(lm.vocabulary(more, cfg).hashes) == 3000 and lm.grown(cfg, more.limit(0)) == cfg
+
+
 def test_rules_and_parts(spark):
     urls = ["https://WWW.Example.com/en/1", "http://a.example.com/en/2?x=1", "https://example.com/de/", "https://x.net/es/1", "x.net/es", None, "", "ftp://com", "https://a.com#/en/", "https://notcom/x", "https://h.org?q=1://b/c", "https://a.com?/z"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit("clash"))

@@ -1,17 +1,20 @@
 """Documents scored by masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both sides.
 
-A token is a frequent word, or one of a set of classes for rarer words. The network adds the embeddings of two tokens to the left and two to the right,
+A token is a frequent word, or one of a set of classes for rarer words; the vocabulary of frequent words grows with the corpus. A rarer word's probability is its
+class's, from the network, times its share of the counts of its class, so every word has its own. The network adds the embeddings of two tokens to the left and two to the right,
 bends the sum, and predicts the token's class number in two steps (high and low digit), so that one prediction costs two short softmaxes. A document's score is
 the sum of the log-probabilities of all its tokens, each given its neighbours.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ EDGE = 0  # stands before the first and after the last token
 
 @dataclass(frozen=True)
 class LmConfig:
-    digits: tuple[int, int] = (32, 32)  # a token is one of 32 x 32 numbers
+    digits: tuple[int, int] = (32, 32)  # a token is one of 32 x 32 numbers, or of more: see grown
     classes: int = 255  # the last numbers: classes of words beyond the vocabulary, by hash
     reach: int = 2
     hidden: int = 16
@@ -40,6 +43,10 @@ class LmConfig:
     def words(self) -> int:
         return self.size - 1 - self.classes
 
+    @property
+    def token(self) -> type:
+        return np.uint16 if self.size <= 1 << 16 else np.uint32
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): hash and number of every word in all texts; each task adds up before anything moves, and passes on what exceeds its room."""
@@ -86,7 +93,14 @@ class Vocabulary:
             at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
             known = self.hashes[at] == words
             out[known] = self.numbers[at[known]]
-        return out.astype(np.uint16)
+        return out
+
+
+def grown(cfg: LmConfig, counts: DataFrame) -> LmConfig:
+    """cfg with room for every word that makes up half the root of all tokens or more: at most twice that root of words."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    side = math.isqrt(counts.filter(F.col("n") >= total**0.5 / 2).count() + cfg.classes) + 1
+    return replace(cfg, digits=(side, side)) if side * side > cfg.size else cfg
 
 
 def vocabulary(counts: DataFrame, cfg: LmConfig) -> Vocabulary:
@@ -97,17 +111,83 @@ def vocabulary(counts: DataFrame, cfg: LmConfig) -> Vocabulary:
 
 
 def tokenise(docs: DataFrame, vocab: Vocabulary, cfg: LmConfig) -> DataFrame:
-    """doc_id, n_tokens, tokens (16 bits each) and part (of the training rounds) of every whole text."""
+    """doc_id, n_tokens, tokens and part (of the training rounds) of every whole text, and its place k in a slice of texts.
+
+    One more row a slice, of part -1, has the words beyond the vocabulary: their hashes (words, sorted), the place in it of each such token (at) and each text's first of these (first).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for i, j, words, first in iter_words(batch.column(2)):
                 tokens = vocab.encode(words)
-                cells = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(tokens.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), cells], ["doc_id", "part", "n_tokens", "tokens"])
-
+                rare = tokens >= vocab.first_class
+                own, at = np.unique(words[rare], return_inverse=True)
+                start = np.concatenate(([0], np.cumsum(rare)))[first]
+                size = np.dtype(cfg.token).itemsize
+                cells = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * size).astype(np.int32)), pa.py_buffer(tokens.astype(cfg.token).tobytes())])
+                none = pa.nulls(j - i, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), cells, pa.array(np.full(j - i, slice_id)), pa.array(np.arange(j - i)), none, none, none], names)
+                packed = [own.tobytes(), at.astype(np.uint32).tobytes(), start.astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([slice_id]), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names)
+                slice_id += 1
+
+    schema = "doc_id long, part int, n_tokens long, tokens binary, slice long, k long, words binary, at binary, first binary"
+    names = [c.split()[0] for c in schema.split(", ")]
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(cfg.rounds)).cast("int")
-    return docs.select(F.col("doc_id").cast("long"), part.alias("part"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part int, n_tokens long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), part.alias("part"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def within_classes(rare: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """slice, k and within: the sum of log(count of the word / count of its class) over a text's words beyond the vocabulary.
+
+    Words and counts meet in ranges of the hash. What moves is the distinct words of a slice and their answers, packed, not a row a word.
+    """
+    known = np.sort(vocab.hashes)
+    outside = counts.filter(~F.col("word").isin(known.view(np.int64).tolist())) if len(known) else counts
+    modulus = F.lit(vocab.classes)
+    number = F.pmod(F.pmod("word", modulus) + F.when(F.col("word") < 0, F.lit(2**64 % vocab.classes)).otherwise(0), modulus)  # of the hash without sign
+    totals = np.zeros(vocab.classes)
+    for r in outside.groupBy(number.alias("c")).agg(F.sum("n").alias("n")).collect():
+        totals[r.c] = r.n
+    ranges = max(256, int((totals.sum()) ** 0.5 / 300))
+    width = 2**64 // ranges + 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = np.frombuffer(cell.as_buffer(), np.uint64)
+                at, cut = np.unique(words // np.uint64(width), return_index=True)
+                pieces = [w.tobytes() for w in np.split(words, cut[1:])] if len(cut) else []
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), sid)), pa.array(pieces, pa.binary())], ["range", "slice", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((words // np.uint64(width)).astype(np.int32)), batch.column(0), batch.column(1)], ["range", "word", "n"])
+
+    def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        words = counted["word"].to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        words, n = words[order], counted["n"].to_numpy()[order]
+        share = np.log(n / totals[(words % np.uint64(len(totals))).astype(np.int64)])
+        logs = [share[np.searchsorted(words, np.frombuffer(w.as_buffer(), np.uint64))].tobytes() for w in asked["words"]]
+        return pa.table({"slice": asked["slice"], "range": asked["range"], "logs": pa.array(logs, pa.binary())})
+
+    def total(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        order = np.argsort(answers["range"].to_numpy())
+        logs = np.concatenate([np.zeros(0), *(np.frombuffer(answers["logs"][int(i)].as_buffer(), np.float64) for i in order)])
+        for row in texts.to_pylist():
+            each = np.concatenate(([0.0], np.cumsum(logs[np.frombuffer(row["at"], np.uint32)])))
+            sums = np.diff(each[np.frombuffer(row["first"], np.int64)])
+            out.append(pa.table({"slice": np.full(len(sums), row["slice"]), "k": np.arange(len(sums)), "within": sums}))
+        return pa.concat_tables(out)
+
+    asked = rare.select("slice", "words").mapInArrow(ask, "range int, slice long, words binary").groupBy("range")
+    counted = outside.mapInArrow(count, "range int, word long, n long").groupBy("range")
+    answers = asked.cogroup(counted).applyInArrow(answer, "slice long, range int, logs binary").groupBy("slice")
+    return rare.select("slice", "at", "first").groupBy("slice").cogroup(answers).applyInArrow(total, "slice long, k long, within double")
 
 
 def windows(tokens: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
@@ -183,11 +263,11 @@ class Network:
             self.embed[k][own] -= rate * np.add.reduceat(back[order], cut) / np.sqrt(count.astype(np.float32) * 8)[:, None]
 
 
-def _runs(batch: pa.RecordBatch, col: int, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _runs(batch: pa.RecordBatch, col: int, kind: type, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last + 1, tokens, offsets) over slices of a column of token bytes."""
     cells = batch.column(col)
-    off = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // 2
-    data = np.frombuffer(cells.buffers()[2], np.uint16) if cells.buffers()[2] is not None else np.zeros(0, np.uint16)
+    off = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // np.dtype(kind).itemsize
+    data = np.frombuffer(cells.buffers()[2], kind) if cells.buffers()[2] is not None else np.zeros(0, kind)
     i = 0
     while i < len(cells):
         j = min(len(cells), max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
@@ -206,7 +286,7 @@ def train(tokens: DataFrame, cfg: LmConfig) -> Network:
             rng = np.random.default_rng(cfg.seed + part)
             rate = cfg.rate / (1 + part)
             for batch in batches:
-                for _, _, token, first in _runs(batch, 0):
+                for _, _, token, first in _runs(batch, 0, cfg.token):
                     near = windows(token, first, cfg.reach)
                     order = rng.permutation(len(token))
                     for lo in range(0, len(order), cfg.batch):
@@ -229,24 +309,29 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
     Null and empty texts, and those without words, have 0 tokens, a sum of 0 and a null mean. Repeated rows score alike; an empty table gives no rows.
 
     Scale: words of all texts are counted (a task passes on its distinct words only) and all tokens are trained on, in `rounds` parts; what comes together for
-    each part is one network for each task, over two levels. The token table is two bytes a token.
+    each part is one network for each task, over two levels. The token table is two bytes a token and four more for a word beyond the vocabulary; a slice of texts
+    asks for the counts of its distinct such words.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    vocab = vocabulary(word_counts(docs), cfg)
-    tokens = scratch.table(tokenise(docs, vocab, cfg), "tokens")
+    counts = scratch.table(word_counts(docs), "counts")
+    cfg = grown(cfg, counts)
+    vocab = vocabulary(counts, cfg)
+    both = scratch.table(tokenise(docs, vocab, cfg), "tokens")
+    tokens, rare = both.filter("part >= 0"), both.filter("part = -1")
     sent = docs.sparkSession.sparkContext.broadcast(train(tokens, cfg).flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(cfg, sent.value)
         for batch in batches:
-            for i, j, token, first in _runs(batch, 2):
+            for i, j, token, first in _runs(batch, 2, cfg.token):
                 near, each = windows(token, first, cfg.reach), np.zeros(len(token))
                 for lo in range(0, len(token), 8192):
                     each[lo : lo + 8192] = net.log_probability(near[lo : lo + 8192], token[lo : lo + 8192])
                 total = np.concatenate(([0.0], np.cumsum(each)))[first]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(total))], ["doc_id", "n_tokens", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1, 3, 4)), pa.array(np.diff(total))], ["doc_id", "n_tokens", "slice", "k", "classes"])
 
-    out = tokens.select("doc_id", "n_tokens", "tokens").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+    scored = tokens.select("doc_id", "n_tokens", "tokens", "slice", "k").mapInArrow(run, "doc_id long, n_tokens long, slice long, k long, classes double")
+    out = scored.join(within_classes(rare, counts, vocab), ["slice", "k"]).select("doc_id", "n_tokens", (F.col("classes") + F.col("within")).alias("log_likelihood"))
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
