@@ -190,3 +190,23 @@ def test_values_without_a_digit_are_replaced(make):
     assert [rows[k].pii_kinds for k in range(6)] == [["email"], ["email"], ["password"], ["access_key"], ["hex_secret"], ["hex_secret"]]
     assert all(rows[k].text != t and len(rows[k].text) == len(t) for k, t in enumerate(texts))
     assert rows[0].text.split()[2] == rows[1].text.split()[2]
+
+
+def test_values_behind_and_inside_failed_matches(make):
+    iban, card = "ES9121000418450200051332", "4111 1111 1111 1111"
+    key = "AD12ABCDEF0123456789ABCDEF012345"  # looks like an IBAN first
+    texts = [f"{iban} EUR", f"{iban} 2023 {iban}", f"to {iban}", "ES91 2100 0418 4502 0005 1332 PAID NOW", f"order 2023 {card}", f"{card} {card} 2023 {card}", f"in {card}", f"hash {key}", "call +49 30 1234 5678 2023 1999", f"\U0001f600 2023 {card}"]
+    rows = one(make, *texts)
+    assert [x.pii_kinds for x in rows] == [["iban"], ["iban"] * 2, ["iban"], ["iban"], ["card"], ["card"] * 3, ["card"], ["hex_secret"], ["phone"], ["card"]]
+    new, new_card = rows[2].text[3:], rows[6].text[3:]
+    assert new != iban and new_card != card and luhn(new_card.replace(" ", ""))
+    assert [rows[k].text for k in (0, 1)] == [f"{new} EUR", f"{new} 2023 {new}"] and rows[3].text.replace(" ", "") == f"{new}PAIDNOW"
+    assert rows[4].text == f"order 2023 {new_card}" and rows[5].text == f"{new_card} {new_card} 2023 {new_card}" and rows[9].text == f"\U0001f600 2023 {new_card}"
+    assert rows[8].text.endswith(" 2023 1999") or rows[8].text.endswith(" 1999")
+
+
+def test_many_values_in_one_text(make):
+    text = "\n".join(f"{k} a{k}@example.com 2023 4111 1111 1111 1111" for k in range(500))
+    (x,) = one(make, text)
+    assert x.pii_kinds == ["email", "card"] * 500 and "4111 1111 1111 1111" not in x.text
+    assert [re.sub(r"[a-z]\d+@", "@", line)[:-19] for line in x.text.split("\n")] == [f"{k} @example.com 2023 " for k in range(500)]

@@ -29,6 +29,14 @@ KINDS = {
 }
 # Every kind implies one of these: texts without any skip the search.
 SIGN = r"[0-9@]|(?i:password)=|AKIA|[a-f]{32}|[A-F]{32}"
+# Lengths of a country's IBAN (registry); other lengths and countries are taken where the check digits are right.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IS TR", 27: "BF BI CF CG CM DJ EG FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GT HN HU LB ML NE NI PL SN SV TG",
+    29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+WINDOW = 700  # longer than any value (an email of eight full labels has 640) and the character after it
+CHUNK = 64
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)  # 73,170 days, to 2100-05-02: dates beyond are left alone
@@ -155,35 +163,66 @@ def search_pattern(kinds: tuple[str, ...]) -> str:
     return "|".join(f"(?:{KINDS[k]})" for k in kinds)
 
 
-def replacement(m: str, cfg: PiiConfig) -> str:
-    """SQL of what a match becomes: new (itself, if it fails validation) and kind (null then)."""
-    cases = []
+def ends(kind: str, m: str) -> str:
+    """SQL of the array of matches that start where m does, m the longest, in the order in which they are tried: an IBAN of its country's length first, then the longest."""
+    if kind not in ("iban", "phone"):
+        return f"array({m})"
+    whole = quoted("^(?:" + KINDS[kind] + ")$")
+    shorter = f"filter(transform(sequence(length({m}), 1, -1), i -> if(i = length({m}) or substr({m}, i + 1, 1) rlike '[^0-9A-Za-z]', substr({m}, 1, i), '')), e -> e rlike {whole})"
+    if kind == "phone":
+        return shorter
+    cases = " ".join(f"when substr({m}, 1, 2) in ({', '.join(repr(c) for c in codes.split())}) then {n}" for n, codes in IBAN_LENGTHS.items())
+    return let(shorter, "es", f"concat(filter(es, e -> length({bare('e')}) = case {cases} else 0 end), es)")
+
+
+def replacement(w: str, cfg: PiiConfig) -> str:
+    """SQL of what the window w (a place's text, after the character before it) starts with: the first valid match as new, kind and length; null if none is valid."""
+    tries = []
     for kind in cfg.kinds:
-        alone = quoted("^(?:" + KINDS[kind] + ")$")
-        named = let(pseudonym(kind, m, cfg), "o", f"named_struct('new', coalesce(o, {m}), 'kind', if(o is null, null, '{kind}'))")
-        cases.append(f"when {m} rlike {alone} then {named}")
-    return f"case {' '.join(cases)} else named_struct('new', {m}, 'kind', cast(null as string)) end"
+        start = f"regexp_extract({w}, {quoted('^(?s:.)(' + KINDS[kind] + ')')}, 1)"
+        named = let(pseudonym(kind, "e", cfg), "o", f"if(o is null, null, named_struct('new', o, 'kind', '{kind}', 'length', length(e)))")
+        tries.append(let(start, "m", f"if(m = '', null, get(filter(transform({ends(kind, 'm')}, e -> {named}), x -> x is not null), 0))"))
+    return f"coalesce({', '.join(tries)})"
+
+
+def rewritten(steps: str) -> str:
+    """SQL of an array of text and kind (null where nothing is replaced), from the pieces p of a text and the value r that each may start with.
+
+    From left to right; a piece within a value taken is dropped so far. `left` is what is still to drop. Chunks keep the work linear.
+    """
+    unit = "array<struct<text:string,kind:string>>"
+    more = "if(t.left = 0, x.r, null)"
+    drop = "if(t.left = 0, coalesce(x.r.length, 0), t.left)"
+    one = f"named_struct('left', greatest({drop} - length(x.p), 0), 'out', concat(t.out, array(named_struct('text', concat(coalesce({more}.new, ''), substr(x.p, {drop} + 1)), 'kind', {more}.kind))))"
+    inner = f"aggregate(c, named_struct('left', s.left, 'out', cast(array() as {unit})), (t, x) -> {one})"
+    outer = let(inner, "u", "named_struct('left', u.left, 'out', concat(s.out, array(u.out)))")
+    chunks = f"transform(sequence(0, (size({steps}) - 1) div {CHUNK}), k -> slice({steps}, cast(k * {CHUNK} + 1 as int), {CHUNK}))"
+    return f"flatten(aggregate({chunks}, named_struct('left', 0, 'out', cast(array() as array<{unit}>)), (s, c) -> {outer}).out)"
 
 
 def pseudonymise(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     """docs with the text rewritten, and the columns pii_kinds (kind of each value replaced, in order) and pii_found (their number).
 
-    Values that look like a kind but fail its validation stay as they are. Null texts stay null, with no values; texts
+    Values that look like a kind but fail its validation stay as they are; at each place all kinds and lengths are tried, then the next places, those inside a failed match too. Null texts stay null, with no values; texts
     without values come back unchanged. Repeated rows change alike; an empty table gives no rows. Columns named pii_kinds or pii_found are replaced.
 
     Scale: one projection, no exchange, no Python; texts without a SIGN (a digit, @, password=, AKIA or 32 hex letters) skip the search.
     """
-    pattern = search_pattern(cfg.kinds)
+    pattern = f"(?={search_pattern(cfg.kinds)})"
     plain = docs.drop("pii_kinds", "pii_found")
-    m, r, b = spare(plain, "__matches"), spare(plain, "__replaced"), spare(plain, "__between")
-    found, between = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-    out = plain.withColumn(m, F.when(F.col("text").rlike(SIGN), found))
-    out = out.withColumn(r, F.when(F.size(m) > 0, F.expr(f"transform({m}, m -> {replacement('m', cfg)})")))
-    out = out.withColumn(b, F.when(F.col(r).isNotNull(), between))
-    pieces = F.expr(f"array_join(flatten(zip_with({b}, {r}, (x, y) -> if(y is null, array(x), array(x, y.new)))), '')")
-    out = out.withColumn("text", F.when(F.col(r).isNotNull(), pieces).otherwise(F.col("text")))
+    m, b, r = spare(plain, "__matches"), spare(plain, "__between"), spare(plain, "__replaced")
+    windows = F.regexp_extract_all("text", F.lit(f"{pattern}(?=((?s:.{{1,{WINDOW}}})))"), F.lit(1))
+    out = plain.withColumn(m, F.when(F.col("text").rlike(SIGN), windows))
+    out = out.withColumn(b, F.when(F.size(m) > 0, F.split("text", pattern, -1)))  # one more than matches, unless the text starts with one
+    before = f"coalesce(right(get({b}, i + size({b}) - size({m}) - 1), 1), ' ')"
+    found = f"transform({m}, (v, i) -> {let(f'concat({before}, v)', 'w', replacement('w', cfg))})"
+    out = out.withColumn(r, F.when(F.size(m) > 0, F.expr(found)))
+    aligned = f"if(size({b}) > size({m}), concat(array(null), {r}), {r})"
+    out = out.withColumn(r, F.when(F.size(F.expr(f"filter({r}, x -> x is not null)")) > 0, F.expr(f"zip_with({b}, {aligned}, (p, r) -> named_struct('p', p, 'r', r))")))
+    out = out.withColumn(r, F.when(F.col(r).isNotNull(), F.expr(rewritten(r))))
+    out = out.withColumn("text", F.when(F.col(r).isNotNull(), F.expr(f"array_join({r}.text, '')")).otherwise(F.col("text")))
     kinds = F.coalesce(F.expr(f"filter({r}.kind, k -> k is not null)"), F.expr("cast(array() as array<string>)"))
-    return out.withColumn("pii_kinds", kinds).withColumn("pii_found", F.size("pii_kinds")).drop(m, r, b)
+    return out.withColumn("pii_kinds", kinds).withColumn("pii_found", F.size("pii_kinds")).drop(m, b, r)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
