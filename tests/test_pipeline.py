@@ -53,6 +53,21 @@ def test_model_protocol(built):
     assert (ml.verdict(1.1, 1.0), ml.verdict(1.0, 1.0), ml.verdict(0.9, 1.0)) == ("beats", "level with", "does not beat")
 
 
+def test_registered_comparison_is_whole(spark, monkeypatch):
+    from tidewatch import queries
+
+    seen, fit = [], ml.fit_and_score
+
+    def quick(features, p=ml.GbtParams(), rules=True, without=()):
+        seen.append((p, rules, without))
+        return fit(features, ml.GbtParams(iterations=1, depth=2), rules, without)
+
+    monkeypatch.setattr(ml, "fit_and_score", quick)
+    rows = queries.QUERIES["l03_model_comparison"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [(ml.GbtParams(), False, ()), (ml.GbtParams(), True, ()), (ml.GbtParams(), False, ml.ARTIFACTS)]
+    assert {(r.method, r.budget) for r in rows} == {(m, b) for m in ml.FEATURE_SETS for b in ml.BUDGETS} and len(rows) == 9
+
+
 def test_permutation_importance(built):
     from pyspark.sql import functions as F
 

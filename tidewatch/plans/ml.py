@@ -17,6 +17,9 @@ BUDGETS = (1, 5, 10)  # alerts per 1,000 accounts
 # Features that the data generator may give away.
 ARTIFACTS = ("f_frac_risky_format", "f_frac_cross_currency", "f_n_self", "f_n_currencies")
 
+# Whether rule features are in, and what is left out.
+FEATURE_SETS = {"model_base": (False, ()), "model_base_rules": (True, ()), "model_no_artifacts": (False, ARTIFACTS)}
+
 
 @dataclass(frozen=True)
 class GbtParams:
