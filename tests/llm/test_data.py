@@ -37,6 +37,18 @@ def test_shards(spark, make, tmp_path):
     assert old.loads() == [load[s] for s in range(16)]
 
 
+def test_stored_map_is_edited(spark, make, tmp_path):
+    r, path = random.Random(6), str(tmp_path / "map")
+    texts = [words(r, r.randrange(1, 90)) for _ in range(1500)]
+    first = {x.doc_id: x.shard for x in assign_shards(make(texts[:1200]), map_path=path).collect()}
+    rows = assign_shards(make(texts), n_shards=17, map_path=path).collect()
+    assert {x.map_version for x in rows} == {2} and len(SlotMap.load(spark, path).shard_of) == len(SlotMap.load(spark, path, 1).shard_of) == 4096
+    moved = [x for x in rows if x.doc_id in first and x.shard != first[x.doc_id]]
+    assert {x.shard for x in moved} == {16} and len(moved) < len(first) / 8
+    with pytest.raises(ValueError):
+        assign_shards(make(texts), n_slots=64, map_path=path)
+
+
 def test_hot_group_is_dealt(make):
     rows = assign_shards(make(["hot " * 50] * 400 + [f"t{k}" for k in range(100)])).collect()
     load = Counter()

@@ -42,6 +42,11 @@ class SlotMap:
         """Append this version to the table of maps; earlier versions stay readable."""
         spark.createDataFrame(self.rows(), MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
+    @staticmethod
+    def stored(spark: SparkSession, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         table = spark.read.parquet(path)
@@ -98,7 +103,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, lane
 
     Columns: doc_id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 (of those bytes), virtual_slot,
     shard, slot (place in its shard, gapless from 0), map_version. Equal texts share a virtual slot, unless they
-    together weigh more than half of a shard's fair part: such a group is dealt by doc_id. An empty table gives no rows; rows with
+    together weigh more than half of a shard's fair part: such a group is dealt by doc_id. Where map_path holds a map, its latest
+    version is edited for these rows and saved as the next; else a new map is made, and saved if there is a map_path. An empty table gives no rows; rows with
     equal or null ids are rows like any other.
 
     Scale: the text is read once, into a table of 40 bytes a row; the map is n_slots numbers (a parameter, whatever the
@@ -119,7 +125,13 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, lane
     weight = [0] * n_slots
     for (slot, _), (size, _) in cells.items():
         weight[slot] += size
-    slot_map = build_map(weight, n_shards)
+    if map_path and SlotMap.stored(spark, map_path):
+        old = SlotMap.load(spark, map_path)
+        if len(old.shard_of) != n_slots:
+            raise ValueError(f"the map at {map_path} has {len(old.shard_of)} slots, not {n_slots}")
+        slot_map = rebalance(old, weight, n_shards)
+    else:
+        slot_map = build_map(weight, n_shards)
     if map_path:
         slot_map.save(spark, map_path)
     begin, table = [0] * n_shards, []
