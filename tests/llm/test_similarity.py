@@ -147,6 +147,13 @@ def test_leaks_of_odd_tables(spark, odd, none):
     assert find_leaks(none, bench).count() == 0 and find_leaks(odd, bench.limit(0)).count() == 0 and without_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_short_items_are_found_exactly(spark, make):
+    bench = spark.createDataFrame([(0, "Who wrote Faust?"), (1, "zebra"), (2, "..."), (3, "who wrote it")], "item_id long, text string")
+    docs = make(["they asked: who wrote faust", "who then wrote Faust", "a Zebra, and another", "wrote faust who", "zebras", ""])
+    assert sorted((x.doc_id, x.item_id, x.edits) for x in find_leaks(docs, bench).collect()) == [(0, 0, 0), (2, 1, 0)]
+    assert sorted(x.doc_id for x in without_leaks(docs, bench).collect()) == [1, 3, 4, 5]
+
+
 def test_words_do_not_run_over_texts():
     got = [(list(np.diff(first)), len(set(w))) for _, _, w, first in iter_words(pa.array(["ab cd", "ab", None, "", "ab cd\nÉt"]))]
     assert got == [([2, 1, 0, 0, 3], 3)]

@@ -22,7 +22,7 @@ from .textkernel import GRAM_BASE, iter_words, mix, powers
 @dataclass(frozen=True)
 class EditConfig:
     rate: float = 0.2  # word edits allowed, as a share of the item's words
-    least_words: int = 5  # shorter items say nothing about a document and are left out
+    least_words: int = 1  # shorter items are left out; items of fewer than 1 / rate words must stand exactly
     block_words: int = 1_000_000  # words of test items that one pass over the documents holds
 
 
@@ -168,7 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
     end_word (where that passage ends).
 
     Words are lower-cased runs of letters and digits, so case, punctuation and line breaks don't matter. Null and empty texts
-    hold nothing; null and shorter items than least_words are left out; repeated rows and items give repeated rows. Empty tables give no rows.
+    hold nothing; null items, those without words and those shorter than least_words are left out; repeated rows and items give repeated rows. Empty tables give no rows.
 
     Scale: one pass over the texts for each block of test items, and no exchange; a passage that a third of all texts share costs each
     of them one verification.
