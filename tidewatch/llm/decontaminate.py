@@ -1,8 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m words may differ from a passage by k = rate x m word edits. Cut into k + 1 pieces, at least one piece then stands
-unchanged in the passage; exact piece hits, found by rolling word hashes, name the places, and Myers' bit-parallel
-edit distance over words decides.
+unchanged in the passage; exact piece hits, found by rolling word hashes, name the places. A place goes on only if it holds m - k
+of the item's words, as a passage within k edits must; then Myers' bit-parallel edit distance over words decides.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .textkernel import GRAM_BASE, iter_words, mix, powers
 class EditConfig:
     rate: float = 0.2  # word edits allowed, as a share of the item's words
     least_words: int = 1  # shorter items are left out; items of fewer than 1 / rate words must stand exactly
-    block_words: int = 1_000_000  # words of test items that one pass over the documents holds
+    block_words: int = 8_000_000  # words of test items that one pass over the documents holds, at some 25 bytes a word
 
 
 def near_distance(pattern: list[int], text: list[int], most: int) -> tuple[int, int]:
@@ -65,6 +65,9 @@ class Pieces:
             cut = np.linspace(0, len(words), most + 2).round().astype(int)
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 by_length.setdefault(int(hi - lo), []).append((int(rolling(words[lo:hi], int(hi - lo))[0]), at, int(lo)))
+        owner = np.repeat(np.arange(len(self.items), dtype=np.uint64), [len(w) for _, w, _ in self.items])
+        pairs = owned(owner, np.concatenate([w for _, w, _ in self.items])) if self.items else np.zeros(0, np.uint64)
+        self.pairs, self.times = np.unique(pairs, return_counts=True)
         self.by_length = {}
         for n, rows in by_length.items():
             rows.sort()
@@ -93,6 +96,25 @@ class Pieces:
         return np.concatenate(items), np.concatenate(starts)
 
 
+    def enough(self, words: np.ndarray, windows: list[tuple[int, int, int]]) -> np.ndarray:
+        """Which windows (item, from, to) hold as many words of the item, each as often as the item has it at most, as a near passage must."""
+        item, lo, hi = (np.array(x, np.int64) for x in zip(*windows, strict=True))
+        size = hi - lo
+        window = np.repeat(np.arange(len(size)), size)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        key = owned(item[window].astype(np.uint64), words[at])
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        known = self.pairs[place] == key
+        seen, count = np.unique(window[known] * len(self.pairs) + place[known], return_counts=True)
+        held = np.bincount(seen // len(self.pairs), np.minimum(count, self.times[seen % len(self.pairs)]), minlength=len(size))
+        return held >= [len(self.items[i][1]) - self.items[i][2] for i in item]
+
+
+def owned(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A key for each word of an item."""
+    return mix(words ^ mix(item + np.uint64(1)))
+
+
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
     p = powers(GRAM_BASE, n)
     out = np.zeros(len(words) - n + 1, np.uint64)
@@ -119,17 +141,25 @@ def matches(pieces: Pieces, words: np.ndarray, first: np.ndarray) -> list[tuple[
                 groups.append(held)
             held = (i, s, s)
     groups.append(held)
+    windows, texts = [], []
     for i, lo, hi in groups:
         _, pattern, most = pieces.items[i]
         lo, hi = max(0, lo - most), min(len(words), hi + len(pattern) + most)
         # a window may touch more than one text: each part is tried by itself
         for t in range(int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi, "left"))):
             a, b = max(lo, int(first[t])), min(hi, int(first[t + 1]))
-            if b - a < len(pattern) - most:
-                continue
-            edits, end = near_distance(pattern.tolist(), words[a:b].tolist(), most)
-            if edits <= most and (edits, a + end) < best.get((t, i), (most + 1, 0, 0))[:2]:
-                best[t, i] = (edits, a + end, a)
+            if b - a >= len(pattern) - most:
+                windows.append((i, a, b))
+                texts.append(t)
+    if not windows:
+        return []
+    passed = [lo + k for lo in range(0, len(windows), 20_000) for k in np.flatnonzero(pieces.enough(words, windows[lo : lo + 20_000]))]
+    for k in passed:
+        (i, a, b), t = windows[k], texts[k]
+        _, pattern, most = pieces.items[i]
+        edits, end = near_distance(pattern.tolist(), words[a:b].tolist(), most)
+        if edits <= most and (edits, a + end) < best.get((t, i), (most + 1, 0, 0))[:2]:
+            best[t, i] = (edits, a + end, a)
     return [(t, i, e, a - int(first[t]), end - int(first[t])) for (t, i), (e, end, a) in sorted(best.items())]
 
 
@@ -167,11 +197,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
     """One row for each row of docs and each test item found in it: doc_id, item_id, edits (least, of its best passage), item_words,
     end_word (where that passage ends).
 
-    Words are lower-cased runs of letters and digits, so case, punctuation and line breaks don't matter. Null and empty texts
+    Words are lower-cased runs of letters, marks and digits of any script, so case, punctuation and line breaks don't matter. Null and empty texts
     hold nothing; null items, those without words and those shorter than least_words are left out; repeated rows and items give repeated rows. Empty tables give no rows.
 
-    Scale: one pass over the texts for each block of test items, and no exchange; a passage that a third of all texts share costs each
-    of them one verification.
+    Scale: one pass over the texts (one for each block_words of a benchmark beyond that size), and no exchange; a passage that a third of
+    all texts share costs each of them one verification, and a common piece without its passage a count of words.
     """
     small_batches(docs.sparkSession)
     out = None

@@ -1,11 +1,12 @@
 """Vectorised text work on Arrow string columns: words, word hashes and word n-grams, without a Python loop per word.
 
-A word is a maximal run of ASCII letters, digits and underscores and of bytes above 127 in the lower-cased
-text. Nulls count as empty texts. Work goes in slices of a few MB, so memory follows the longest text, not the batch.
+A word is a maximal run of letters, digits, combining marks (of any script) and underscores in the lower-cased
+text; quotes, dashes and other signs of any script part words. Nulls count as empty texts. Work goes in slices of a few MB, so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,9 @@ _rng = np.random.default_rng(20240917)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GRAM_BASE = np.uint64(0xD6E8FEB86659FD93)
-IS_WORD = np.zeros(256, bool)
-IS_WORD[128:] = True
+IS_WORD = np.zeros(256, bool)  # bytes below 128; characters of more bytes are looked up in LETTERS
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
+LETTERS = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x33480)] + [False])  # code points; no later plane has letters
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,12 +61,28 @@ def slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of a run of UTF-8 belong to words."""
+    out = IS_WORD[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        end = len(data) - 1
+        b, size = data[lead].astype(np.int64), 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        tail = [data[np.minimum(lead + k, end)] & np.int64(63) for k in (1, 2, 3)]
+        code = np.choose(size - 2, [(b & 31) << 6 | tail[0], (b & 15) << 12 | tail[0] << 6 | tail[1], (b & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]])
+        good = LETTERS[np.minimum(code, len(LETTERS) - 1)]
+        lead, size = lead[good], size[good]
+        for k in range(4):
+            out[np.minimum(lead[size > k] + k, end)] = True
+    return out
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and length of every word, and for each text the index of its first word (one more than texts)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    isw = IS_WORD[data]
+    isw = word_bytes(data)
     first = isw.copy()
     first[1:] &= ~isw[:-1]
     cut = off[:-1][off[:-1] < n]
