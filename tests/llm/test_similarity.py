@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected_components
@@ -19,7 +20,7 @@ from .conftest import words
 
 
 def grams(text, n=5):
-    w = re.findall(r"[0-9a-z_\x80-\U0010ffff]+", (text or "").lower())
+    w = regex.findall(r"[\p{L}\p{N}\p{M}_]+", (text or "").lower())
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
@@ -56,6 +57,37 @@ def test_classes_and_links_equal_brute_force(make, near_texts, cfg):
     assert [got[k].n_links for k in range(len(near_texts))] == links
 
 
+def test_recall_at_the_threshold(make):
+    r = random.Random(12)
+    texts = []
+    while len(texts) < 4000:
+        base = [f"{r.getrandbits(40):x}" for _ in range(60)]
+        other = list(base)
+        other[r.randrange(60)] = "x"
+        if r.random() < 0.5:
+            other[0] = "y"
+        a, b = grams(" ".join(base)), grams(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.86:
+            texts += [" ".join(base), " ".join(other)]
+    rows = {x.doc_id: x.n_links for x in classify(make(texts)).collect()}
+    assert sum(rows.values()) >= 0.99 * len(texts) and max(rows.values()) == 1
+
+
+def test_dense_nodes_follow_longer_prefixes(make):
+    """One group of near texts much larger than a node, and texts at the threshold from it: the components are found whole."""
+    r = random.Random(13)
+    base = words(r, 60).split()
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for at in r.sample(range(60), r.choice([0, 1, 1, 2])):
+            w[at] = r.choice(["aa", "bb", "cc"])
+        texts.append(" ".join(w))
+    label, links = brute(texts)
+    got = {x.doc_id: x for x in classify(make(texts), ForestConfig(node_rows=8, block_bytes=4000)).collect()}
+    assert [got[k].class_id for k in range(len(texts))] == label and [got[k].n_links for k in range(len(texts))] == links
+
+
 def test_one_of_each_keeps_the_least_id(make, near_texts):
     label, _ = brute(near_texts)
     assert sorted(r.doc_id for r in one_of_each(make(near_texts)).collect()) == sorted(set(label))
@@ -69,6 +101,31 @@ def test_join_of_odd_tables(odd, none):
     kept = one_of_each(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id = 4").count() == 1
     assert classify(none).count() == 0 and one_of_each(none).count() == 0
+    tie = odd.filter("doc_id = 4").limit(1).withColumn("doc_id", F.explode(F.array(F.lit(None).cast("long"), F.lit(3).cast("long"))))
+    assert [x.class_id for x in classify(tie).collect()] == [3, 3] and [x.doc_id for x in one_of_each(tie).collect()] == [3]
+
+
+def test_words_of_any_script():
+    text = "“Curly” «guillemets» dash–dash… ¿qué? ¡sí! „so“ e\u0301tude \u0e44\u0e17\u0e22\u0e21\u0e37\u0e2d \U0001f600x \u4e2d\u6587\u3002\u5b57 a_b ½ İx"
+    for t in (text, text[::-1], "", "\u201c", "…a"):
+        for _, _, w, _ in iter_words(pa.array([t])):
+            assert len(w) == len(regex.findall(r"[\p{L}\p{N}\p{M}_]+", t.lower()))
+
+
+def test_signs_of_other_scripts_part_words(spark, make):
+    item = words(random.Random(3), 12)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    signs = [("“", "”"), ("«", "»"), ("¿", "?"), ("–", "…"), ("„", "“")]
+    docs = make([f"x {a}{b.join(item.split())}{b} y" if b != "?" else f"x {a}{item}{b} y" for a, b in signs])
+    assert sorted((x.doc_id, x.edits) for x in find_leaks(docs, bench).collect()) == [(k, 0) for k in range(5)]
+
+
+def test_common_pieces_without_the_passage(spark, make):
+    r = random.Random(4)
+    item = words(r, 40).split()
+    texts = [" ".join(w for _ in range(60) for w in (*item[4 * (k % 9) : 4 * (k % 9) + 6], f"q{k}")) for k in range(40)] + [" ".join(item[:36])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(x.doc_id, x.edits) for x in find_leaks(make(texts), bench).collect()] == [(40, 4)]
 
 
 def test_depth_reaches_the_target():
@@ -128,7 +185,7 @@ def test_leaks_equal_brute_force(spark, make):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {}
     for d, t in enumerate(texts):
-        tw = re.findall(r"\w+", t.lower())
+        tw = regex.findall(r"[\p{L}\p{N}\p{M}_]+", t.lower())
         for i, item in enumerate(items):
             m = item.split()
             if (e := distance(m, tw)) <= int(0.2 * len(m)):

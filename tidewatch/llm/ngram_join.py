@@ -1,13 +1,17 @@
 """Join of texts by the Jaccard similarity of their word n-grams: MinHash LSH forest, then exact verification.
 
-Equal n-gram sets fall together first. Each remaining set gets a signature for a forest of prefix tries; the prefix that must match is shortened
-from its full depth until pairs at the threshold are found with the target recall. Sets that share a trie node and whose signatures
-are near enough form coarse classes; within these, in blocks, all intersections are counted exactly. Pairs are never
-rows: a block gives each set's links and a spanning forest of the links found.
+Equal n-gram sets fall together first. Each remaining set has a signature of trees x max_depth MinHash values; a tree orders the sets by their
+values as a trie does. Where few sets share the prefix of `depth` values, they are compared there. Where many do, the trie is followed to
+longer prefixes until its nodes are small, which alone would lose pairs at the threshold; so for a set whose recall falls short of the
+target, prefixes are shortened again, in the smallest nodes first, until the target is reached, against those sets only that the longer
+prefixes did not connect with it. What is near by signature forms coarse classes; within these, in blocks, all intersections are
+counted exactly. Pairs are never rows: a block gives each set's links and a spanning forest of the links found.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -29,17 +33,20 @@ class ForestConfig:
     trees: int = 32
     max_depth: int = 8
     target_recall: float = 0.99999
-    coarse: float = 0.65  # least share of equal signature values between sets that are compared exactly
-    node_rows: int = 1024  # signatures of a trie node that one block holds
+    coarse: float = 0.675  # least share of equal signature values between sets that are compared exactly: 5 deviations below 0.8
+    node_rows: int = 256  # signatures that one block of a trie holds
     block_bytes: int = 8_000_000  # n-grams of a class that one block holds
-    filter_bits: int = 1 << 24
     seed: int = 5
 
+    def missed(self, depth: int) -> float:
+        """Logarithm of the chance that a pair at the threshold doesn't share a prefix of this length in one tree."""
+        return math.log(1 - float(self.similarity) ** depth)
+
     @property
     def depth(self) -> int:
-        """The longest prefix at which a pair at the threshold is still found with the target recall in some tree."""
-        s, depth = float(self.similarity), self.max_depth
-        while depth > 1 and 1 - (1 - s**depth) ** self.trees < self.target_recall:
+        """The longest prefix, short of the whole, at which a pair at the threshold is found with the target recall, if it is the same in all trees."""
+        depth = self.max_depth - 1
+        while depth > 1 and self.trees * self.missed(depth) > math.log(1 - self.target_recall):
             depth -= 1
         return depth
 
@@ -63,17 +70,14 @@ def fingerprints(g: np.ndarray, off: np.ndarray, raw: list[bytes]) -> np.ndarray
         for k, c in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             out[full, k] = mix(np.add.reduceat(mix(g ^ np.uint64(c)), off[full]) + np.diff(off)[full].astype(np.uint64))
     for k in np.flatnonzero(np.diff(off) == 0):
-        h = np.uint64(len(raw[k]) + 1)
-        for b in raw[k]:
-            h = mix(np.array([h ^ np.uint64(b + 257)], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
-        out[k] = (np.uint64(1), h)
+        out[k] = np.frombuffer(hashlib.blake2b(raw[k], digest_size=16).digest(), np.uint64)
     return out
 
 
 def signatures(g: np.ndarray, off: np.ndarray, cfg: ForestConfig) -> np.ndarray:
-    """Least values of trees x depth hash functions over each set, as 32-bit numbers; sets must not be empty."""
+    """Least values of trees x max_depth hash functions over each set, as 32-bit numbers; sets must not be empty."""
     rng = np.random.default_rng(cfg.seed)
-    n = cfg.trees * cfg.depth
+    n = cfg.trees * cfg.max_depth
     a, b = (rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1) for _ in range(2))
     c = rng.integers(0, 2**32, n, dtype=np.uint32)
     hi, lo = (g >> np.uint64(32)).astype(np.uint32), g.astype(np.uint32)
@@ -112,7 +116,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """doc_id, row_key, fp, n (distinct n-grams), keys (a trie node for each tree), low (signature's lowest bytes) of every row."""
+    """doc_id, row_key, fp, n (distinct n-grams), keys (each tree's node at `depth`), low (lowest byte of each signature value, tree after tree) of every row."""
     trees, depth = cfg.trees, cfg.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +125,13 @@ def sketch(docs: DataFrame, cfg: ForestConfig) -> DataFrame:
                 n = np.diff(off)
                 full = np.flatnonzero(n)
                 keys = np.zeros((j - i, trees), np.uint64)
-                low = np.zeros((j - i, trees * depth), np.uint8)
+                low = np.zeros((j - i, trees * cfg.max_depth), np.uint8)
                 if len(full):
                     sig = signatures(g, np.concatenate((off[full], off[-1:])), cfg)
                     low[full] = sig.astype(np.uint8)
                     node = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
                     for d in range(depth):
-                        node = mix(node + sig[:, d::depth].astype(np.uint64))
+                        node = mix(node + sig[:, d :: cfg.max_depth].astype(np.uint64))
                     keys[full] = node
                 count = np.where(n > 0, trees, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
@@ -181,33 +185,131 @@ def _flat(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1)
 
 
-def coarse_edges(nodes: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """(a, b): a spanning forest of the near signatures in each block of a trie node (node, ci, cj, chunk, fp, low)."""
+def near_labels(low: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """Least connected row of each, from the given labels on: neighbours in the order of the trie first, then all rows that are still apart."""
+    label = label.copy()
+
+    def join(a: int, b: int) -> None:
+        lo, hi = sorted((label[a], label[b]))
+        label[label == hi] = lo
+
+    order = np.lexsort(low.T[::-1])
+    for k in np.flatnonzero((low[order[1:]] == low[order[:-1]]).sum(1) >= least):
+        join(order[k], order[k + 1])
+    for k in range(len(low)):
+        other = np.flatnonzero(label != label[k])
+        other = other[other > k]
+        for j in other[(low[other] == low[k]).sum(1) >= least]:
+            join(k, j)
+    return label
+
+
+def coarse_edges(blocks: DataFrame, keys: list[str], cfg: ForestConfig) -> DataFrame:
+    """(a, b): a spanning forest of the near signatures in each block (keys, fp, low, component), beyond what the components connect.
+
+    blocks are dealt and sorted by their keys. A null component is the set's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        for block in _by_run(batches, ["node", "ci", "cj"]):
-            n = len(block)
-            if n < 2:
+        for block in _by_run(batches, keys):
+            if len(block) < 2:
                 continue
             fp, low = block.column("fp").to_pylist(), _flat(block.column("low"), np.uint8)
-            least = cfg.coarse * low.shape[1] + (1 - cfg.coarse) * low.shape[1] / 256
-            if n == 2:
-                if (low[0] == low[1]).sum() >= least:
-                    out.append((fp[0], fp[1]))
-            else:
-                adj = np.zeros((n, n), bool)
-                for k in range(n):
-                    adj[k] = (low == low[k]).sum(1) >= least
-                label = _forest(adj)
-                out += [(fp[k], fp[label[k]]) for k in range(n) if label[k] != k]
+            known = [c or f for c, f in zip(block.column("component").to_pylist(), fp, strict=True)]
+            first: dict[bytes, int] = {}
+            label = np.array([first.setdefault(c, k) for k, c in enumerate(known)])
+            if not label.any():
+                continue
+            new = near_labels(low, label, cfg.coarse * low.shape[1] + (1 - cfg.coarse) * low.shape[1] / 256)
+            out += [(fp[k], fp[new[k]]) for k in np.flatnonzero((new != label) & (label == np.arange(len(fp))))]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return nodes.select("node", "ci", "cj", "fp", "low").mapInArrow(run, "a binary, b binary")
+    return blocks.select(*keys, "fp", "low", "component").mapInArrow(run, "a binary, b binary")
+
+
+def tries(sets: DataFrame, cfg: ForestConfig, scratch: Scratch) -> DataFrame:
+    """(node, fp, m, low, piece) of the sets that share their node at `depth` in some tree with others: m sets there, and piece the values beyond that prefix."""
+    in_nodes = sets.select("fp", F.posexplode("keys").alias("tree", "node"))
+    shared = in_nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+    members = in_nodes.join(shared, "node").join(sets.select("fp", "low"), "fp")
+    return members.withColumn("piece", F.expr(f"substring(low, tree * {cfg.max_depth} + {cfg.depth + 1}, {cfg.max_depth - cfg.depth})"))
+
+
+def small_nodes(large: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """(node, piece, more, rows, leader): how many values beyond `depth` the trie is followed for the sets of a node with this piece, the sets there, and the least of the full prefix."""
+    most = cfg.max_depth - cfg.depth
+    full = large.groupBy("node", "piece").agg(F.count("*").alias("n"), F.min("fp").alias("leader"))
+    out = full.withColumn(f"n{most}", F.col("n"))
+    for k in range(1, most):
+        start = F.expr(f"substring(piece, 1, {k})").alias("__start")
+        sums = full.select("node", start, "n").groupBy("node", "__start").agg(F.sum("n").alias(f"n{k}"))
+        out = out.withColumn("__start", start).join(sums, ["node", "__start"]).drop("__start")
+    more, rows = F.lit(most), F.col(f"n{most}")
+    for k in range(most - 1, 0, -1):
+        fits = F.col(f"n{k}") <= cfg.node_rows
+        more, rows = F.when(fits, k).otherwise(more), F.when(fits, F.col(f"n{k}")).otherwise(rows)
+    return out.select("node", "piece", more.alias("more"), rows.alias("rows"), "leader")
+
+
+def long_prefixes(large: DataFrame, cfg: ForestConfig, scratch: Scratch) -> DataFrame:
+    """The sets of large nodes, each with the small node further down (block) that it is compared in, and with how many more values (more).
+
+    A full prefix that too many sets share is cut into chunks, each with the prefix's least set: they are nearly equal, so most are near that one.
+    """
+    large = large.join(small_nodes(large, cfg), ["node", "piece"])
+    block = F.xxhash64("node", "more", F.expr("substring(piece, 1, more)"))
+    chunks = F.ceil(F.col("rows") / cfg.node_rows).cast("int")
+    own = F.when(F.col("rows") <= cfg.node_rows, F.array(F.lit(0))).when(F.col("fp") == F.col("leader"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), chunks).cast("int")))
+    return scratch.table(large.select("node", "m", "fp", "low", "more", block.alias("block"), own.alias("chunks")), "large")
+
+
+def shortened(large: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """Nodes at `depth` to which prefixes are shortened: for each set below the target recall, of its large nodes the smallest ones, until it reaches it."""
+    gain = F.element_at(F.array(*[F.lit(cfg.missed(cfg.depth + k) - cfg.missed(cfg.depth)) for k in range(1, cfg.max_depth - cfg.depth + 1)]), F.col("more"))
+    own = large.select("fp", "node", "m", gain.alias("gain"))
+    all_, so_far = Window.partitionBy("fp"), Window.partitionBy("fp").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a tree
+    short = F.sum("gain").over(all_) - (math.log(1 - cfg.target_recall) - cfg.trees * cfg.missed(cfg.depth))
+    return own.withColumn("short", short).withColumn("won", F.coalesce(F.sum("gain").over(so_far), F.lit(0.0))).filter("won < short").select("node").distinct()
+
+
+def _apart(rows: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """The sets of each node (node, fp, low, component, own) in blocks in which those of different components meet.
+
+    A node with one component needs none. The sets of a node's largest component don't meet one another, so their copies follow the number of the other sets."""
+    sizes = rows.groupBy("node", "own").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("node").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("m")).filter("m > top.n")
+    main = F.col("own") == F.col("top.own")
+    rows = rows.join(top, "node").withColumn("cm", F.ceil(F.col("top.n") / cfg.node_rows).cast("int")).withColumn("cu", F.ceil((F.col("m") - F.col("top.n")) / cfg.node_rows).cast("int"))
+    rows = rows.withColumn("chunk", F.when(main, F.pmod(F.xxhash64("fp"), F.col("cm"))).otherwise(F.col("cm") + F.pmod(F.xxhash64("fp"), F.col("cu"))).cast("int"))
+    return _in_blocks(rows.withColumn("first", F.when(main, F.col("cm")).otherwise(0)), "node", "first", "cm + cu")
+
+
+def coarse_classes(sets: DataFrame, cfg: ForestConfig, scratch: Scratch) -> DataFrame:
+    """(node, component): classes of sets (fp, keys, low) that near signatures connect; sets without a near one are left out."""
+    members = tries(sets, cfg, scratch)
+    none = F.lit(None).cast("binary").alias("component")
+    members = scratch.table(members.select("node", "fp", "m", "low", "piece"), "members")
+    blocks = members.filter(F.col("m") <= cfg.node_rows).select(F.col("node").alias("block"), F.lit(0).alias("chunk"), "fp", "low", none)
+    big = members.filter(F.col("m") > cfg.node_rows)
+    some_big = bool(big.limit(1).count())
+    if some_big:
+        big = long_prefixes(big, cfg, scratch)
+        blocks = blocks.unionByName(big.select("block", F.explode("chunks").alias("chunk"), "fp", "low", none))
+    by = ["block", "chunk"]
+    edges = scratch.table(coarse_edges(blocks.repartition(*by).sortWithinPartitions(*by), by, cfg).distinct(), "coarse")
+    classes = connected_components(edges, scratch)
+    if some_big:
+        rows = big.join(shortened(big, cfg), "node").select("node", "fp", "low")
+        rows = rows.join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("own", F.coalesce("component", "fp"))
+        rows = scratch.table(rows, "shortened")
+        more = coarse_edges(_apart(rows, cfg), ["node", "ci", "cj"], cfg)
+        edges = scratch.table(edges.unionByName(more).distinct(), "coarse")
+        classes = connected_components(edges, scratch)
+    return classes
 
 
 def similar(shared: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: str) -> np.ndarray:
@@ -241,6 +343,8 @@ def verified(blocks: DataFrame, cfg: ForestConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
         for block in _by_run(batches, ["class_key", "ci", "cj"]):
+            seen: set[bytes] = set()  # equal rows of other tasks
+            block = block.filter(pa.array([not (x in seen or seen.add(x)) for x in block.column("fp").to_pylist()]))
             if len(block) < 2:
                 continue
             fp, copies = block.column("fp").to_pylist(), np.asarray(block.column("copies"))
@@ -265,9 +369,9 @@ def verified(blocks: DataFrame, cfg: ForestConfig) -> DataFrame:
     return blocks.select("class_key", "ci", "cj", "chunk", "fp", "copies", "grams").mapInArrow(run, "a binary, b binary, links long")
 
 
-def _in_blocks(rows: DataFrame, key: str, chunks: str) -> DataFrame:
-    """Each row once for every pair of chunks of its key that includes its own, dealt and sorted by pair."""
-    pairs = F.explode(F.expr(f"transform(sequence(0, {chunks} - 1), c -> struct(least(c, chunk) as ci, greatest(c, chunk) as cj))"))
+def _in_blocks(rows: DataFrame, key: str, first: str, chunks: str) -> DataFrame:
+    """Each row once for every pair of its own chunk and one of those from `first` to `chunks` - 1 of its key, dealt and sorted by pair."""
+    pairs = F.explode(F.expr(f"transform(sequence({first}, {chunks} - 1), c -> struct(least(c, chunk) as ci, greatest(c, chunk) as cj))"))
     return rows.withColumn("pair", pairs).select("*", "pair.ci", "pair.cj").drop("pair").repartition(key, "ci", "cj").sortWithinPartitions(key, "ci", "cj")
 
 
@@ -282,24 +386,31 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def gram_sets(docs: DataFrame, chosen: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """fp and sorted n-grams of the rows whose row_key is in chosen (row_key, fp): a filter of fixed size thins the texts before the exact join."""
-    bits = cfg.filter_bits
-    words = docs.sparkSession.sparkContext.broadcast(_filter_words(chosen, bits))  # filter_bits / 8 bytes
+    """row_key, fp and sorted n-grams of the rows whose row_key is in chosen (row_key); of equal rows, one in each task.
+
+    A filter of 16 bits a chosen row thins the texts before their n-grams are made and joined; it stops growing at 2^28 bits (32 MB on
+    the driver), beyond which more n-grams move that the join then drops.
+    """
+    bits = 1 << min(28, max(16, (16 * chosen.count()).bit_length()))
+    words = docs.sparkSession.sparkContext.broadcast(_filter_words(chosen, bits))  # bits / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             key = batch.column(1).to_numpy()
             at = np.mod(key, bits)
-            hit = (words.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            hit = ((words.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            for k in np.flatnonzero(hit):
+                hit[k] = (own := int(key[k])) not in done
+                done.add(own)
+            batch = batch.filter(pa.array(hit))
             if not batch.num_rows:
                 continue
             for i, j, g, off, fp in _sets(batch.column(2), cfg):
                 grams = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(g.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), _fixed(fp), grams], ["row_key", "fp", "grams"])
 
-    found = _keyed(docs).mapInArrow(run, "row_key long, fp binary, grams binary")
-    return found.join(chosen, ["row_key", "fp"])
+    return _keyed(docs).mapInArrow(run, "row_key long, fp binary, grams binary")
 
 
 def classify(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
@@ -310,30 +421,23 @@ def classify(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
     equal texts. Classes join whatever links connect. Rows with equal or null ids are rows like any other; a class of null ids has a null class_id.
     An empty table gives no rows.
 
-    Scale: a row of some 450 bytes for each text goes on from one pass; text is read once more for those in coarse classes. Trie nodes and
+    Scale: a row of some 550 bytes for each text goes on from one pass; text is read once more for those in coarse classes. Trie nodes and
     classes are cut into blocks of bounded size, whatever a group's share of the rows; exact links within one class of m different texts
     cost m^2 counts, spread over (m / block)^2 tasks, but no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     rows = scratch.table(sketch(docs, cfg), "sketch")
-    first = F.min(F.struct("doc_id", "row_key"))
-    sets = rows.groupBy("fp").agg(first.alias("lead"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first(F.struct("n", "keys", "low")).alias("s"))
-    sets = scratch.table(sets.select("fp", F.col("lead.row_key").alias("row_key"), F.col("least_id").alias("rep_id"), "copies", "s.n", "s.keys", "s.low"), "sets")
-
-    in_nodes = sets.select("fp", F.explode("keys").alias("node"))
-    shared = in_nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-    members = in_nodes.join(shared, "node").join(sets.select("fp", "low"), "fp")
-    members = members.withColumn("chunks", F.ceil(F.col("m") / cfg.node_rows).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    coarse = scratch.table(coarse_edges(_in_blocks(members, "node", "chunks"), cfg).distinct(), "coarse")
-    classes = connected_components(coarse, scratch)
-    scratch.drop(coarse)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
+    sets = rows.groupBy("fp").agg(first.alias("lead"), F.count("*").alias("copies"), F.first(F.struct("n", "keys", "low")).alias("s"))
+    sets = scratch.table(sets.select("fp", "lead.row_key", F.col("lead.doc_id").alias("rep_id"), "copies", "s.n", "s.keys", "s.low"), "sets")
 
+    classes = coarse_classes(sets.filter("n > 0"), cfg, scratch)
     inside = classes.select(F.col("node").alias("fp"), F.xxhash64("component").alias("class_key")).join(sets.select("fp", "row_key", "copies", "n"), "fp")
     weight = inside.groupBy("class_key").agg(F.ceil(F.sum(F.col("n") * 8.0 + 64) / cfg.block_bytes).cast("int").alias("chunks"))
     inside = scratch.table(inside.join(weight, "class_key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")), "inside")
-    grams = gram_sets(docs, inside.select("row_key", "fp"), cfg).groupBy("fp").agg(F.first("grams").alias("grams"))
-    blocks = _in_blocks(inside.join(grams, "fp").select("class_key", "chunks", "chunk", "fp", "copies", "grams"), "class_key", "chunks")
+    grams = gram_sets(docs, inside.select("row_key"), cfg)
+    blocks = _in_blocks(grams.join(inside, ["row_key", "fp"]).select("class_key", "chunks", "chunk", "fp", "copies", "grams"), "class_key", "0", "chunks")
     found = scratch.table(verified(blocks, cfg), "links")
     final = connected_components(found.filter("b is not null"), scratch)
 

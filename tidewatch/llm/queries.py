@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import sql
+
 NAMES = {
     "op1_decontaminate": "decontaminate",
     "op2_sharding": "sharding",
@@ -18,9 +23,21 @@ NAMES = {
 }
 
 
-def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in NAMES.items()}
+ORACLES = {"op7_ngram_join": sql.NGRAM_JOIN}
+
+
+def _late(name: str, module: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, its module imported when it is called: one that can't be imported fails alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _late(name, module) for name, module in NAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
