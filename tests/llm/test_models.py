@@ -47,20 +47,61 @@ def test_voters_see_disguises():
     assert names("an 1d10t") == {"leet"} and names("s-t-u-p-i-d man") == {"spaced"} and "aimed" in names("you are an idiot") and not names("studious people")
 
 
-def test_network_gradient_and_whole_texts(spark, make):
+def small_network():
     cfg = lm.LmConfig(digits=(4, 4), classes=4, hidden=3, batch=8)
     net, r = lm.Network(cfg), np.random.default_rng(0)
-    token = r.integers(0, 16, 400)
-    near = lm.windows(token, np.array([0, 150, 150, 400]), 2)
-    assert near[0].tolist()[:2] == [0, 0] and near[149].tolist()[2:] == [0, 0] and near[1].tolist() == [0, token[0], token[2], token[3]]
-    total = np.zeros(400)
-    for t in range(16):
-        total += np.exp(net.log_probability(near, np.full(400, t)))
-    assert np.allclose(total, 1, atol=1e-4)
-    before = net.log_probability(near, token).mean()
-    for _ in range(60):
-        net.step(near, token, 0.3)
-    assert net.log_probability(near, token).mean() > before + 0.1
+    net.flat[:] = r.normal(0, 0.5, len(net.flat))
+    return cfg, net, r
+
+
+def test_network_against_single_tokens():
+    """Each token's probability by itself, from its neighbours in its own text; over all tokens they sum to 1."""
+    cfg, net, r = small_network()
+    token, first = r.integers(0, 16, 60), np.array([0, 25, 25, 26, 60])
+    got = net.log_probability(token, first)
+    for lo, hi in zip(first[:-1], first[1:]):
+        text = [cfg.edge] * 2 + token[lo:hi].tolist() + [cfg.edge] * 2
+        for at in range(2, len(text) - 2):
+            h = np.tanh(net.offset + sum(net.embed[0][text[at - d]] + net.embed[1][text[at + d]] for d in (1, 2)))
+            high = h @ net.high + net.high_bias
+            p = {}
+            for t in range(16):
+                low = h @ net.low + net.low_bias[t // 4]
+                p[t] = np.exp(high[t // 4]) / np.exp(high).sum() * np.exp(low[t % 4]) / np.exp(low).sum()
+            assert sum(p.values()) == pytest.approx(1, abs=1e-5) and got[lo + at - 2] == pytest.approx(np.log(p[text[at]]), abs=1e-4)
+    assert np.allclose(lm.scored(net, token[26:], np.array([0, 34]), most=5), got[26:], atol=1e-5)
+
+
+def test_network_learns():
+    cfg, net, r = small_network()
+    token = np.repeat(r.integers(0, 16, 100), 4)
+    first = np.array([0, 150, 150, 400])
+    before = net.log_probability(token, first).mean()
+    for _ in range(200):
+        net.step(token, first, 0.5, 0.3)
+    assert net.log_probability(token, first).mean() > before + 1
+
+
+def test_network_beats_counts(spark):
+    """On texts that it has not seen, each token given its neighbours is likelier than by its count alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    new = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    counts, cfg = lm.word_counts(docs.filter(~new)).persist(), lm.LmConfig()
+    tokens = lm.tokenise(docs, lm.vocabulary(counts, cfg), cfg).filter("key is not null").persist()
+    codes = lm.token_codes(*lm.neighbours(tokens.filter(~new), cfg), cfg)
+    net, unigram, gain, n = lm.train(tokens.filter(~new), codes, cfg), np.log((codes.counts + 0.1) / (codes.counts + 0.1).sum()), 0.0, 0
+    for r in tokens.filter(new).select("tokens").collect():
+        token = codes.number[np.frombuffer(r.tokens, cfg.token).astype(np.int64)]
+        gain += (lm.scored(net, token, np.array([0, len(token)])) - unigram[token]).sum()
+        n += len(token)
+    assert gain / n > 0.5
+
+
+def test_scores_do_not_hang_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cfg = lm.LmConfig(group_tokens=5000)
+    few, many = ({r.doc_id: r.log_likelihood for r in lm.score_documents(docs.repartition(n, F.rand(n)), cfg).collect()} for n in (2, 16))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) <= 1e-6 * max(1, abs(few[k])) for k in few)
 
 
 def test_scores(spark, make, odd, none):
@@ -74,7 +115,7 @@ def test_scores(spark, make, odd, none):
 
 
 def test_every_word_has_its_own_probability(spark, make):
-    cfg = lm.LmConfig(digits=(4, 4), classes=1, rounds=1)
+    cfg = lm.LmConfig(digits=(4, 4), classes=2, rounds=1)
     usual = [" ".join(f"w{k}" for k in range(14))] * 60
     rows = {x.doc_id: x for x in lm.score_documents(make([*usual, *["w1 w2 seldom w3 w4"] * 6, "w1 w2 junk w3 w4", "w5 junk2 junk3 w6"]), cfg).collect()}
     assert rows[60].log_likelihood - rows[66].log_likelihood == pytest.approx(np.log(6), abs=1e-4)
@@ -83,11 +124,11 @@ def test_every_word_has_its_own_probability(spark, make):
 
 
 def test_vocabulary_grows(spark):
-    counts = spark.range(3000).selectExpr("id as word", "500L as n")
+    counts = spark.range(9000).selectExpr("id as word", "500L as n", "id as ending")
     assert lm.grown(lm.LmConfig(), counts) == lm.LmConfig()
-    more = spark.range(3000).selectExpr("id as word", "5000L as n")
+    more = spark.range(9000).selectExpr("id as word", "50000L as n", "id as ending")
     cfg = lm.grown(lm.LmConfig(), more)
-    assert cfg.words >= 3000 and len(lm.vocabulary(more, cfg).hashes) == 3000 and lm.grown(cfg, more.limit(0)) == cfg
+    assert cfg.words >= 9000 and cfg.digits[0] & (cfg.digits[0] - 1) == 0 and len(lm.vocabulary(more, cfg).hashes) == 9000 and lm.grown(cfg, more.limit(0)) == cfg
 
 
 def test_rules_and_parts(spark):
