@@ -86,25 +86,51 @@ def test_split_tree_is_exact():
     assert np.abs(many - 15).max() < 1
 
 
-def test_mix(make):
+@pytest.mark.parametrize("bits", [2, 5, 12])
+def test_mix(make, bits):
     r = random.Random(4)
     texts = [words(r, r.randrange(0, 60)) for _ in range(600)] + [None]
     sources = [r.choice(["a", "a", "a", "b", "c", "d", None]) for _ in texts]
-    df, cfg = make(texts, sources), MixConfig(block_words=64, lanes=16)
-    rows = plan_mix(df, cfg).collect()
+    df, cfg = make(texts, sources), MixConfig(block_bits=bits)
+    rows = {x.doc_id: x for x in plan_mix(df, cfg).collect()}
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
     want = {s: (n, t) for s, n, t in source_targets(list({s: sum(z for z, o in zip(size, sources) if o == s) for s in set(sources)}.items()), cfg)}
     taken = Counter()
-    for x in rows:
+    for x in rows.values():
         assert (x["size"], x.source_size, x.target) == (size[x.doc_id], *want[sources[x.doc_id]])
         assert 0 <= x.taken <= 2 * x["size"] and len(x.shards) == -(-x.taken // max(1, x["size"])) and all(0 <= s < 16 for s in x.shards)
         taken[sources[x.doc_id]] += x.taken
     assert all(taken[s] == round(t) for s, (_, t) in want.items())
-    assert sorted(map(tuple, plan_mix(df, cfg).select("doc_id", "taken").collect())) == sorted((x.doc_id, x.taken) for x in rows)
-    out = Counter(x.doc_id for x in realise(df, cfg).collect())
+    assert {d: (x.taken, x.shards) for d, x in rows.items()} == {x.doc_id: (x.taken, x.shards) for x in plan_mix(df.repartition(3), cfg).collect()}
+    # blocks as the plan's key gives them: whole ones are drawn, and each draw of a block stands in one shard
+    blocks = defaultdict(set)
+    for d, x in rows.items():
+        if x["size"]:
+            blocks[sources[d], x.key >> (63 - bits)].add((-(-x.taken // x["size"]), tuple(x.shards)))
+    partial = {s: sum(len(b) > 1 for (o, _), b in blocks.items() if o == s) for s in want}
+    assert max(partial.values()) <= 1 and all(len({b[1][:k] for b in bs for k in [min(len(c[1]) for c in bs)]}) == 1 for bs in blocks.values())
+    # the tree: every shard's draws, over all sources, differ by one at most from any other's
+    draws = Counter(s for bs in blocks.values() for s in max(bs)[1])
+    assert max(draws.values()) - min(draws[k] for k in range(16)) <= 1
+    # the rows themselves stand in the planned shards, each shard together and in another order than the input's
+    out = [(x.doc_id, x.s) for x in realise(df, cfg, "s").collect()]
+    at = defaultdict(list)
+    for d, s in out:
+        at[d].append(s)
     for s, (_, t) in want.items():
-        assert abs(sum(n * size[d] for d, n in out.items() if sources[d] == s) - t) <= 61
-    assert max(out.values()) <= 2
+        assert abs(sum(len(at[d]) * size[d] for d in at if sources[d] == s) - t) <= 61
+    whole = [d for d, x in rows.items() if x["size"] and x.taken % x["size"] == 0 and len(x.shards) == len(at[d])]
+    assert len(whole) > 500 and all(sorted(at[d]) == sorted(rows[d].shards) for d in whole) and max(map(len, at.values())) <= 2
+    runs = [s for k, (_, s) in enumerate(out) if not k or out[k - 1][1] != s]
+    assert len(runs) == len(set(runs)) and [d for d, s in out if s == runs[0]] != sorted(d for d, s in out if s == runs[0])
+
+
+def test_many_sources_take_fewer_blocks(make):
+    r = random.Random(5)
+    df = make([words(r, 9) for _ in range(50)], [f"s{k % 25}" for k in range(50)])
+    with pytest.raises(ValueError):
+        plan_mix(df, MixConfig(most_sources=24))
+    assert sum(x.taken for x in plan_mix(df, MixConfig(block_bits=25)).collect()) == sum(x.taken for x in plan_mix(df).collect())
 
 
 def test_odd_tables_mix(odd, none):
