@@ -13,7 +13,7 @@ import pytest
 from tidewatch.llm import media
 from tidewatch.llm.mixing import MixConfig, plan_mix, realise, source_targets, split_quotas
 from tidewatch.llm.pii import PiiConfig, pseudonymise
-from tidewatch.llm.sharding import SlotMap, assign_shards, build_map, rebalance
+from tidewatch.llm.sharding import ShardConfig, SlotMap, assign_shards, build_map, place, plan_shards, rebalance
 
 from .conftest import words
 
@@ -47,6 +47,35 @@ def test_stored_map_is_edited(spark, make, tmp_path):
     assert {x.shard for x in moved} == {16} and len(moved) < len(first) / 8
     with pytest.raises(ValueError):
         assign_shards(make(texts), n_slots=64, map_path=path)
+    # the first map places the first rows as it did, and later ones by the same slots
+    old = SlotMap.load(spark, path, 1)
+    again = {x.doc_id: x.shard for x in place(make(texts), old).collect()}
+    assert all(again[d] == s for d, s in first.items()) and len(again) == 1500
+
+
+def test_stored_versions(spark, tmp_path):
+    path = str(tmp_path / "map")
+    one = build_map([5, 0, 0, 9], 4, (7, -3))
+    one.save(spark, path)
+    one.save(spark, path)
+    assert SlotMap.load(spark, path) == one and SlotMap.load(spark, path).n_shards == 4 and SlotMap.versions(spark, path) == [1]
+    with pytest.raises(ValueError):
+        build_map([5, 0, 9, 0], 4, (7, -3)).save(spark, path)
+    rebalance(one, [5, 0, 0, 9], 5).save(spark, path)
+    assert SlotMap.load(spark, path).n_shards == 5 and SlotMap.load(spark, path, 1) == one
+    (tmp_path / "map" / "version=9").mkdir()  # a write that broke off
+    assert SlotMap.versions(spark, path) == [1, 2]
+
+
+def test_large_slots_are_numbered_in_lanes(make):
+    docs = make([""] * 500 + ["a b"] * 20)
+    cfg = ShardConfig(lane_rows=40)
+    rows = place(docs, plan_shards(docs, cfg), cfg, docs.columns).collect()
+    shards = defaultdict(list)
+    for x in rows:
+        shards[x.shard].append(x.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and sum(map(len, shards.values())) == 520
+    assert sorted((x.doc_id, x.text) for x in rows) == [(k, "" if k < 500 else "a b") for k in range(520)]
 
 
 def test_hot_group_is_dealt(make):
@@ -70,6 +99,8 @@ def test_rebalance_moves_little():
 
 def test_odd_tables_shard(odd, none):
     assert assign_shards(odd).count() == odd.count() and assign_shards(none).count() == 0
+    kept = assign_shards(odd, keep=odd.columns)
+    assert kept.count() == odd.count() and kept.columns.count("size") == kept.columns.count("slot") == kept.columns.count("shard") == 1 and "text" in kept.columns
 
 
 def test_targets_share_the_excess():

@@ -8,26 +8,27 @@ rebalance moves as few slots as it can and stores the next version.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
 
-MAP_SCHEMA = T.StructType([T.StructField("version", T.IntegerType(), False), T.StructField("slot", T.IntegerType(), False), T.StructField("shard", T.IntegerType(), False), T.StructField("bytes", T.LongType(), False)])
+MAP_SCHEMA = T.StructType([T.StructField("slot", T.IntegerType(), False), T.StructField("shard", T.IntegerType(), False), T.StructField("bytes", T.LongType(), False), T.StructField("n_shards", T.IntegerType(), False), T.StructField("heavy", T.ArrayType(T.LongType()), False)])
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """Which shard holds each virtual slot, with the bytes seen when the version was made."""
+    """Which shard holds each virtual slot, with the bytes seen when the version was made and the texts (by key) that are dealt by doc_id."""
 
     n_shards: int
     shard_of: tuple[int, ...]
     bytes_of: tuple[int, ...]
     version: int = 1
-    edits: tuple[tuple[int, int, int], ...] = field(default=())  # (slot, from shard, to shard) against the version before
+    heavy: tuple[int, ...] = ()
+    edits: tuple[tuple[int, int, int], ...] = field(default=(), compare=False)  # (slot, from shard, to shard) against the version before
 
     def loads(self) -> list[int]:
         out = [0] * self.n_shards
@@ -35,34 +36,38 @@ class SlotMap:
             out[shard] += size
         return out
 
-    def rows(self) -> list[tuple[int, int, int, int]]:
-        return [(self.version, k, s, b) for k, (s, b) in enumerate(zip(self.shard_of, self.bytes_of, strict=True))]
-
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the table of maps; earlier versions stay readable."""
-        spark.createDataFrame(self.rows(), MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Store this version beside the earlier ones. The same map again changes nothing; another map under a version that is stored is refused."""
+        if self.version in SlotMap.versions(spark, path):
+            if SlotMap.load(spark, path, self.version) != self:
+                raise ValueError(f"version {self.version} at {path} is another map")
+            return
+        rows = [(k, s, b, self.n_shards, list(self.heavy) if not k else []) for k, (s, b) in enumerate(zip(self.shard_of, self.bytes_of, strict=True))]
+        spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")  # of a write that broke off, what is left goes
 
     @staticmethod
-    def stored(spark: SparkSession, path: str) -> bool:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions that are wholly written."""
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        found = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        table = spark.read.parquet(path)
-        version = version or table.agg(F.max("version")).first()[0]
-        rows = table.filter(F.col("version") == version).orderBy("slot").collect()
-        return SlotMap(1 + max(r.shard for r in rows), tuple(r.shard for r in rows), tuple(r.bytes for r in rows), version)
+        """The stored version, or the latest."""
+        version = version or max(SlotMap.versions(spark, path))
+        rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}").orderBy("slot").collect()
+        return SlotMap(rows[0].n_shards, tuple(r.shard for r in rows), tuple(r.bytes for r in rows), version, tuple(rows[0].heavy))
 
 
-def build_map(bytes_of: list[int], n_shards: int) -> SlotMap:
+def build_map(bytes_of: list[int], n_shards: int, heavy: tuple[int, ...] = ()) -> SlotMap:
     """Largest slot first, always to the shard with the fewest bytes (ties: lower number)."""
     heap, shard_of = [(0, s) for s in range(n_shards)], [0] * len(bytes_of)
     for slot in sorted(range(len(bytes_of)), key=lambda k: (-bytes_of[k], k)):
         load, shard = heap[0]
         shard_of[slot] = shard
         heapq.heapreplace(heap, (load + bytes_of[slot], shard))
-    return SlotMap(n_shards, tuple(shard_of), tuple(bytes_of))
+    return SlotMap(n_shards, tuple(shard_of), tuple(bytes_of), heavy=heavy)
 
 
 def rebalance(old: SlotMap, bytes_of: list[int], n_shards: int | None = None, tolerance: float = 0.02) -> SlotMap:
@@ -95,58 +100,93 @@ def rebalance(old: SlotMap, bytes_of: list[int], n_shards: int | None = None, to
                 if to != shard and load[to] + bytes_of[slot] < load[shard]:
                     if load[to] + bytes_of[slot] <= mean * (1 + tolerance):
                         move(slot, to)
-    return SlotMap(n, tuple(shard_of), tuple(bytes_of), old.version + 1, tuple(edits))
+    return SlotMap(n, tuple(shard_of), tuple(bytes_of), old.version + 1, old.heavy, tuple(edits))
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, lanes: int = 16, map_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Put every row into a shard, near equal in bytes.
+@dataclass(frozen=True)
+class ShardConfig:
+    n_shards: int = 16
+    n_slots: int = 4096
+    lane_rows: int = 200_000  # rows of a virtual slot that are numbered together, about
+    broadcast_lanes: int = 1_000_000  # above this many rows, the table of lanes is joined by a shuffle
 
-    Columns: doc_id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 (of those bytes), virtual_slot,
-    shard, slot (place in its shard, gapless from 0), map_version. Equal texts share a virtual slot, unless they
-    together weigh more than half of a shard's fair part: such a group is dealt by doc_id. Where map_path holds a map, its latest
-    version is edited for these rows and saved as the next; else a new map is made, and saved if there is a map_path. An empty table gives no rows; rows with
-    equal or null ids are rows like any other.
 
-    Scale: the text is read once, into a table of 40 bytes a row; the map is n_slots numbers (a parameter, whatever the
-    input); places come from counts of n_slots x lanes cells, so that no task sorts more than one cell's rows.
+def _keyed(docs: DataFrame, cfg: ShardConfig, heavy: tuple[int, ...], keep: list[str]) -> DataFrame:
+    """size, text_crc32, text_key and virtual_slot of every row, beside the kept columns."""
+    text = F.coalesce("text", F.lit(""))
+    crc, key = F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("text_key")
+    out = docs.select(*[F.col(c) for c in keep], F.struct((F.octet_length(text) + 1).cast("long").alias("size"), crc, key, F.xxhash64("doc_id").alias("id_key")).alias("__row"))
+    group = F.when(F.col("__row.text_key").isin(list(heavy)), F.xxhash64("__row.id_key", "__row.text_key")).otherwise(F.col("__row.text_key")) if heavy else F.col("__row.text_key")
+    return out.withColumn("__slot", F.pmod(F.xxhash64(group), F.lit(cfg.n_slots)).cast("int"))
+
+
+def plan_shards(docs: DataFrame, cfg: ShardConfig = ShardConfig(), map_path: str | None = None) -> SlotMap:
+    """The slot map for these rows: the latest stored one edited, or a new one; stored if there is a map_path.
+
+    Equal texts share a virtual slot, unless they together weigh more than half of a shard's fair part: such a group is dealt by doc_id, from then on in all later versions.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "sharding")
-    text = F.coalesce("text", F.lit(""))
-    narrow = scratch.table(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.octet_length(text)).alias("text_key")), "rows"
-    )
-    total = narrow.agg(F.sum("size")).first()[0] or 0
+    old = SlotMap.load(spark, map_path) if map_path and SlotMap.versions(spark, map_path) else None
+    if old and len(old.shard_of) != cfg.n_slots:
+        raise ValueError(f"the map at {map_path} has {len(old.shard_of)} slots, not {cfg.n_slots}")
+    rows = Scratch(spark, "sharding").table(_keyed(docs, cfg, (), []).select("__row"), "rows")
+    total = rows.agg(F.sum("__row.size")).first()[0] or 0
     # at most 2 x n_shards groups can weigh more than half of a fair part each
-    heavy = [r[0] for r in narrow.groupBy("text_key").agg(F.sum("size").alias("b")).filter(F.col("b") * 2 * n_shards > total).select("text_key").collect()]
-    key = F.when(F.col("text_key").isin(heavy), F.xxhash64("doc_id", "text_key")).otherwise(F.col("text_key")) if heavy else F.col("text_key")
-    placed = narrow.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(lanes)).cast("int").alias("lane"))
-    cells = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("virtual_slot", "lane").agg(F.sum("size"), F.count("*")).collect()}
-    weight = [0] * n_slots
-    for (slot, _), (size, _) in cells.items():
-        weight[slot] += size
-    if map_path and SlotMap.stored(spark, map_path):
-        old = SlotMap.load(spark, map_path)
-        if len(old.shard_of) != n_slots:
-            raise ValueError(f"the map at {map_path} has {len(old.shard_of)} slots, not {n_slots}")
-        slot_map = rebalance(old, weight, n_shards)
-    else:
-        slot_map = build_map(weight, n_shards)
+    found = rows.groupBy("__row.text_key").agg(F.sum("__row.size").alias("b")).filter(F.col("b") * 2 * cfg.n_shards > total).select("text_key").collect()
+    heavy = tuple(sorted({r[0] for r in found} | set(old.heavy if old else ())))
+    group = F.when(F.col("__row.text_key").isin(list(heavy)), F.xxhash64("__row.id_key", "__row.text_key")).otherwise(F.col("__row.text_key")) if heavy else F.col("__row.text_key")
+    weight = [0] * cfg.n_slots
+    for r in rows.groupBy(F.pmod(F.xxhash64(group), F.lit(cfg.n_slots)).cast("int").alias("s")).agg(F.sum("__row.size").alias("b")).collect():
+        weight[r.s] = r.b
+    new = rebalance(replace(old, heavy=heavy), weight, cfg.n_shards) if old else build_map(weight, cfg.n_shards, heavy)
     if map_path:
-        slot_map.save(spark, map_path)
-    begin, table = [0] * n_shards, []
-    for slot, lane in sorted(cells):
+        new.save(spark, map_path)
+    return new
+
+
+def place(docs: DataFrame, slot_map: SlotMap, cfg: ShardConfig = ShardConfig(), keep: list[str] | None = None) -> DataFrame:
+    """Every row in the shard that the map gives its virtual slot: the kept columns of docs, size, text_crc32, virtual_slot, shard, slot and map_version.
+
+    The same map places the same rows in the same shards, whenever it is used. Kept columns of these names are left out. Where texts are kept, they move once, to their virtual slot.
+    """
+    spark = docs.sparkSession
+    made = {"size", "text_crc32", "virtual_slot", "shard", "slot", "map_version"}
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in made]
+    cfg = replace(cfg, n_slots=len(slot_map.shard_of))
+    narrow = Scratch(spark, "sharding").table(_keyed(docs, cfg, slot_map.heavy, []).select("__slot", "__row.id_key"), "slots")
+    rows_of = {r[0]: r[1] for r in narrow.groupBy("__slot").count().collect()}  # at most n_slots rows
+    lanes = spark.createDataFrame([(s, max(1, -(-n // cfg.lane_rows))) for s, n in rows_of.items()], "__slot int, __lanes int")
+    lane = F.pmod(F.xxhash64(F.lit(7), "id_key"), F.col("__lanes")).cast("int").alias("__lane")
+    cells = {(r[0], r[1]): r[2] for r in narrow.join(F.broadcast(lanes), "__slot").groupBy("__slot", lane).count().collect()}  # about n_slots and one more for each lane_rows rows
+    begin, table = [0] * slot_map.n_shards, []
+    for slot, at in sorted(cells):
         shard = slot_map.shard_of[slot]
-        table.append((slot, lane, shard, begin[shard]))
-        begin[shard] += cells[slot, lane][1]
-    starts = spark.createDataFrame(table, "virtual_slot int, lane int, shard int, begin long")  # at most n_slots x lanes rows
-    from pyspark.sql import Window
+        table.append((slot, at, shard, begin[shard]))
+        begin[shard] += cells[slot, at]
+    starts = spark.createDataFrame(table, "__slot int, __lane int, shard int, __begin long")
+    starts = F.broadcast(starts) if len(table) <= cfg.broadcast_lanes else starts
+    out = _keyed(docs, cfg, slot_map.heavy, keep).join(F.broadcast(lanes), "__slot").withColumn("__lane", F.pmod(F.xxhash64(F.lit(7), "__row.id_key"), F.col("__lanes")).cast("int"))
+    order = [*([F.col("doc_id")] if "doc_id" in keep else []), "__row.id_key", "__row.text_crc32", "__row.size"]
+    within = F.row_number().over(Window.partitionBy("__slot", "__lane").orderBy(*order))
+    out = out.withColumn("__own", within).join(starts, ["__slot", "__lane"])
+    return out.select(*keep, "__row.size", "__row.text_crc32", F.col("__slot").alias("virtual_slot"), "shard", (F.col("__begin") + F.col("__own") - 1).cast("long").alias("slot"), F.lit(slot_map.version).alias("map_version"))
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, map_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Put every row into a shard, near equal in bytes.
+
+    Columns: doc_id (or the columns to keep), size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 (of those bytes), virtual_slot,
+    shard, slot (place in its shard, gapless from 0), map_version. Where map_path holds a map, its latest version is edited for these rows and
+    saved as the next; else a new map is made, and saved if there is a map_path. An empty table gives no rows; rows with
+    equal or null ids are rows like any other.
 
-    within = F.row_number().over(Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "text_crc32", "size"))
-    out = placed.join(F.broadcast(starts), ["virtual_slot", "lane"]).withColumn("slot", (F.col("begin") + within - 1).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "slot", F.lit(slot_map.version).alias("map_version"))
+    Scale: numbers go into tables of some 40 bytes a row; the map is n_slots numbers (a parameter, whatever the input); places come from
+    counts of virtual slots, the large ones in lanes of lane_rows rows, so that no task numbers more than one lane.
+    """
+    cfg = ShardConfig(n_shards, n_slots)
+    return place(docs, plan_shards(docs, cfg, map_path), cfg, keep)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), map_path=Scratch(spark, "sharding").fresh("map"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
