@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let no Arrow batch exceed `most` bytes: a worker holds a few batches at once, and so does the JVM beside it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > most:
+    key, unit = "spark.sql.execution.arrow.maxBytesPerBatch", {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+    number, name = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) * unit[name] <= most:
         spark.conf.set(key, str(most))
 
 
 class Scratch:
     """Tables written once into the shared folder, so that a lost executor loses no work."""
 
+    made: ClassVar[list[str]] = []  # the folders of this process, for remove_since
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self.base)
         self.count = 0
         small_batches(spark)
 
@@ -51,11 +57,20 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            self._remove(self.spark, folder)
+
+    @staticmethod
+    def _remove(spark: SparkSession, folder: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def remove_since(cls, spark: SparkSession, mark: int) -> None:
+        """Delete the folders that were made after the first `mark`, when what was read from them is written elsewhere."""
+        for folder in cls.made[mark:]:
+            cls._remove(spark, folder)
+        del cls.made[mark:]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, add_up, held_out
+from .common import Scratch, add_up, held_out, spare
 from .textkernel import as_strings, buffers, gram_hashes, lowered, mix, word_hashes, word_spans
 
 FEATURES = ("bytes", "words", "word_length", "upper", "digits", "stops", "symbols", "bangs", "pipes", "spaces", "line_length", "repeat_words", "repeat_trigrams", "adjacent", "repeat_lines", "wide_words")
@@ -204,8 +205,13 @@ def fitted_statistics(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Di
     """The table of statistics of all documents, and the model fitted on the labelled ones outside the held-out fold."""
     scratch = Scratch(docs.sparkSession, "quality")
     table = scratch.table(document_statistics(docs), "statistics")
+    return table, fit_on(table, labels)
+
+
+def fit_on(table: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of the rows of table (doc_id, x) that have a label outside the held-out fold."""
     marks = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out())
-    return table, fit(table.join(marks, "doc_id").select("label", "x"))
+    return fit(table.join(marks, "doc_id").select("label", "x"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -222,17 +228,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Rows of docs whose score reaches the threshold; texts stay where they are, scored in the same pass."""
-    _, model = fitted_statistics(docs, labels)
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    """Rows of docs whose score, as score_quality gives it, reaches the threshold; null and empty texts have the score of an empty text.
+
+    Labels count as in score_quality; repeated rows stay or go together; an empty table gives no rows. Extra columns come back as they are.
+
+    Scale: the statistics are computed once, into a table beside the rows; the fit reads only them, the last pass scores and filters.
+    """
+    scratch, x = Scratch(docs.sparkSession, "quality"), spare(docs, "__statistics")
+    at, names = docs.columns.index("text"), [*docs.columns, x]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = statistics(batch.column(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(FEATURES), pa.int32()), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
+    table = scratch.table(docs.mapInArrow(measure, schema), "statistics")
+    model = fit_on(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = model.score(statistics(batch.column(at))) >= threshold
-            yield batch.filter(pa.array(good))
+            score = model.score(np.asarray(batch.column(len(names) - 1).flatten()).reshape(batch.num_rows, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names[:-1]).filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return table.mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
