@@ -1,9 +1,10 @@
 """The corpus pipeline: five stages from raw documents to shards, each on all that the one before it kept.
 
 quality: rows that the discriminant rejects go. near_duplicates: one row of each class of near copies stays. decontamination: rows with a passage of
-the benchmark go. mixing: sources are brought to their target weights, rows repeated or left out as the quotas ask. sharding: every row gets its shard and place.
+the benchmark go. mixing: sources are brought to their target weights, rows repeated or left out as the quotas ask. sharding: every row, text included, gets its shard and place.
 
-No SQL says the same (iterated fits, MinHash, edit distance), so ORACLE_SQL is None and the tests hold the stages against brute force.
+No SQL says the same (fits by covariances, hashed draws, edit distance), so ORACLE_SQL is None. The tests hold what each stage keeps and drops against what
+a brute-force version of the stage, on the same input, keeps and drops.
 """
 
 from __future__ import annotations
@@ -38,16 +39,20 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = assign_shards(docs)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    placed = assign_shards(docs, map_path=Scratch(spark, "sharding").fresh("map"), keep=docs.columns)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet into the shared folder and read again."""
+    """All stages over the documents, each written as Parquet into the shared folder and read again; what a stage leaves behind goes when the next has read it."""
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, mark = docs, len(Scratch.made)
+        docs = scratch.table(stage(spark, before, sf_dir), name)
+        Scratch.remove_since(spark, mark)
+        if k:
+            scratch.drop(before)
     return docs
