@@ -7,6 +7,8 @@ separators; the permutation is its own kind of secret: without the key it can't
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +41,14 @@ WINDOW = 700  # longer than any value (an email of eight full labels has 640) an
 CHUNK = 64
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
-FIRST_DAY, DAYS = "1900-01-01", (270, 271)  # 73,170 days, to 2100-05-02: dates beyond are left alone
+FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 73,049 days, to 2099-12-31
+WALK = 64  # steps within which a walk over dates meets a day after the 12th but once in 10^25 times
+KEY_SETTING = "spark.tidewatch.pii.key"
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    key: str = "tidewatch"
+    key: str  # kept by whoever may link or undo the pseudonyms; plans and logs have only what is derived from it for a kind
     kinds: tuple[str, ...] = tuple(KINDS)
 
 
@@ -60,8 +64,8 @@ def let(value: str, name: str, body: str) -> str:
 class Feistel:
     """SQL text of keyed permutations."""
 
-    def __init__(self, key: str):
-        self.key = key.replace("\\", "\\\\").replace("'", "\\'")
+    def __init__(self, key: str, kind: str):
+        self.key = hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
 
     def digest(self, tweak: str, state: str, turn: str) -> str:
         return f"sha2(concat('{self.key}|{tweak}|', {turn}, '|', {state}), 512)"
@@ -110,17 +114,17 @@ def mod97(text: str) -> str:
 
 
 def parsed_date(m: str) -> str:
-    """The date of yyyy-mm-dd, d.m.yyyy or d/m/yyyy (month first where that alone is one); null if there is none."""
+    """The date of yyyy-mm-dd, d.m.yyyy or d/m/yyyy (month first where the second number is no month); null if there is none."""
     flat = f"regexp_replace({m}, '[./]', '-')"
     return f"cast(if({m} rlike '^[0-9]{{4}}-', try_to_timestamp({m}, 'yyyy-MM-dd'), coalesce(try_to_timestamp({flat}, 'd-M-yyyy'), try_to_timestamp({flat}, 'M-d-yyyy'))) as date)"
 
 
 def pseudonym(kind: str, m: str, cfg: PiiConfig) -> str:
     """SQL of the pseudonym of a match m; null where it fails the kind's validation."""
-    f = Feistel(cfg.key)
-    if kind == "email":
-        local = f"substring_index({m}, '@', 1)"
-        return f"concat({f.chars(local, by_class(), kind)}, '@', substring_index({m}, '@', -1))"
+    f = Feistel(cfg.key, kind)
+    if kind == "email":  # all but the last label
+        top = f"substring_index({m}, '.', -1)"
+        return f"concat({f.chars(f'left({m}, length({m}) - length({top}) - 1)', by_class(), kind)}, '.', {top})"
     if kind == "access_key":
         return f.chars(m, f"if(i < 4, c, '{DIGITS}{UPPER}')", kind)
     if kind == "hex_secret":
@@ -138,10 +142,17 @@ def pseudonym(kind: str, m: str, cfg: PiiConfig) -> str:
         dotted = "concat_ws('.', q.l div 256, q.l % 256, q.r div 256, q.r % 256)"
         return f"if({valid}, {let(moved, 'q', dotted)}, null)"
     if kind == "date":
-        day = f"datediff(d, date'{FIRST_DAY}')"
-        moved = f.pair(f"{day} div {DAYS[1]}", f"{day} % {DAYS[1]}", *DAYS, kind)
-        new = let(f"date_add(date'{FIRST_DAY}', cast(q.l * {DAYS[1]} + q.r as int))", "n", f"case when {m} rlike '^[0-9]{{4}}-' then date_format(n, 'yyyy-MM-dd') when {m} rlike '^[0-9]{{2}}.[0-9]{{2}}.' then date_format(n, concat('dd', substr({m}, 3, 1), 'MM', substr({m}, 3, 1), 'yyyy')) else date_format(n, concat('d', regexp_extract({m}, '[./]', 0), 'M', regexp_extract({m}, '[./]', 0), 'yyyy')) end")
-        return let(parsed_date(m), "d", f"if({day} between 0 and {DAYS[0] * DAYS[1] - 1}, {let(moved, 'q', new)}, null)")
+        day = lambda d: f"datediff({d}, date'{FIRST_DAY}')"
+        moved = lambda d: let(f.pair(f"{day(d)} div {DAYS[1]}", f"{day(d)} % {DAYS[1]}", *DAYS, kind), "q", f"date_add(date'{FIRST_DAY}', cast(q.l * {DAYS[1]} + q.r as int))")
+        # month first: the second number is a day after the 12th, in the pseudonym too, so no two dates get the same one
+        month_first = f"{m} rlike '^[0-9]{{1,2}}[./](?:1[3-9]|2[0-9]|3[01])[./]'"
+        walk = f"aggregate(sequence(1, {WALK}), {moved('d')}, (x, t) -> if(day(x) > 12, x, {moved('x')}))"
+        mark = f"regexp_extract({m}, '[./]', 0)"
+        wide = f"{m} rlike '^[0-9]{{2}}.[0-9]{{2}}.'"
+        first, second = (f"if({wide}, {a}, {b})" for a, b in (("if(mf, 'MM', 'dd')", "if(mf, 'M', 'd')"), ("if(mf, 'dd', 'MM')", "if(mf, 'd', 'M')")))
+        shown = f"if({m} rlike '^[0-9]{{4}}-', date_format(n, 'yyyy-MM-dd'), concat(date_format(n, {first}), {mark}, date_format(n, {second}), {mark}, date_format(n, 'yyyy')))"
+        new = let(month_first, "mf", let(f"if(mf, {walk}, {moved('d')})", "n", f"if(mf and day(n) <= 12, null, {shown})"))
+        return let(parsed_date(m), "d", f"if({day('d')} between 0 and {DAYS[0] * DAYS[1] - 1}, {new}, null)")
     if kind == "ssn":
         area, group, serial = (f"cast(split({m}, '-')[{k}] as int)" for k in range(3))
         valid = f"{area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0"
@@ -200,7 +211,7 @@ def rewritten(steps: str) -> str:
     return f"flatten(aggregate({chunks}, named_struct('left', 0, 'out', cast(array() as array<{unit}>)), (s, c) -> {outer}).out)"
 
 
-def pseudonymise(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+def pseudonymise(docs: DataFrame, cfg: PiiConfig) -> DataFrame:
     """docs with the text rewritten, and the columns pii_kinds (kind of each value replaced, in order) and pii_found (their number).
 
     Values that look like a kind but fail its validation stay as they are; at each place all kinds and lengths are tried, then the next places, those inside a failed match too. Null texts stay null, with no values; texts
@@ -226,4 +237,6 @@ def pseudonymise(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "pii_kinds", "pii_found")
+    """With the key of the session's setting; without one, a key that anyone can read, good for trials only."""
+    cfg = PiiConfig(spark.conf.get(KEY_SETTING, "trial"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), cfg).select("doc_id", "text", "pii_kinds", "pii_found")
