@@ -34,6 +34,7 @@ class ForestConfig:
     max_depth: int = 8
     target_recall: float = 0.99999
     coarse: float = 0.675  # least share of equal signature values between sets that are compared exactly: 5 deviations below 0.8
+    first_trees: int = 4  # trees in which large nodes are compared before all others
     node_rows: int = 256  # signatures that one block of a trie holds
     block_bytes: int = 8_000_000  # n-grams of a class that one block holds
     seed: int = 5
@@ -116,7 +117,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """doc_id, row_key, fp, n (distinct n-grams), keys (each tree's node at `depth`), low (lowest byte of each signature value, tree after tree) of every row."""
+    """doc_id, row_key, fp, n (distinct n-grams), keys (each tree's node at `depth`, the tree in the last six bits), low (lowest byte of each signature value, tree after tree) of every row."""
     trees, depth = cfg.trees, cfg.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,7 @@ def sketch(docs: DataFrame, cfg: ForestConfig) -> DataFrame:
                     node = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
                     for d in range(depth):
                         node = mix(node + sig[:, d :: cfg.max_depth].astype(np.uint64))
-                    keys[full] = node
+                    keys[full] = node & ~np.uint64(63) | np.arange(trees, dtype=np.uint64)
                 count = np.where(n > 0, trees, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(keys[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _fixed(fp), pa.array(n, pa.int32()), lists, _fixed(low)], ["doc_id", "row_key", "fp", "n", "keys", "low"])
@@ -205,44 +206,42 @@ def near_labels(low: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
 
 
 def coarse_edges(blocks: DataFrame, keys: list[str], cfg: ForestConfig) -> DataFrame:
-    """(a, b): a spanning forest of the near signatures in each block (keys, fp, low, component), beyond what the components connect.
+    """(a, b): a spanning forest of the near signatures in each block (keys, sid, low, component), beyond what the components connect.
 
-    blocks are dealt and sorted by their keys. A null component is the set's own."""
+    blocks are dealt and sorted by their keys. A set's component is its own number where nothing is known of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
+        out: list[np.ndarray] = []
         for block in _by_run(batches, keys):
-            if len(block) < 2:
-                continue
-            fp, low = block.column("fp").to_pylist(), _flat(block.column("low"), np.uint8)
-            known = [c or f for c, f in zip(block.column("component").to_pylist(), fp, strict=True)]
-            first: dict[bytes, int] = {}
-            label = np.array([first.setdefault(c, k) for k, c in enumerate(known)])
-            if not label.any():
+            sid, known = block.column("sid").to_numpy(), block.column("component").to_numpy()
+            if len(block) < 2 or (known == known[0]).all():
                 continue
+            order = np.argsort(sid)  # the least set of a block leads, in whatever tree
+            sid, known, low = sid[order], known[order], _flat(block.column("low"), np.uint8)[order]
+            first, label = np.unique(known, return_index=True, return_inverse=True)[1:]
+            label = first[label]
             new = near_labels(low, label, cfg.coarse * low.shape[1] + (1 - cfg.coarse) * low.shape[1] / 256)
-            out += [(fp[k], fp[new[k]]) for k in np.flatnonzero((new != label) & (label == np.arange(len(fp))))]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
-                out = []
+            joined = (new != label) & (label == np.arange(len(sid)))
+            out.append(np.stack([sid[joined], sid[new[joined]]]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+            a, b = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return blocks.select(*keys, "fp", "low", "component").mapInArrow(run, "a binary, b binary")
+    return blocks.select(*keys, "sid", "low", "component").mapInArrow(run, "a long, b long")
 
 
-def tries(sets: DataFrame, cfg: ForestConfig, scratch: Scratch) -> DataFrame:
-    """(node, fp, m, low, piece) of the sets that share their node at `depth` in some tree with others: m sets there, and piece the values beyond that prefix."""
-    in_nodes = sets.select("fp", F.posexplode("keys").alias("tree", "node"))
+def tries(sets: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """(node, sid, m, low, piece) of the sets that share their node at `depth` in some tree with others: m sets there, and piece the values beyond that prefix."""
+    in_nodes = sets.select("sid", F.explode("keys").alias("node"))
     shared = in_nodes.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-    members = in_nodes.join(shared, "node").join(sets.select("fp", "low"), "fp")
-    return members.withColumn("piece", F.expr(f"substring(low, tree * {cfg.max_depth} + {cfg.depth + 1}, {cfg.max_depth - cfg.depth})"))
+    members = in_nodes.join(shared, "node").join(sets.select("sid", "low"), "sid")
+    return members.withColumn("piece", F.expr(f"substring(low, cast(node & 63 as int) * {cfg.max_depth} + {cfg.depth + 1}, {cfg.max_depth - cfg.depth})"))
 
 
 def small_nodes(large: DataFrame, cfg: ForestConfig) -> DataFrame:
     """(node, piece, more, rows, leader): how many values beyond `depth` the trie is followed for the sets of a node with this piece, the sets there, and the least of the full prefix."""
     most = cfg.max_depth - cfg.depth
-    full = large.groupBy("node", "piece").agg(F.count("*").alias("n"), F.min("fp").alias("leader"))
+    full = large.groupBy("node", "piece").agg(F.count("*").alias("n"), F.min("sid").alias("leader"))
     out = full.withColumn(f"n{most}", F.col("n"))
     for k in range(1, most):
         start = F.expr(f"substring(piece, 1, {k})").alias("__start")
@@ -263,53 +262,57 @@ def long_prefixes(large: DataFrame, cfg: ForestConfig, scratch: Scratch) -> Data
     large = large.join(small_nodes(large, cfg), ["node", "piece"])
     block = F.xxhash64("node", "more", F.expr("substring(piece, 1, more)"))
     chunks = F.ceil(F.col("rows") / cfg.node_rows).cast("int")
-    own = F.when(F.col("rows") <= cfg.node_rows, F.array(F.lit(0))).when(F.col("fp") == F.col("leader"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), chunks).cast("int")))
-    return scratch.table(large.select("node", "m", "fp", "low", "more", block.alias("block"), own.alias("chunks")), "large")
+    own = F.when(F.col("rows") <= cfg.node_rows, F.array(F.lit(0))).when(F.col("sid") == F.col("leader"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), chunks).cast("int")))
+    return scratch.table(large.select("node", "m", "sid", "low", "more", block.alias("block"), own.alias("chunks")), "large")
 
 
 def shortened(large: DataFrame, cfg: ForestConfig) -> DataFrame:
     """Nodes at `depth` to which prefixes are shortened: for each set below the target recall, of its large nodes the smallest ones, until it reaches it."""
     gain = F.element_at(F.array(*[F.lit(cfg.missed(cfg.depth + k) - cfg.missed(cfg.depth)) for k in range(1, cfg.max_depth - cfg.depth + 1)]), F.col("more"))
-    own = large.select("fp", "node", "m", gain.alias("gain"))
-    all_, so_far = Window.partitionBy("fp"), Window.partitionBy("fp").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a tree
+    own = large.select("sid", "node", "m", gain.alias("gain"))
+    all_, so_far = Window.partitionBy("sid"), Window.partitionBy("sid").orderBy("m", "node").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a tree
     short = F.sum("gain").over(all_) - (math.log(1 - cfg.target_recall) - cfg.trees * cfg.missed(cfg.depth))
     return own.withColumn("short", short).withColumn("won", F.coalesce(F.sum("gain").over(so_far), F.lit(0.0))).filter("won < short").select("node").distinct()
 
 
 def _apart(rows: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """The sets of each node (node, fp, low, component, own) in blocks in which those of different components meet.
+    """The sets of each node (node, sid, low, component) in blocks in which those of different components meet.
 
     A node with one component needs none. The sets of a node's largest component don't meet one another, so their copies follow the number of the other sets."""
-    sizes = rows.groupBy("node", "own").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("node").agg(F.max(F.struct("n", "own")).alias("top"), F.sum("n").alias("m")).filter("m > top.n")
-    main = F.col("own") == F.col("top.own")
+    sizes = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("m")).filter("m > top.n")
+    main = F.col("component") == F.col("top.component")
     rows = rows.join(top, "node").withColumn("cm", F.ceil(F.col("top.n") / cfg.node_rows).cast("int")).withColumn("cu", F.ceil((F.col("m") - F.col("top.n")) / cfg.node_rows).cast("int"))
-    rows = rows.withColumn("chunk", F.when(main, F.pmod(F.xxhash64("fp"), F.col("cm"))).otherwise(F.col("cm") + F.pmod(F.xxhash64("fp"), F.col("cu"))).cast("int"))
+    rows = rows.withColumn("chunk", F.when(main, F.pmod(F.xxhash64("sid"), F.col("cm"))).otherwise(F.col("cm") + F.pmod(F.xxhash64("sid"), F.col("cu"))).cast("int"))
     return _in_blocks(rows.withColumn("first", F.when(main, F.col("cm")).otherwise(0)), "node", "first", "cm + cu")
 
 
 def coarse_classes(sets: DataFrame, cfg: ForestConfig, scratch: Scratch) -> DataFrame:
-    """(node, component): classes of sets (fp, keys, low) that near signatures connect; sets without a near one are left out."""
-    members = tries(sets, cfg, scratch)
-    none = F.lit(None).cast("binary").alias("component")
-    members = scratch.table(members.select("node", "fp", "m", "low", "piece"), "members")
-    blocks = members.filter(F.col("m") <= cfg.node_rows).select(F.col("node").alias("block"), F.lit(0).alias("chunk"), "fp", "low", none)
+    """(node, component): classes of sets (sid, keys, low) that near signatures connect; sets without a near one are left out."""
+    members = scratch.table(tries(sets, cfg).select("node", "sid", "m", "low", "piece"), "members")
+    blocks = members.filter(F.col("m") <= cfg.node_rows).select("node", F.col("node").alias("block"), F.lit(0).alias("chunk"), "sid", "low")
     big = members.filter(F.col("m") > cfg.node_rows)
     some_big = bool(big.limit(1).count())
-    if some_big:
-        big = long_prefixes(big, cfg, scratch)
-        blocks = blocks.unionByName(big.select("block", F.explode("chunks").alias("chunk"), "fp", "low", none))
-    by = ["block", "chunk"]
-    edges = scratch.table(coarse_edges(blocks.repartition(*by).sortWithinPartitions(*by), by, cfg).distinct(), "coarse")
-    classes = connected_components(edges, scratch)
-    if some_big:
-        rows = big.join(shortened(big, cfg), "node").select("node", "fp", "low")
-        rows = rows.join(classes.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("own", F.coalesce("component", "fp"))
-        rows = scratch.table(rows, "shortened")
-        more = coarse_edges(_apart(rows, cfg), ["node", "ci", "cj"], cfg)
-        edges = scratch.table(edges.unionByName(more).distinct(), "coarse")
-        classes = connected_components(edges, scratch)
-    return classes
+    own, by = F.col("sid").alias("component"), ["block", "chunk"]
+
+    def edges_in(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        rows = rows.select(*by, "sid", "low", own) if known is None else rows.join(known, "sid", "left").select(*by, "sid", "low", F.coalesce("component", "sid").alias("component"))
+        return scratch.table(coarse_edges(rows.repartition(*by).sortWithinPartitions(*by), by, cfg).distinct(), "coarse")
+
+    def connected(edges: DataFrame) -> DataFrame:
+        return connected_components(edges, scratch).select(F.col("node").alias("sid"), "component")
+
+    if not some_big:
+        return connected(edges_in(blocks, None))
+    # a large group comes together in a few trees; the others then add only what these leave apart
+    big = long_prefixes(big, cfg, scratch)
+    deep = big.select("node", "block", F.explode("chunks").alias("chunk"), "sid", "low")
+    few = F.expr(f"(node & 63) < {cfg.first_trees}")
+    edges = edges_in(deep.filter(few), None)
+    edges = edges.unionByName(edges_in(blocks.unionByName(deep.filter(~few)), connected(edges)))
+    rows = big.join(shortened(big, cfg), "node").select("node", "sid", "low").join(connected(edges), "sid", "left")
+    rows = scratch.table(rows.withColumn("component", F.coalesce("component", "sid")), "shortened")
+    return connected(edges.unionByName(scratch.table(coarse_edges(_apart(rows, cfg), ["node", "ci", "cj"], cfg).distinct(), "coarse")))
 
 
 def similar(shared: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: str) -> np.ndarray:
@@ -338,16 +341,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(blocks: DataFrame, cfg: ForestConfig) -> DataFrame:
-    """For each block of a class (class_key, ci, cj, chunk, fp, copies, grams): each set's links (a, null, links) and a spanning forest of them (a, b, 0)."""
+    """For each block of a class (class_key, ci, cj, chunk, sid, copies, grams): each set's links (a, null, links) and a spanning forest of them (a, b, 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
         for block in _by_run(batches, ["class_key", "ci", "cj"]):
-            seen: set[bytes] = set()  # equal rows of other tasks
-            block = block.filter(pa.array([not (x in seen or seen.add(x)) for x in block.column("fp").to_pylist()]))
+            block = block.take(pa.array(np.unique(block.column("sid").to_numpy(), return_index=True)[1]))  # equal rows of other tasks go
             if len(block) < 2:
                 continue
-            fp, copies = block.column("fp").to_pylist(), np.asarray(block.column("copies"))
+            sid, copies = block.column("sid").to_numpy(), np.asarray(block.column("copies"))
             chunk, cross = np.asarray(block.column("chunk")), block.column("ci")[0] != block.column("cj")[0]
             sets = [np.frombuffer(x, np.uint64) for x in block.column("grams").to_pylist()]
             size = np.array([len(s) for s in sets])
@@ -362,11 +364,11 @@ def verified(blocks: DataFrame, cfg: ForestConfig) -> DataFrame:
                 adj &= chunk[:, None] != chunk[None, :]
             links = adj @ copies
             label = _forest(adj)
-            rows = [(fp[k], None, int(links[k])) for k in np.flatnonzero(links)] + [(fp[k], fp[label[k]], 0) for k in np.flatnonzero(label != np.arange(len(fp)))]
+            rows = [(sid[k], None, int(links[k])) for k in np.flatnonzero(links)] + [(sid[k], sid[label[k]], 0) for k in np.flatnonzero(label != np.arange(len(sid)))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return blocks.select("class_key", "ci", "cj", "chunk", "fp", "copies", "grams").mapInArrow(run, "a binary, b binary, links long")
+    return blocks.select("class_key", "ci", "cj", "chunk", "sid", "copies", "grams").mapInArrow(run, "a long, b long, links long")
 
 
 def _in_blocks(rows: DataFrame, key: str, first: str, chunks: str) -> DataFrame:
@@ -430,22 +432,23 @@ def classify(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
     rows = scratch.table(sketch(docs, cfg), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
     sets = rows.groupBy("fp").agg(first.alias("lead"), F.count("*").alias("copies"), F.first(F.struct("n", "keys", "low")).alias("s"))
-    sets = scratch.table(sets.select("fp", "lead.row_key", F.col("lead.doc_id").alias("rep_id"), "copies", "s.n", "s.keys", "s.low"), "sets")
+    sets = sets.select(F.monotonically_increasing_id().alias("sid"), "fp", "lead.row_key", F.col("lead.doc_id").alias("rep_id"), "copies", "s.n", "s.keys", "s.low")
+    sets = scratch.table(sets, "sets")
 
     classes = coarse_classes(sets.filter("n > 0"), cfg, scratch)
-    inside = classes.select(F.col("node").alias("fp"), F.xxhash64("component").alias("class_key")).join(sets.select("fp", "row_key", "copies", "n"), "fp")
+    inside = classes.withColumnRenamed("component", "class_key").join(sets.select("sid", "fp", "row_key", "copies", "n"), "sid")
     weight = inside.groupBy("class_key").agg(F.ceil(F.sum(F.col("n") * 8.0 + 64) / cfg.block_bytes).cast("int").alias("chunks"))
-    inside = scratch.table(inside.join(weight, "class_key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")), "inside")
+    inside = scratch.table(inside.join(weight, "class_key").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")), "inside")
     grams = gram_sets(docs, inside.select("row_key"), cfg)
-    blocks = _in_blocks(grams.join(inside, ["row_key", "fp"]).select("class_key", "chunks", "chunk", "fp", "copies", "grams"), "class_key", "0", "chunks")
+    blocks = _in_blocks(grams.join(inside, ["row_key", "fp"]).select("class_key", "chunks", "chunk", "sid", "copies", "grams"), "class_key", "0", "chunks")
     found = scratch.table(verified(blocks, cfg), "links")
     final = connected_components(found.filter("b is not null"), scratch)
 
-    links = found.filter("b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    sets = sets.select("fp", "row_key", "rep_id", "copies").join(links, "fp", "left").join(final.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    sets = sets.withColumn("component", F.coalesce("component", "fp"))
-    lead = sets.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("last"), "rep_id", "fp")).alias("lead"))
-    sets = sets.join(lead, "component").select("fp", F.col("row_key").alias("set_row"), F.col("lead.rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "copies", (F.col("fp") == F.col("lead.fp")).alias("kept_set"))
+    links = found.filter("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    sets = sets.select("sid", "fp", "row_key", "rep_id", "copies").join(links, "sid", "left").join(final.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    sets = sets.withColumn("component", F.coalesce("component", "sid"))
+    lead = sets.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("last"), "rep_id", "sid")).alias("lead"))
+    sets = sets.join(lead, "component").select("fp", F.col("row_key").alias("set_row"), F.col("lead.rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "copies", (F.col("sid") == F.col("lead.sid")).alias("kept_set"))
     sets = scratch.table(sets, "classes")
     out = rows.select("doc_id", "row_key", "fp").join(sets, "fp")
     return out.select("doc_id", "class_id", "n_links", "copies", "row_key", (F.col("kept_set") & (F.col("row_key") == F.col("set_row"))).alias("is_kept"))
