@@ -2,7 +2,8 @@
 
 Many voters (lexicon stems, found in labelled rows or given, and patterns of disguised spelling) look at each text. A generative
 label model, fitted by expectation-maximisation over the votes of all documents, estimates how often each voter fires
-on toxic and on other texts and how voters correlate within the toxic class; its posteriors train a linear classifier.
+on toxic and on other texts and how voters correlate within the toxic class, and weighs them by it in every round; its posteriors, of all
+documents, train a linear classifier.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ SEED = {
 PATTERNS = ("leet", "spaced", "stretched", "aimed", "shouted")
 LEET = str.maketrans("013457@$!", "oieastasi")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_* ]){3,}[^\W\d_](?![^\W_])")
-MIXED = re.compile(r"[^\W\d_]+[0-9@$!]+[^\W\d_][\w@$!]*|[0-9@$]+[^\W\d_][\w@$!]*")
-STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W_]*")
+MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[0-9@$!]+[^\W\d_][\w@$!]*|(?<![0-9@$])[0-9@$]+[^\W\d_][\w@$!]*")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
+REST = re.compile(r"[^\W_]*")
 AIMED = re.compile(r"(?:you|your|du|ihr|tu|toi|vous|eres|tú)\W+(?:\w+\W+){0,2}$")
 
 
@@ -41,11 +43,24 @@ class ToxicConfig:
     stem_lengths: tuple[int, ...] = (4, 5, 6)
     least_toxic: int = 5  # documents of label 1 that a stem must occur in
     least_odds: float = 30.0
-    max_stems: int = 120
+    max_stems: int = 400  # lexicon voters, the strongest first: the label model has a matrix of voters by voters
     em_rounds: int = 8
     threshold: float = 0.5
 
 
+def stretched(text: str) -> Iterator[str]:
+    """Words with a letter three times in a row, each once; found from the letters, so a word of any length is read once."""
+    done = 0
+    for m in TRIPLE.finditer(text):
+        if m.start() < done:
+            continue
+        lo = m.start()
+        while lo > done and text[lo - 1].isalpha():
+            lo -= 1
+        done = REST.match(text, m.end()).end()
+        yield text[lo:done]
+
+
 def _words(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", text.lower())
 
@@ -119,11 +134,11 @@ class Voters:
     def __call__(self, text: str) -> Counter:
         low = text.lower()
         out = Counter(self.hits(low))
-        for name, found in (("leet", MIXED), ("spaced", SPACED), ("stretched", STRETCHED)):
+        for name, found in (("leet", MIXED.finditer), ("spaced", SPACED.finditer), ("stretched", stretched)):
             if name == "leet" and not any(c in low for c in "013457@$"):
                 continue
-            for m in found.finditer(low):
-                word = m.group(0)
+            for m in found(low):
+                word = m if name == "stretched" else m.group(0)
                 plain = word.translate(LEET) if name == "leet" else re.sub(r"[.\-_* ]", "", word) if name == "spaced" else re.sub(r"(.)\1\1+", r"\1", word)
                 if plain != word and self.hits(plain):
                     out[self.at[name]] += 1
@@ -161,57 +176,64 @@ def _dense(batch: pa.RecordBatch, col: int, v: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """P(fires | toxic), P(fires | other), the share of toxic texts, and each voter's weight after correlation."""
+    """P(fires | toxic), P(fires | other), the share of toxic texts, and how voters correlate within the toxic class (voters by voters, 0 on the diagonal)."""
 
     prior: float
     toxic: np.ndarray
     other: np.ndarray
-    weight: np.ndarray
+    together: np.ndarray
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        yes = self.weight * np.log(self.toxic / self.other)
-        no = self.weight * np.log((1 - self.toxic) / (1 - self.other))
-        odds = np.log(self.prior / (1 - self.prior)) + fired @ yes + (1 - fired) @ no
+        """Of each text; what a voter that fires says counts less by those it correlates with and that fire too."""
+        yes = np.log(self.toxic / self.other)
+        no = np.log((1 - self.toxic) / (1 - self.other))
+        odds = np.log(self.prior / (1 - self.prior)) + (fired / (1 + fired @ self.together)) @ yes + (1 - fired) @ no
         return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
 
 
+def correlations(both: np.ndarray) -> np.ndarray:
+    """Correlations above 0.6 of voters (lower ones come from texts of one language or style, not from voters that repeat one another), from the shares of toxic texts in which two fire together."""
+    p = np.diag(both)
+    sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
+    corr = np.clip((both - np.outer(p, p)) / np.outer(sd, sd), 0, 1) * (p[:, None] > 1e-6) * (p[None, :] > 1e-6)
+    np.fill_diagonal(corr, 0)
+    return np.where(corr > 0.6, corr, 0)
+
+
 def fit_label_model(votes: DataFrame, n_voters: int, rounds: int = 8, start_prior: float = 0.05) -> LabelModel:
-    """Expectation-maximisation over the votes of all documents; then, from within-class co-firing, a weight below 1 for
-    voters that repeat one another. Each round moves one vector of sums; the last also a voters-by-voters matrix."""
+    """Expectation-maximisation over the votes of all documents. Each round estimates how often voters fire and how they fire together in the toxic
+    class, so that the next posteriors count voters that repeat one another less; it moves one vector of voters x voters sums."""
     v = n_voters
-    model = LabelModel(start_prior, np.full(v, 0.2), np.full(v, 0.002), np.ones(v))
+    some = min(0.2, 3 / v)  # about three voters fire on a toxic text
+    model = LabelModel(start_prior, np.full(v, some), np.full(v, some / 100), np.zeros((v, v)))
 
-    def step(model: LabelModel, pairs: bool) -> np.ndarray:
+    def step(model: LabelModel) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 + 2 * v + (v * v if pairs else 0))
+            total = np.zeros(2 + 2 * v + v * v)
+            quiet = model.posterior(np.zeros((1, v)))[0]
             for batch in batches:
+                some = np.diff(np.asarray(batch.column(0).offsets)) > 0  # texts without a vote are alike
+                total[:2] += [(~some).sum(), (~some).sum() * quiet]
+                batch = batch.filter(pa.array(some))
                 for lo in range(0, batch.num_rows, 2048):
                     fired = (_dense(batch.slice(lo, 2048), 0, v) > 0).astype(float)
                     r = model.posterior(fired)
-                    sums = [[len(r), r.sum()], r @ fired, fired.sum(0)]
-                    if pairs:
-                        sums.append((fired.T @ (fired * r[:, None])).ravel())
-                    total += np.concatenate(sums)
+                    total += np.concatenate([[len(r), r.sum()], r @ fired, fired.sum(0), (fired.T @ (fired * r[:, None])).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
         return add_up(votes.select("at", "n").mapInArrow(run, "part binary"))
 
-    for k in range(rounds):
-        sums = step(model, k == rounds - 1)
+    for _ in range(rounds):
+        sums = step(model)
         if sums is None or len(sums) < 2 or not sums[0]:
             return model
         n, n1 = sums[0], sums[1]
         yes, all_ = sums[2 : 2 + v], sums[2 + v : 2 + 2 * v]
         p1 = (yes + 0.02) / (n1 + 0.1)
         p0 = (all_ - yes + 0.001) / (n - n1 + 1.0)
-        model = LabelModel(float(np.clip(n1 / n, 1e-4, 0.5)), np.clip(np.maximum(p1, 3 * p0), 1e-5, 0.95), np.clip(p0, 1e-7, 0.3), np.ones(v))
-    both = sums[2 + 2 * v :].reshape(v, v) / max(n1, 1e-9)
-    p = np.diag(both)
-    sd = np.sqrt(np.maximum(p * (1 - p), 1e-9))
-    corr = np.clip((both - np.outer(p, p)) / np.outer(sd, sd), 0, 1) * (p[:, None] > 1e-6) * (p[None, :] > 1e-6)
-    np.fill_diagonal(corr, 0)
-    strong = np.where(corr > 0.3, corr, 0)
-    return LabelModel(model.prior, model.toxic, model.other, 1 / (1 + strong.sum(1)))
+        together = correlations(sums[2 + 2 * v :].reshape(v, v) / max(n1, 1e-9))
+        model = LabelModel(float(np.clip(n1 / n, 1e-4, 0.5)), np.clip(np.maximum(p1, 3 * p0), 1e-5, 0.95), np.clip(p0, 1e-7, 0.3), together)
+    return model
 
 
 @dataclass(frozen=True)
@@ -245,6 +267,49 @@ def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0)
     return Linear(beta, scale)
 
 
+def fit_posteriors(votes: DataFrame, model: LabelModel, v: int, ridge: float = 1.0, most_steps: int = 12) -> Linear | None:
+    """Logistic regression on the posteriors of all documents, by Newton steps of which each moves one matrix of inputs x inputs; None without a vote."""
+    k = v + 3  # inputs
+
+    def sums(inner) -> np.ndarray:
+        """Sums of inner(inputs, posteriors, weights) over the texts with votes and, as one row with their number for its weight, those without."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, quiet = 0.0, 0
+            for batch in batches:
+                some = np.diff(np.asarray(batch.column(1).offsets)) > 0
+                quiet += int((~some).sum())
+                batch = batch.filter(pa.array(some))
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
+                    hits = _dense(part, 1, v)
+                    total = total + inner(design(hits, part.column(0).to_numpy().astype(float)), model.posterior((hits > 0).astype(float)), np.ones(len(hits)))
+            total = total + inner(np.zeros((1, k)), model.posterior(np.zeros((1, v))), np.full(1, float(quiet)))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+        return add_up(votes.select("words", "at", "n").mapInArrow(run, "part binary"))
+
+    first = sums(lambda x, y, w: np.concatenate(([w.sum()], w @ x**2)))
+    if first is None or len(first) < 2 or not first[0] or not first[1:].any():
+        return None
+    scale = np.maximum(np.sqrt(first[1:] / first[0]), 1e-3)
+    beta, penalty = np.zeros(k + 1), np.full(k + 1, ridge)
+    penalty[0] = 1e-3
+    for _ in range(most_steps):
+
+        def inner(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta=beta) -> np.ndarray:
+            z = np.column_stack([np.ones(len(x)), x / scale])
+            q = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+            return np.concatenate([z.T @ (w * (y - q)), (z.T @ (z * (w * q * (1 - q))[:, None])).ravel()])
+
+        total = sums(inner)
+        step = np.linalg.solve(total[k + 1 :].reshape(k + 1, k + 1) + np.diag(penalty), total[: k + 1] - penalty * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-3:
+            break
+    return Linear(beta, scale)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on) for every row of docs.
 
@@ -252,8 +317,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicC
     values and nulls are ignored. Without labels of class 1 only the seed lexicons and patterns vote; an empty table gives no
     rows. Repeated rows stay rows and score alike.
 
-    Scale: the lexicon search and the linear fit see at most max_fit_rows rows; voting is one pass over all whole texts, the
-    label model sums over all votes, and no text is exchanged.
+    Scale: the lexicon search and the line from odds to labels see at most max_fit_rows labels; voting is one pass over all whole texts, the
+    label model and the classifier sum over the votes of all documents, and no text is exchanged.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -265,29 +330,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicC
     v = len(voter_names(stems))
     model = fit_label_model(votes, v, cfg.em_rounds)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct inputs with their posterior and label sums: most texts have no hit and fall together."""
+    linear = fit_posteriors(votes, model, v) or Linear(np.concatenate(([-3.0], np.zeros(v), [1.0, 1.0, 0.5])), np.ones(v + 3))
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = _dense(batch, 2, v)
-            post = model.posterior((hits > 0).astype(float))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(post)], ["label", "words", "at", "n", "posterior"])
-
-    seen = votes.join(first, F.col("doc_id") == F.col("label_id")).select(F.col("label").cast("int"), "words", "at", "n")
-    seen = seen.orderBy(F.xxhash64("words", "at", "n")).limit(cfg.max_fit_rows).mapInArrow(rows, "label int, words long, at array<int>, n array<int>, posterior double").collect()
-    hits = np.zeros((len(seen), v))
-    for k, r in enumerate(seen):
-        hits[k, r["at"]] = r["n"]
-    x = design(hits, np.array([r["words"] for r in seen], float))
-    soft = np.array([r["posterior"] for r in seen])
-    linear = fit_linear(x, soft, np.ones(len(x))) if len(x) else Linear(np.concatenate(([-3.0], np.zeros(v), [1.0, 1.0, 0.5])), np.ones(v + 3))
-    if len(x):  # the line from the classifier's odds to those of the labels
-        odds = np.log(np.clip(linear.score(x), 1e-9, 1 - 1e-9) / (1 - np.clip(linear.score(x), 1e-9, 1 - 1e-9)))
-        y = np.array([r["label"] for r in seen], float)
-        if 0 < y.sum() < len(y):
-            line = fit_linear(odds[:, None], y, np.ones(len(y)), 0.01)
-            a, b = line.beta[1] / line.scale[0], line.beta[0]
-            if a > 0:
-                linear = Linear(np.concatenate(([a * linear.beta[0] + b], a * linear.beta[1:])), linear.scale)
+            s = np.clip(linear.score(design(_dense(batch, 2, v), batch.column(1).to_numpy().astype(float))), 1e-9, 1 - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log(s / (1 - s)))], ["label", "odds"])
+
+    # the line from the classifier's odds to those of the labels
+    marked = votes.join(first, F.col("doc_id") == F.col("label_id")).select(F.col("label").cast("int"), "words", "at", "n")
+    marked = marked.orderBy(F.xxhash64("words", "at", "n")).limit(cfg.max_fit_rows).mapInArrow(odds, "label int, odds double").collect()
+    y, x = np.array([r["label"] for r in marked], float), np.array([r["odds"] for r in marked])
+    if len(y) and 0 < y.sum() < len(y):
+        line = fit_linear(x[:, None], y, np.ones(len(y)), 0.01)
+        a, b = line.beta[1] / line.scale[0], line.beta[0]
+        if a > 0:
+            linear = Linear(np.concatenate(([a * linear.beta[0] + b], a * linear.beta[1:])), linear.scale)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
