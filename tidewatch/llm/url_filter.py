@@ -1,6 +1,7 @@
 """URL filters: host and path rules, and for all other URLs gradient-boosted trees on lexical features, as plain column expressions.
 
-The URLs that a rule decides are the labelled ones. The trees are grown on the driver from a bounded sample of binned feature rows and come back as
+The URLs that a rule decides are the labelled ones. Beside lengths and counts the trees see how often a url's suffixes, first host label and first
+folder are blocked, counted without the url's own fold. The trees are grown on the driver from a bounded sample of binned feature rows and come back as
 CASE expressions, so scoring is one projection without any Python on the executors.
 """
 
@@ -12,10 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # The rules of the query, verdict and host/path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-FEATURES = ("url_length", "host_length", "path_length", "path_depth", "host_labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "extension", "secure", "tld_rate", "domain_rate")
+FEATURES = ("url_length", "host_length", "path_length", "path_depth", "host_labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "extension", "secure", "tld_rate", "domain_rate", "label_rate", "folder_rate")
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,8 @@ class TreeConfig:
     bins: int = 32
     ridge: float = 1.0
     least_rows: float = 5.0
-    smoothing: float = 10.0  # rows' worth of the overall rate in a suffix's rate
+    smoothing: float = 3.0  # rows' worth of the overall rate in a suffix's rate
+    folds: int = 5  # a labelled url's rates come from the other folds
     threshold: float = 0.5
 
 
@@ -68,9 +72,9 @@ def lexical(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Dat
     url, query = F.coalesce("url", F.lit("")), F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1)
     return (
         pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-        .select("*", rule.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("tld"), F.substring_index("host", ".", -2).alias("domain"))
+        .select("*", rule.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("tld"), F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", 1).alias("label_1"), F.regexp_extract("path", "^/([^/]*)/", 1).alias("folder"))
         .select(
-            "page_id", "host", "path", "rule", "ruled", "tld", "domain", F.xxhash64("page_id", "url").alias("key"),
+            "page_id", "host", "path", "rule", "ruled", "tld", "domain", "label_1", "folder", F.xxhash64("page_id", "url").alias("key"),
             F.length(url).cast("double").alias("url_length"),
             F.length("host").cast("double").alias("host_length"),
             F.length("path").cast("double").alias("path_length"),
@@ -88,20 +92,21 @@ def lexical(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> Dat
     )
 
 
-def with_suffix_rates(table: DataFrame, cfg: TreeConfig) -> DataFrame:
-    """The share of block verdicts under each url's last label and last two labels, smoothed towards the overall share.
-
-    A labelled url counts in its own rate: leaving it out would give its label away by the small difference.
+def with_rates(table: DataFrame, cfg: TreeConfig) -> DataFrame:
+    """The share of block verdicts (column label) under each url's last label, last two labels, first label and first folder, smoothed towards the
+    overall share. A labelled url's rates come from the rows of other folds, so its own label is not in them; all others see all labelled rows.
     """
-    label = F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0)
-    table = table.withColumn("label", label)
     total = table.agg(F.avg("label")).first()[0]
     total = 0.5 if total is None else round(total, 6)
-    for suffix, name in (("tld", "tld_rate"), ("domain", "domain_rate")):
-        sums = table.filter("label is not null").groupBy(suffix).agg(F.sum("label").alias("__y"), F.count("label").alias("__n"))
-        y, n = F.coalesce("__y", F.lit(0.0)), F.coalesce("__n", F.lit(0))
-        table = table.join(sums, suffix, "left").withColumn(name, F.round((y + cfg.smoothing * total) / (n + cfg.smoothing), 6)).drop("__y", "__n")
-    return table
+    table = table.withColumn("__fold", F.pmod("key", F.lit(cfg.folds)).cast("int"))
+    for name, rate in (("tld", "tld_rate"), ("domain", "domain_rate"), ("label_1", "label_rate"), ("folder", "folder_rate")):
+        each = [F.struct(F.sum(F.when(F.col("__fold") == k, F.col("label"))).alias("y"), F.count(F.when(F.col("__fold") == k, 1)).alias("n")) for k in range(cfg.folds)]
+        sums = table.filter("label is not null").groupBy(name).agg(F.sum("label").alias("__y"), F.count("label").alias("__n"), F.array(*each).alias("__each"))
+        own = F.when(F.col("label").isNotNull(), F.get("__each", F.col("__fold")))
+        y = F.coalesce("__y", F.lit(0.0)) - F.coalesce(own["y"], F.lit(0.0))
+        n = F.coalesce("__n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))
+        table = table.join(sums, name, "left").withColumn(rate, F.round((y + cfg.smoothing * total) / (n + cfg.smoothing), 6)).drop("__y", "__n", "__each")
+    return table.drop("__fold")
 
 
 @dataclass(frozen=True)
@@ -177,18 +182,26 @@ def grow(x: np.ndarray, y: np.ndarray, cfg: TreeConfig = TreeConfig()) -> Trees:
     return Trees(start, tuple(trees))
 
 
+def fit_trees(table: DataFrame, cfg: TreeConfig) -> Trees:
+    """Trees grown from the labelled rows (label 1: block), at most max_fit_rows of them, the first by hash."""
+    rows = table.filter("label is not null").orderBy("key").limit(cfg.max_fit_rows).select("label", *FEATURES).collect()
+    x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(FEATURES))
+    return grow(x, np.array([r[0] for r in rows], float), cfg)
+
+
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, cfg: TreeConfig = TreeConfig()) -> DataFrame:
     """page_id, host, path, rule, verdict and score (chance of block by the trees) for every row of pages.
 
     A rule decides where one fits; else the trees do, from the threshold on. Null urls and those without `://` have empty host and path and
-    are judged by the trees. Without labelled urls the trees say even odds, that is block. Repeated rows are judged alike; an empty table gives no rows.
+    are judged by the trees. Without labelled urls the trees say even odds, that is block. Repeated rows are judged alike, urls of any length whole;
+    an empty table gives no rows.
 
-    Scale: one pass for the features, two joins with a row for each suffix, and at most max_fit_rows rows of numbers for the driver.
+    Scale: one pass makes the features, stored once; four joins with a row for each suffix, label or folder; at most max_fit_rows rows of numbers for the driver.
     """
-    table = with_suffix_rates(lexical(pages, rules), cfg)
-    rows = table.filter("label is not null").orderBy("key").limit(cfg.max_fit_rows).select("label", *FEATURES).collect()
-    x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(FEATURES))
-    trees = grow(x, np.array([r[0] for r in rows], float), cfg)
+    scratch = Scratch(pages.sparkSession, "urls")
+    table = scratch.table(lexical(pages, rules).withColumn("label", F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0)), "features")
+    table = with_rates(table, cfg)
+    trees = fit_trees(table, cfg)
     out = table.select("page_id", "host", "path", "rule", "ruled", F.round(trees.column(), 6).alias("score"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= cfg.threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
