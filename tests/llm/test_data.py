@@ -1,14 +1,17 @@
 """Sharding, mixing, media and pseudonyms: exact laws, round trips, odd tables."""
 
 import hashlib
+import io
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import media
 from tidewatch.llm.mixing import MixConfig, plan_mix, realise, source_targets, split_quotas
@@ -174,10 +177,48 @@ def test_formats_round_trip():
     r = np.random.default_rng(3)
     for shape in ((5, 7), (6, 3, 3), (1, 1)):
         a = r.integers(0, 256, shape).astype(np.uint8)
-        assert (media.decode(media.write_pnm(a)) == a).all() and (media.decode(media.write_bmp(a)) == a).all()
-    assert media.read_pnm(b"P2 # a\n2 1\n# b\n255\n7 9\n").tolist() == [[7, 9]]
+        assert (media.decode(media.write_pnm(a))[0] == a).all() and (media.decode(media.write_bmp(a))[0] == a).all()
+    assert media.read_pnm(b"P2 # a\n2 1\n# b\n255\n7 9\n")[0].tolist() == [[7, 9]]
+    assert media.read_pnm(b"P1\n3 2\n1 0 1\n# c\n011")[0].tolist() == [[0, 1, 0], [1, 0, 0]]
+    assert media.read_pnm(b"P4 10 1\n" + bytes([0b10100000, 0b01000000]))[0].tolist() == [[0, 1, 0, 1, 1, 1, 1, 1, 1, 0]]
+    wide, top = media.read_pnm(b"P5 2 1 1000\n" + bytes([1, 2, 3, 4 - 1]))
+    assert (wide.tolist(), top, wide.dtype) == ([[258, 771]], 1000, np.uint16)
+    assert media.read_pnm(b"P3 1 1 5 0 5 1")[0].tolist() == [[[0, 5, 1]]]
+
+
+def palette_bmp(rows, bits, colours):
+    h, w = len(rows), len(rows[0])
+    packed = b""
+    for row in rows[::-1]:
+        line = "".join(f"{x:0{bits}b}" for x in row)
+        line += "0" * (-len(line) % 32)
+        packed += int(line, 2).to_bytes(len(line) // 8, "big")
+    table = b"".join(bytes([b, g, r, 0]) for r, g, b in colours)
+    start = 54 + len(table)
+    return struct.pack("<2sIHHI", b"BM", start + len(packed), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, 0, len(packed), 0, 0, len(colours), 0) + table + packed
+
+
+def test_palettes():
+    red, grey = (255, 0, 0), (9, 9, 9)
+    for bits in (1, 4):
+        assert media.read_bmp(palette_bmp([[0, 1, 1], [1, 0, 1]], bits, [red, grey])).tolist() == [[list(red), list(grey), list(grey)], [list(grey), list(red), list(grey)]]
     with pytest.raises(ValueError):
-        media.decode(b"GIF89a")
+        media.read_bmp(palette_bmp([[0, 7]], 4, [red, grey]))
+
+
+def test_decode_media(spark):
+    a = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    files = [media.write_pnm(a), media.write_bmp(a), media.write_bmp(np.stack([a] * 3, 2)), b"GIF89a", b"", None, media.write_pnm(a)[:-1], media.write_bmp(a)[:60], b"P5 0 3 255\n", b"P5\n99999999 99999999\n255\n", b"P2 1 1 5 9", b"P6 1", media.write_pnm(a), b"P2 1 1 5 x"]
+    df = spark.createDataFrame(list(enumerate(files)), "id long, media binary").withColumn("error", F.lit("clash"))
+    rows = [r for r in media.decode_media(df, side=4).orderBy("id").collect()]
+    assert [r.error is None for r in rows] == [True] * 3 + [False] * 9 + [True, False] and rows[5].error == "null"
+    assert all(r.samples is None and r.tile is None and r.dhash is None for r in rows if r.error)
+    assert [(r.height, r.width, r.channels) for r in rows[:3]] == [(6, 10, 1), (6, 10, 1), (6, 10, 3)]
+    assert bytes(rows[0].samples) == bytes(rows[1].samples) == a.tobytes() and rows[0].dhash == rows[1].dhash == rows[12].dhash
+    tile = np.load(io.BytesIO(bytes(rows[0].tile)))
+    want = np.repeat(np.repeat(a.astype(float), 2, 0), 2, 1).reshape(4, 3, 4, 5).mean((1, 3))
+    assert tile.shape == (4, 4) and np.abs(tile - want).max() <= 0.5 and np.load(io.BytesIO(bytes(rows[2].tile))).shape == (4, 4, 3)
+    assert media.decode_media(df.limit(0)).count() == 0
 
 
 def test_area_resize_is_the_exact_mean():
@@ -195,7 +236,7 @@ def test_text_media(make, odd, none, tmp_path):
         size = max(1, -(-len(raw) // 576)) * 576
         payload = raw + b"\xff" * (size - len(raw))
         x = rows[k]
-        assert media.decode(bytes(x.media)).tobytes() == payload
+        assert media.decode(bytes(x.media))[0].tobytes() == payload
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (x.media_bytes, x.media_sha256) == (len(x.media), hashlib.sha256(x.media).hexdigest()) and x.feature.startswith("dhash:")
     assert rows[2].feature == rows[5].feature and rows[0].media_sha256 == rows[1].media_sha256

@@ -1,6 +1,7 @@
 """Quality, toxicity, scoring and URL filters: held-out accuracy, gradients, odd tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import lm_scoring as lm
 from tidewatch.llm.quality import keep_good, score_quality
-from tidewatch.llm.toxicity import ToxicConfig, Voters, score_toxicity
-from tidewatch.llm.url_filter import FEATURES, RULES, grow, judge_urls
+from tidewatch.llm.toxicity import Voters, fit_label_model, score_toxicity
+from tidewatch.llm.url_filter import FEATURES, RULES, TreeConfig, fit_trees, grow, judge_urls, lexical, with_rates
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +48,53 @@ def test_voters_see_disguises():
     assert names("an 1d10t") == {"leet"} and names("s-t-u-p-i-d man") == {"spaced"} and "aimed" in names("you are an idiot") and not names("studious people")
 
 
+def test_long_words_take_linear_time():
+    v = Voters(["lowei", "bad$"])
+    for unit in ("a", "ab", "a1", "1", "aaa1", "a ", "\u4e2d\u6587", "9@", "bad", "a.b-", "you "):
+        text = unit * (400_000 // len(unit))
+        began = time.perf_counter()
+        v(text)
+        assert time.perf_counter() - began < 4, unit
+    assert {v.names[k] for k in v("x" * 100_000 + " iiidiot " + "loweei" * 9)} == {"stretched"}
+
+
+def test_label_model_equals_plain_rounds(spark):
+    """The same rounds over all texts at once, voter by voter."""
+    r = np.random.default_rng(5)
+    toxic = r.random(3000) < 0.1
+    fired = (r.random((3000, 6)) < np.where(toxic[:, None], [0.6, 0.5, 0.3, 0.2, 0.05, 0.6], [0.01, 0.02, 0.001, 0.001, 0.04, 0.01])).astype(float)
+    fired[:, 5] = np.where(r.random(3000) < 0.97, fired[:, 0], fired[:, 5])  # repeats the first
+    rows = [([int(k) for k in np.flatnonzero(f)], [1] * int(f.sum())) for f in fired]
+    model = fit_label_model(spark.createDataFrame(rows, "at array<int>, n array<int>").repartition(5), 6, 5)
+    prior, p1, p0, together = 0.05, np.full(6, 0.2), np.full(6, 0.002), np.zeros((6, 6))
+
+    def posterior(f):
+        odds = np.log(prior / (1 - prior))
+        for k in range(6):
+            if f[k]:
+                odds += np.log(p1[k] / p0[k]) / (1 + sum(together[j, k] for j in range(6) if f[j]))
+            else:
+                odds += np.log((1 - p1[k]) / (1 - p0[k]))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(5):
+        post = np.array([posterior(f) for f in fired])
+        n1 = post.sum()
+        both = np.array([[(post * fired[:, i] * fired[:, j]).sum() / n1 for j in range(6)] for i in range(6)])
+        yes, all_ = post @ fired, fired.sum(0)
+        q1, q0 = (yes + 0.02) / (n1 + 0.1), (all_ - yes + 0.001) / (3000 - n1 + 1)
+        prior, p1, p0 = n1 / 3000, np.maximum(q1, 3 * q0), q0
+        for i in range(6):
+            for j in range(6):
+                a, b = both[i, i], both[j, j]
+                c = (both[i, j] - a * b) / np.sqrt(a * (1 - a) * b * (1 - b))
+                together[i, j] = c if i != j and c > 0.6 else 0
+    assert together[0, 5] > 0.6 and np.count_nonzero(together) == 2
+    assert np.allclose([model.prior], [prior], rtol=1e-6) and np.allclose(model.toxic, p1, rtol=1e-6) and np.allclose(model.other, p0, rtol=1e-6) and np.allclose(model.together, together, atol=1e-9)
+    post = model.posterior(fired)
+    assert ((post > 0.5) == toxic).mean() > 0.93
+
+
 def small_network():
     cfg = lm.LmConfig(digits=(4, 4), classes=4, hidden=3, batch=8)
     net, r = lm.Network(cfg), np.random.default_rng(0)
@@ -151,3 +199,35 @@ def test_trees_learn_and_read_back_as_columns(spark):
     df = spark.createDataFrame([tuple(map(float, row)) for row in x[:50]], ", ".join(f"{f} double" for f in FEATURES))
     assert np.allclose([v[0] for v in df.select(trees.column()).collect()], p[:50])
     assert len(RULES) == 5
+
+
+def test_held_out_urls(spark):
+    """A quarter of the ruled urls, by hash, are hidden from rates and trees."""
+    table = lexical(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("ruled is not null")
+    hidden = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(4)) == 0
+    table = with_rates(table.withColumn("label", F.when(~hidden, (F.col("ruled") == "block").cast("double"))), TreeConfig()).persist()
+    rows = table.withColumn("score", fit_trees(table, TreeConfig()).column()).filter("label is null").select("score", "ruled", "tld").collect()
+    y, s = np.array([r.ruled == "block" for r in rows]), np.array([r.score for r in rows])
+    com = np.array([r.tld == "com" for r in rows])
+    assert auc(s, y) > 0.95 and auc(s[com], y[com]) > 0.95 and ((s >= 0.5) == y).mean() > 0.95
+
+
+def test_rates_leave_out_the_own_fold(spark):
+    rows = [(k, f"https://h{k % 3}.d.com/f{k % 2}/x", float(k % 4 == 0) if k % 5 else None) for k in range(60)]
+    df = lexical(spark.createDataFrame(rows, "page_id long, url string, y double").select("page_id", "url")).join(spark.createDataFrame(rows, "page_id long, u string, label double").drop("u"), "page_id")
+    cfg = TreeConfig()
+    got = {r.page_id: r for r in with_rates(df, cfg).collect()}
+    fold = {k: r.key % 5 for k, r in got.items()}
+    known = {k: y for k, _, y in rows if y is not None}
+    total = round(sum(known.values()) / len(known), 6)
+    for k, r in got.items():
+        mine = [y for j, y in known.items() if j % 3 == k % 3 and not (k in known and fold[j] == fold[k])]
+        assert r.label_rate == pytest.approx((sum(mine) + cfg.smoothing * total) / (len(mine) + cfg.smoothing), abs=1e-5)
+
+
+def test_odd_urls(spark):
+    long = "https://a.com/" + "x/" * 200_000
+    df = spark.createDataFrame([(1, long), (2, None), (2, None), (3, "http://b.net/es/1"), (3, "http://b.net/es/1"), (None, "q"), (4, "http://c.org/z")], "page_id long, url string").withColumns({c: F.lit("1") for c in ("label", "key", "score", "path", "tld", "s")})
+    rows = judge_urls(df).collect()
+    assert len(rows) == 7 and {r.rule for r in rows if r.page_id == 3} == {"net/es/"} and [len(r.path) for r in rows if r.page_id == 1] == [400_001]
+    assert len({(r.verdict, r.score) for r in rows if r.page_id == 2}) == 1

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 
@@ -23,7 +24,14 @@ NAMES = {
 }
 
 
-ORACLES = {"op7_ngram_join": sql.NGRAM_JOIN}
+# Columns of the operators' results that SQL can say, over whole tables.
+PARTS = {
+    "part1_exact_leaks": ("op1_decontaminate", lambda df: df.filter("edits = 0").select("doc_id", "item_id", "item_words")),
+    "part8_media_bytes": ("op8_media", lambda df: df.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")),
+    "part9_mix_targets": ("op9_mixing", lambda df: df.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))),
+    "part10_url_rules": ("op10_url_filter", lambda df: df.select("page_id", "host", "path", "rule")),
+}
+ORACLES = {"op7_ngram_join": sql.NGRAM_JOIN, "part1_exact_leaks": sql.EXACT_LEAKS, "part8_media_bytes": sql.MEDIA_BYTES, "part9_mix_targets": sql.MIX_TARGETS, "part10_url_rules": sql.URL_RULES}
 
 
 def _late(name: str, module: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,7 +44,8 @@ def _late(name: str, module: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _late(name, module) for name, module in NAMES.items()}
+    out = {name: _late(name, module) for name, module in NAMES.items()}
+    return out | {name: (lambda spark, sf_dir, of=of, part=part: part(out[of](spark, sf_dir))) for name, (of, part) in PARTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,3 +17,39 @@ with recursive words as (
 select sets.doc_id, class.class_id, (coalesce(linked.n, 0) + d.copies - 1)::bigint as n_links, d.copies::bigint as copies
 from sets join d on sets.g = d.g join class using (s) left join linked using (s)
 """
+
+# Test items that stand in a document word by word.
+EXACT_LEAKS = r"""
+with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+'), ' ') || ' ' as t from documents
+), i as (select item_id, array_to_string(w, ' ') as t, len(w) as n from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') as w from benchmark where text is not null) where len(w) > 0
+)
+select d.doc_id, i.item_id, i.n::int as item_words from d join i on contains(d.t, ' ' || i.t || ' ')
+"""
+
+# The payload of every text and its Netpbm file.
+MEDIA_BYTES = r"""
+with p as (select doc_id, strlen(coalesce(text, ''))::bigint as n, greatest(1, (strlen(coalesce(text, '')) + 575) // 576)::bigint * 576 as size, coalesce(text, '') as t from documents
+), b as (select doc_id, n, size, encode(t) || from_hex(repeat('ff', size - n)) as payload from p
+), m as (select *, encode('P5' || chr(10) || '24 ' || size // 24 || chr(10) || '255' || chr(10)) || payload as media from b)
+select doc_id, n as n_bytes, size as payload_bytes, sha256(payload) as payload_sha256, octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256 from m
+"""
+
+# Sizes and targets of sources: those with the least cap for their weight are capped, as many as it takes until no other is above its own.
+MIX_TARGETS = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), s as (select source, sum(size)::bigint as n from d group by source
+), w as (select source, n, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from s
+), o as (select *, row_number() over (order by 2.0::double * n / weight, source) as k, (select 1.5::double * sum(n) from s) as total from w
+), c as (select *, (total - coalesce(sum(2.0::double * n) over (order by k rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by k rows between current row and unbounded following) as rate from o
+), f as (select min(k) as k from c where weight * rate <= 2 * n
+), t as (select source, n, case when c.k < coalesce(f.k, 1000000000) then 2.0::double * n else weight * (select rate from c x join f on x.k = f.k) end as target from c, f)
+select d.doc_id, d.size, t.n as source_size, round(t.target, 3) as target from d join t on d.source is not distinct from t.source
+"""
+
+# Host, path and the longest rule.
+URL_RULES = r"""
+with p as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages
+), h as (select page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from p
+), r(rule, top, start) as (values ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('www.example.com/en/', 'www.example.com', '/en/'), ('net/es/', 'net', '/es/'), ('net/fr/', 'net', '/fr/'))
+select page_id, host, path, (select arg_max(rule, length(rule)) from r where (host = top or ends_with(host, '.' || top)) and starts_with(path, start)) as rule from h
+"""
