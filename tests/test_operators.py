@@ -3,13 +3,14 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import hash_bucket
 from tidewatch.operators.ranked_metrics import average_precision, top_n_shared
 from tidewatch.operators.ranking import global_row_number
 from tidewatch.operators.trailing import trailing_totals, trailing_totals_by_frame
-from tidewatch.operators.walks import closed_walks
+from tidewatch.operators.walks import RowBudgetExceeded, closed_walks
 from tidewatch.sources.raw import parse_patterns, read_transactions
 from tidewatch.sources.sinks import markdown_table, rewrite_block, stratified_sample, write_sample
 
@@ -56,6 +57,26 @@ def test_row_numbers(spark):
     assert got == [(1, "", 3), (2, "a", 5), (3, "a", 5), (4, "b", 1), (5, "b", 2)]
 
 
+def test_row_numbers_over_levels(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, "2024/01/01 00:0%d" % r.randrange(9), "2024/01/0%d 10:00" % r.randrange(1, 9), "2023"]), r.choice("abc"), r.randrange(50)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "ts string, g string, x int")
+    got = sorted((x.n, x.ts, x.g, x.x) for x in global_row_number(df, ["ts", "g"], ["x"], "n", (F.substring("ts", 1, 10),)).collect())
+    assert [x[1:] for x in got] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", *x[1:])) and [x[0] for x in got] == list(range(1, 401))
+
+
+def test_walks_of_six_hops_and_budget(spark):
+    edges = [(f"n{k}", f"n{(k + 1) % 6}", START + timedelta(hours=3 * k), 10.0 + k) for k in range(6)] + [("n5", "n4", START + timedelta(hours=16), 1.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, txn_ts timestamp_ntz, amount_usd double")
+    kept = []
+    keep = lambda name, frame: kept.append(name) or frame.persist()
+    got = [(tuple(x.path), x.hops, x.smallest) for x in closed_walks(df, 3, 6, 20, 100, keep).collect()]
+    assert got == [(("n0", "n1", "n2", "n3", "n4", "n5"), 6, 10.0)] and kept == [f"walks_of_{k}_hops" for k in range(2, 6)]
+    assert closed_walks(df, 3, 6, 14).count() == 0
+    with pytest.raises(RowBudgetExceeded):
+        closed_walks(df, 3, 6, 20, 2, keep)
+
+
 def test_top_n_shares_ties(spark):
     df = spark.createDataFrame([("m", s, y, e) for s, y, e in zip([2.0, 1.0, 1.0, 1.0, 1.0], [0, 1, 0, 0, 0], [True] * 5)], "method string, score double, label int, ok boolean")
     row = top_n_shared(df, ["method"], "score", "label", F.lit(3), F.col("ok")).first()
@@ -89,6 +110,6 @@ def test_sample_is_reproducible(spark, tmp_path):
 
     s = stratified_sample(raw_from_events(spark, "/root/testdata/sf0.001")["transactions"], 200, 80)
     one, two = write_sample(s, str(tmp_path / "a"), "h"), write_sample(s, str(tmp_path / "b"), "h")
-    assert one == two and one["transactions"] == s.count() <= 200 and one["laundering_transactions"] == 14
+    assert one == two and list(one["sha256"]) == ["HI-Small_Trans.csv.gz"] and one["transactions"] == s.count() <= 200 and one["laundering_transactions"] == 14
     assert "| n |" in markdown_table(s.selectExpr("count(*) as n"))
     assert rewrite_block("<!-- x:begin -->old<!-- x:end -->.", "x", "new") == "<!-- x:begin -->\nnew\n<!-- x:end -->."

@@ -17,9 +17,71 @@ def built(spark, tmp_path_factory):
 
 def test_data_tests(built):
     p, tables = built
+    assert checks.label_columns(tables["fct_alert_features"]) == []
     bad = {name: n for name, df in checks.all_checks(p).items() if (n := df.limit(5).count())}
     assert not bad
-    assert checks.label_columns(tables["fct_alert_features"]) == []
+    rows = checks.audit(p).collect()
+    assert {r.check for r in rows} == set(checks.column_checks(p)) and len(rows) == len(checks.column_checks(p)) > 80
+    assert not [r for r in rows if r.violations]
+
+
+def test_checks_find_faults(spark):
+    bad = spark.createDataFrame([(1, None, -1.0, "x"), (1, "a", 2.0, "all")], "k int, a string, x double, s string")
+    assert checks.unique(bad, "k").count() == checks.not_null(bad, "a").count() == checks.positive(bad, "x").count() == checks.accepted(bad, "s", "all").count() == 1
+    assert checks.references(bad, "a", bad.filter("k > 1"), "a").count() == 1
+
+
+def files(spark, folder, name):
+    """The tables of the smallest events as the published files of a dataset."""
+    from tidewatch.sources.raw import ACCOUNT_COLUMNS, TRANSACTION_COLUMNS
+
+    raw = Pipeline.from_events(spark, SF, DRIVER).raw
+    for table, columns, file in (("transactions", TRANSACTION_COLUMNS, "Trans.csv"), ("accounts", ACCOUNT_COLUMNS, "accounts.csv")):
+        rows = raw[table].select(*columns).collect()
+        (folder / f"{name}_{file}").write_text("\n".join([",".join(columns), *(",".join(v or "" for v in r) for r in rows)]) + "\n")
+    blocks = {}
+    for r in raw["patterns"].collect():
+        blocks.setdefault((r.pattern_id, r.pattern_type), []).append(",".join(r[c] for c in TRANSACTION_COLUMNS))
+    lines = [x for (_, kind), rows in sorted(blocks.items()) for x in (f"BEGIN LAUNDERING ATTEMPT - {kind}", *rows, f"END LAUNDERING ATTEMPT - {kind}", "")]
+    (folder / f"{name}_Patterns.txt").write_text("\n".join(lines))
+    return lines
+
+
+def test_reports_of_another_dataset(spark, tmp_path):
+    from tidewatch.plans import report
+
+    files(spark, tmp_path, "LI-Small")
+    (tmp_path / "README.md").write_text("a <!-- rules:begin -->old<!-- rules:end --> b")
+    report.main([str(tmp_path), "--dataset", "li", "--out", str(tmp_path / "out"), "--readme", str(tmp_path / "README.md")])
+    text = (tmp_path / "out" / "rules_li.md").read_text()
+    assert all(f"## {t}" in text for t in ("Base rate", "Combined alert sets", "Overlap of the rules")) and "| rule_dummy_all | validate |" in text
+    assert "rule_dummy_all" in (tmp_path / "README.md").read_text() and "old" not in (tmp_path / "README.md").read_text()
+
+
+def test_model_report(spark, built):
+    from tidewatch.plans import report
+
+    p, tables = built
+    text, data = report.model_report(p, ml.GbtParams(iterations=2, depth=2, least_rows=1), {"other": p}, importance_rows=50, top=3, importance_of=("f_n_sent", "f_n_recv"))
+    assert len(data) == 6 and "## Importance of model_no_artifacts" in text
+    rows = data["validate, accounts not seen in training"]["rows"]
+    assert {r["method"] for r in rows} == {*ml.FEATURE_SETS, "combined_excl_baseline", *ml.REAL_RULES} and len(data["other tune, models as trained above"]["verdicts"]) == 9
+    assert report.tuning_report(p, p.rule_structuring, "rule_structuring").count("| rule_structuring |") >= 3 + 7
+
+
+def test_sample_with_accounts_and_patterns(spark, tmp_path):
+    from tidewatch.sources.sinks import stratified_sample, write_sample
+
+    lines = files(spark, tmp_path, "HI-Small")
+    raw = Pipeline.from_files(spark, str(tmp_path)).raw
+    s = stratified_sample(raw["transactions"], 200, 80)
+    made = write_sample(s, str(tmp_path / "s"), "h", raw["accounts"], "a", lines)
+    again = Pipeline.from_files(spark, str(tmp_path / "s")).raw
+    assert again["transactions"].count() == made["transactions"] and again["accounts"].count() == made["accounts"] > 0 and len(made["sha256"]) == 3
+    assert again["patterns"].count() == raw["patterns"].count()
+    assert made == write_sample(s, str(tmp_path / "t"), "h", raw["accounts"], "a", lines)
+    with pytest.raises(ValueError):
+        write_sample(s, str(tmp_path / "u"), "h", pattern_lines=["2024/01/01 00:00,1"])
 
 
 def test_every_rule_alerts(built):
@@ -75,6 +137,8 @@ def test_permutation_importance(built):
     tune = tables["fct_alert_features"].filter("split = 'tune'")
     rows = {r.column: r.importance for r in ml.permutation_importance(tune, lambda df: df.select("label", F.col("f_n_sent").cast("double").alias("model_score")), ["f_n_sent", "f_n_recv"], repeats=1).collect()}
     assert rows["f_n_recv"] == 0 and rows["f_n_sent"] != 0
+    shares = {r.column: r.share for r in ml.permutation_importance(tune, lambda df: df.select("label", F.col("f_n_sent").cast("double").alias("model_score")), ["f_n_sent", "f_n_recv"], repeats=2, rows=40).collect()}
+    assert shares["f_n_recv"] == 0 and shares["f_n_sent"] in (0, 1)
 
 
 def test_stream(spark, tmp_path):

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_row_number(df: DataFrame, lead: list[str], rest: list[str], name: str) -> DataFrame:
+def global_row_number(df: DataFrame, lead: list[str], rest: list[str], name: str, coarse: tuple[Column, ...] = ()) -> DataFrame:
     """Number all rows from 1 in the order of lead, then rest.
 
-    Rows are counted per value of the lead columns; the running counts (one row for each lead value) give every value its first
-    number, and rows are then numbered within their value. So the sorts are as many as lead values, and only their counts meet in one task.
+    Rows are counted for each value of the lead columns and numbered within it. The running counts before each value add up over levels:
+    first the values of `coarse` (columns over lead, from coarse to fine, that rise with the order, such as a timestamp's day), each level
+    within the one above, then the lead columns one by one. So one task orders the counts of the first level only, and a task of a
+    lower level those within one value of the level above; no task orders the leads, even if they are as many as the rows.
     """
-    counts = df.groupBy(*lead).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in lead], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    levels = [f"__level{k}" for k in range(len(coarse))]
+    counts = df.groupBy(*lead).agg(F.count("*").alias("__n")).withColumns(dict(zip(levels, coarse, strict=True)))
+    names = [*levels, *lead]
+    starts, start = counts, F.lit(0)
+    for k, level in enumerate(names):
+        above, upto = names[:k], names[: k + 1]
+        before = Window.partitionBy(*above).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        own = counts.groupBy(*upto).agg(F.sum("__n").alias("__n")).select(*[F.col(c).alias(f"{c}__") for c in upto], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__before{k}"))
+        starts = starts.join(own, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in upto]).drop(*[f"{c}__" for c in upto])
+        start = start + F.col(f"__before{k}")
+    starts = starts.select(*[F.col(c).alias(f"__{c}") for c in lead], start.alias("__start"))
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in lead]
-    own = F.row_number().over(Window.partitionBy(*lead).orderBy(*rest))
-    return df.withColumn("__own", own).join(starts, on).withColumn(name, (F.col("__start") + F.col("__own")).cast("bigint")).drop("__own", "__start", *[f"__{c}" for c in lead])
+    numbered = df.withColumn("__own", F.row_number().over(Window.partitionBy(*lead).orderBy(*rest)))
+    return numbered.join(starts, on).withColumn(name, (F.col("__start") + F.col("__own")).cast("bigint")).drop("__own", "__start", *[f"__{c}" for c in lead])

@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import seconds
+
 
 class RowBudgetExceeded(RuntimeError):
     """A level of the walk grew past its row budget."""
 
 
-def closed_walks(edges: DataFrame, min_hops: int, max_hops: int, hours: int, row_budget: int | None = None) -> DataFrame:
+def closed_walks(edges: DataFrame, min_hops: int, max_hops: int, hours: int, row_budget: int | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(path, hops, closed_ts, smallest) of walks over edges (src, dst, txn_ts, amount_usd) that close at their start.
 
-    Times strictly increase and stay within `hours` of the first; no account but the start comes twice. One join a hop, each on
-    the walk's end, unrolled up to max_hops. With a row budget each level is counted first and an error stops a search that explodes.
+    Times strictly increase and stay within `hours` of the first; no account but the start comes twice. One join a hop, unrolled up to max_hops, on the
+    walk's end and on time buckets of the window's length: a payment that may follow stands in the bucket of the walk's last time or in the next, so
+    an account's long history is not looked at. With a row budget each level is stored by `keep`, if there is one, and counted, and an error stops
+    a search that explodes.
     """
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("txn_ts").alias("ts"), F.col("amount_usd").alias("usd"))
+    width = hours * 3600
+    bucket = lambda c: F.floor(seconds(F.col(c)) / width).cast("bigint")
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("txn_ts").alias("ts"), F.col("amount_usd").alias("usd"), bucket("txn_ts").alias("slot"))
     walk = edges.select(F.col("src").alias("start"), F.col("dst").alias("cur"), F.col("txn_ts").alias("first_ts"), F.col("txn_ts").alias("last_ts"), F.array("src", "dst").alias("path"), F.col("amount_usd").alias("smallest"))
     closed = []
     for hops in range(2, max_hops + 1):
-        on = (F.col("at") == F.col("cur")) & (F.col("ts") > F.col("last_ts")) & (F.col("ts") <= F.col("first_ts") + F.expr(f"interval {hours} hours"))
-        grown = walk.join(step, on).select("start", "first_ts", "path", F.col("to").alias("cur"), F.col("ts").alias("last_ts"), F.least("smallest", "usd").alias("smallest"))
+        until = F.col("first_ts") + F.expr(f"interval {hours} hours")
+        looked = walk.withColumn("bucket", F.explode(F.sequence(bucket("last_ts"), F.floor((seconds(F.col("first_ts")) + width) / width).cast("bigint"))))
+        grown = looked.join(step, (F.col("at") == F.col("cur")) & (F.col("slot") == F.col("bucket")) & (F.col("ts") > F.col("last_ts")) & (F.col("ts") <= until))
+        grown = grown.select("start", "first_ts", "path", F.col("to").alias("cur"), F.col("ts").alias("last_ts"), F.least("smallest", "usd").alias("smallest"))
         if hops >= min_hops:
             closed.append(grown.filter(F.col("cur") == F.col("start")).select("path", F.lit(hops).alias("hops"), F.col("last_ts").alias("closed_ts"), "smallest"))
         if hops < max_hops:
             walk = grown.filter(~F.array_contains("path", F.col("cur"))).withColumn("path", F.array_append("path", F.col("cur")))
-            if row_budget is not None and (n := walk.count()) > row_budget:
-                raise RowBudgetExceeded(f"{n} walks of {hops} hops; the budget is {row_budget}")
+            if row_budget is not None:
+                walk = keep(f"walks_of_{hops}_hops", walk) if keep else walk
+                if (n := walk.count()) > row_budget:
+                    raise RowBudgetExceeded(f"{n} walks of {hops} hops; the budget is {row_budget}")
     return reduce(DataFrame.unionByName, closed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_number
@@ -16,10 +16,6 @@ def split_days(tune_last_day: int) -> tuple[tuple[str, int, int], ...]:
     return (("all", 1, LAST), ("tune", 1, tune_last_day), ("validate", tune_last_day + 1, LAST))
 
 
-def splits_table(spark: SparkSession, tune_last_day: int) -> DataFrame:
-    return spark.createDataFrame(split_days(tune_last_day), "split string, day_from int, day_to int")
-
-
 def in_splits(df: DataFrame, tune_last_day: int) -> DataFrame:
     """Each row once for every split whose days include its day_index; no join."""
     has = [F.when(F.col("day_index").between(lo, hi), F.lit(name)) for name, lo, hi in split_days(tune_last_day)]
@@ -85,8 +81,12 @@ class Evaluation:
 
     def threshold_sensitivity(self) -> DataFrame:
         own = self.accounts.filter("split = 'all'")
-        cut = [f"struct(cast({p} as double) as cutoff_pct, percentile_disc({p}) within group (order by score) as score_cutoff)" for p in CUTOFFS]
-        cuts = own.groupBy("rule_id").agg(F.expr(f"array({', '.join(cut)})").alias("c")).select("rule_id", F.explode("c").alias("c")).select("rule_id", "c.*")
+        # discrete quantiles from running counts over scores: what is ordered is one row for each score, and no buffer holds them
+        steps = own.groupBy("rule_id", "score").agg(F.count("*").alias("n"))
+        by = Window.partitionBy("rule_id").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        steps = steps.withColumn("upto", F.sum("n").over(by)).join(F.broadcast(own.groupBy("rule_id").agg(F.count("*").alias("rows"))), "rule_id")  # a row for each rule
+        cut = [F.struct(F.lit(p).alias("cutoff_pct"), F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.col("rows") - F.floor(F.col("rows") - F.col("rows") * F.lit(p))), F.col("score"))).alias("score_cutoff")) for p in CUTOFFS]
+        cuts = steps.groupBy("rule_id").agg(F.array(*cut).alias("c")).select("rule_id", F.explode("c").alias("c")).select("rule_id", "c.*")
         base = self.pop.filter("split = 'all'").agg(F.count("*").alias("n_pop"), F.sum(F.col("is_lab").cast("int")).alias("n_lab"))  # one row
         lab = F.sum(F.col("is_lab").cast("int"))
         kept = own.join(F.broadcast(cuts), "rule_id").filter(F.col("score") >= F.col("score_cutoff"))  # cuts: at most 7 rows a rule

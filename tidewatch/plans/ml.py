@@ -43,17 +43,27 @@ def design(features: DataFrame, rules: bool = True, without: tuple[str, ...] = (
     return out.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in kinds.items()}), cols + list(kinds)
 
 
-def fit_and_score(features: DataFrame, p: GbtParams = GbtParams(), rules: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
-    """Train on the tune rows of the training group, score the validate rows of the others: split, account_id, label, model_score."""
+def fit(features: DataFrame, p: GbtParams = GbtParams(), rules: bool = True, without: tuple[str, ...] = ()):
+    """Train on the tune rows of the training group; gives what scores rows of features: split, account_id, label, model_score."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     table, cols = design(features, rules, without)
     x = VectorAssembler(inputCols=cols, outputCol="x").transform(table).withColumn("y", F.col("label").cast("double"))
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=p.iterations, stepSize=p.step, maxDepth=p.depth, minInstancesPerNode=p.least_rows, seed=p.seed, featureSubsetStrategy="all").fit(x.filter((F.col("split") == "tune") & train_group()))
-    scored = model.transform(x.filter((F.col("split") == "validate") & ~train_group()))
-    return scored.select("split", "account_id", "label", vector_to_array("probability")[1].alias("model_score"))
+    train = x.filter((F.col("split") == "tune") & train_group())
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=p.iterations, stepSize=p.step, maxDepth=p.depth, minInstancesPerNode=p.least_rows, seed=p.seed, featureSubsetStrategy="all").fit(train)
+
+    def score(rows: DataFrame) -> DataFrame:
+        table = VectorAssembler(inputCols=cols, outputCol="x").transform(design(rows, rules, without)[0])
+        return model.transform(table).select("split", "account_id", "label", vector_to_array("probability")[1].alias("model_score"))
+
+    return score
+
+
+def fit_and_score(features: DataFrame, p: GbtParams = GbtParams(), rules: bool = True, without: tuple[str, ...] = (), split: str = "validate") -> DataFrame:
+    """Train as fit does, score the rows of a split whose accounts training did not see."""
+    return fit(features, p, rules, without)(features.filter((F.col("split") == split) & ~train_group()))
 
 
 def rule_scores(features: DataFrame) -> DataFrame:
@@ -73,10 +83,9 @@ def compare(scores: DataFrame) -> DataFrame:
     key = ["method"]
     ap = average_precision(scores, key, F.when(F.col("eligible"), F.col("score")).otherwise(-1.0), "label")
     size = scores.groupBy(*key).agg(F.count("*").alias("accounts"), F.sum(F.col("label").cast("int")).alias("positives"))
-    parts = []
+    parts, sized = [], scores.join(F.broadcast(size.select("method", "accounts")), "method")  # a row for each method
     for b in BUDGETS:
-        n = F.bround(F.lit(b / 1000) * F.count("*").over(Window.partitionBy("method"))).cast("bigint")
-        counted = scores.withColumn("n_top", n)
+        counted = sized.withColumn("n_top", F.bround(F.lit(b / 1000) * F.col("accounts")).cast("bigint"))
         top = top_n_shared(counted.withColumn("label", F.col("label").cast("int")), key, "score", "label", F.col("n_top"), F.col("eligible"))
         parts.append(top.withColumn("budget", F.lit(b)))
     t = reduce(DataFrame.unionByName, parts).join(size, key).join(ap, key)
@@ -84,20 +93,26 @@ def compare(scores: DataFrame) -> DataFrame:
     return t.select("method", "budget", "average_precision", (hits / F.nullif(taken, F.lit(0))).alias("precision"), (hits / F.nullif("positives", F.lit(0))).alias("recall"), (taken * F.lit(1000.0).cast("double") / F.col("accounts")).alias("volume_per_1000"))
 
 
-def permutation_importance(features: DataFrame, score, columns: list[str], repeats: int = 3, seed: int = 1) -> DataFrame:
-    """column, drop in average precision when its values are dealt out anew; `score` maps features to (label, model_score)."""
+def permutation_importance(features: DataFrame, score, columns: list[str], repeats: int = 3, seed: int = 1, rows: int = 40_000) -> DataFrame:
+    """column, importance (drop in average precision when its values are dealt out anew) and share (of all drops, none below 0); `score` maps features to (label, model_score).
+
+    Measured on the first `rows` rows by hash, so one task can number them.
+    """
     spark = features.sparkSession
+    key = lambda s: F.xxhash64(F.lit(s), "split", "account_id")
+    features = features.orderBy(key(seed), "split", "account_id").limit(rows).persist()
     measure = lambda df: score(df).select(F.lit(1).alias("one"), "label", "model_score").transform(lambda d: average_precision(d, ["one"], F.col("model_score"), "label")).first()[1]
-    base, rows = measure(features), []
+    base, found = measure(features), []
     for c in columns:
         loss = []
         for r in range(repeats):
-            key = lambda s: F.xxhash64(F.lit(s), "split", "account_id")
             numbered = lambda df, s: df.withColumn("__k", F.row_number().over(Window.partitionBy("split").orderBy(key(s))))
             dealt = numbered(features, seed + r).select("split", "__k", F.col(c).alias("__new"))
             loss.append(base - measure(numbered(features, -1 - seed - r).join(dealt, ["split", "__k"]).withColumn(c, F.col("__new")).drop("__k", "__new")))
-        rows.append((c, float(sum(loss) / repeats)))
-    return spark.createDataFrame(rows, "column string, importance double")
+        found.append((c, float(sum(loss) / repeats)))
+    features.unpersist()
+    whole = sum(max(0.0, x) for _, x in found)
+    return spark.createDataFrame([(c, x, max(0.0, x) / whole if whole else 0.0) for c, x in found], "column string, importance double, share double")
 
 
 def verdict(model: float, best_rule: float, band: float = 0.05) -> str:

@@ -43,7 +43,7 @@ class CycleParams:
     min_amount_usd: float = 500
     window_hours: int = 168
     max_degree: int = 50
-    row_budget: int | None = None
+    row_budget: int | None = 200_000_000  # walks of one length; None: no level is stored or counted
 
 
 @dataclass(frozen=True)

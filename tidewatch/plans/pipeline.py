@@ -24,7 +24,7 @@ class Pipeline:
     SHARED = ("int_txn_enriched", "int_account_daily", "int_account_activity_days", "int_account_profile", "fct_alerts", "fct_account_split_label")
 
     def __init__(self, raw: dict[str, DataFrame], params: Params = Params(), keep: Callable[[str, DataFrame], DataFrame] | None = None):
-        self.raw, self.params, self.keep = raw, params, keep or (lambda name, df: df)
+        self.raw, self.params, self.keep, self.keeps = raw, params, keep or (lambda name, df: df), keep is not None
 
     @classmethod
     def from_events(cls, spark: SparkSession, sf_dir: str, params: Params = Params(), **k) -> Pipeline:
@@ -80,7 +80,7 @@ class Pipeline:
 
     @cached_property
     def rule_cycles(self) -> DataFrame:
-        return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles, lambda df: self.keep("cycle_edges", df))
+        return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles, self.keep if self.keeps else None)
 
     @cached_property
     def rule_baseline_anomaly(self) -> DataFrame:
@@ -151,12 +151,16 @@ def stored(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
     root = spark.conf.get("spark.checkpoint.dir", None)
     base = f"{root.rstrip('/')}/marts-{uuid.uuid4().hex}" if root else None
 
+    kept: list[DataFrame] = []
+
     def keep(name: str, df: DataFrame) -> DataFrame:
         if base is None:
-            return df.persist()
+            kept.append(df.persist())
+            return kept[-1]
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
+    keep.kept = kept
     return keep
 
 
@@ -174,7 +178,7 @@ def build(pipeline: Pipeline, folder: str, names: tuple[str, ...] = Pipeline.TAB
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    pipeline.keep = keep
+    pipeline.keep, pipeline.keeps = keep, True
     for name in names:
         df = getattr(pipeline, name)
         out[name] = df if name in pipeline.SHARED else keep(name, df)

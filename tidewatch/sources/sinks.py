@@ -11,14 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import account_key, bank_number
-from .raw import TRANSACTION_COLUMNS
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Rebuild a table in full and return it read back."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+from .raw import ACCOUNT_COLUMNS, TRANSACTION_COLUMNS
 
 
 def stratified_sample(transactions: DataFrame, target: int = 100_000, touching: int = 40_000, seed: str = "sample") -> DataFrame:
@@ -35,16 +28,40 @@ def stratified_sample(transactions: DataFrame, target: int = 100_000, touching:
     return bad.unionByName(near.orderBy("h").limit(quota)).unionByName(far.orderBy("h").limit(max(0, target - n - quota))).select(*TRANSACTION_COLUMNS, "h")
 
 
-def write_sample(sample: DataFrame, folder: str, header: str) -> dict:
-    """The sample (its size is the caller's target) as one gzip file with equal bytes on every run, and a manifest with its SHA-256."""
+def _write_gz(path: Path, header: str, lines: list[str]) -> str:
+    """A gzip file with equal bytes on every run, and its SHA-256."""
+    with path.open("wb") as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, filename="") as f:
+        f.write(("\n".join([*([header] if header else []), *lines]) + "\n").encode())
+    return hashlib.sha256(path.read_bytes()).hexdigest()
+
+
+def write_sample(sample: DataFrame, folder: str, header: str, accounts: DataFrame | None = None, account_header: str = "", pattern_lines: list[str] | None = None, name: str = "HI-Small") -> dict:
+    """The sample (its size is the caller's target) as files that load_raw reads, with equal bytes on every run, and a manifest with their SHA-256.
+
+    With accounts, those at either end of a sampled transaction; with the lines of a pattern file, all of them, and every transaction that they name must be in the sample.
+    """
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     rows = sample.orderBy("timestamp", "h").select(*TRANSACTION_COLUMNS).collect()
-    body = "\n".join([header, *(",".join(r) for r in rows)]) + "\n"
-    path = out / "transactions.csv.gz"
-    with path.open("wb") as raw, gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, filename="") as f:
-        f.write(body.encode())
-    manifest = {"transactions": len(rows), "laundering_transactions": sum(r.is_laundering == "1" for r in rows), "sha256": {path.name: hashlib.sha256(path.read_bytes()).hexdigest()}}
+    lines = [",".join(r) for r in rows]
+    sha = {f"{name}_Trans.csv.gz": _write_gz(out / f"{name}_Trans.csv.gz", header, lines)}
+    manifest = {"transactions": len(rows), "laundering_transactions": sum(r.is_laundering == "1" for r in rows)}
+    if accounts is not None:
+        ends = [account_key(bank_number(F.col(f"{s}_bank")), F.col(f"{s}_account")) for s in ("from", "to")]
+        used = sample.select(F.explode(F.array(*ends)).alias("__key")).distinct()
+        kept = accounts.withColumn("__key", account_key(bank_number(F.col("bank_id")), F.col("account_number"))).join(used, "__key", "left_semi")
+        kept = kept.orderBy("bank_id", "account_number").select(*ACCOUNT_COLUMNS).collect()
+        if any("," in v or '"' in v for r in kept for v in r if v):
+            raise ValueError("an account's value would need quotes")
+        sha[f"{name}_accounts.csv.gz"] = _write_gz(out / f"{name}_accounts.csv.gz", account_header, [",".join(v or "" for v in r) for r in kept])
+        manifest["accounts"] = len(kept)
+    if pattern_lines is not None:
+        held = set(lines)
+        if missing := [x for x in pattern_lines if x[:4].isdigit() and x not in held]:
+            raise ValueError(f"{len(missing)} pattern lines are not in the sample")
+        sha[f"{name}_Patterns.txt.gz"] = _write_gz(out / f"{name}_Patterns.txt.gz", "", pattern_lines)
+        manifest["pattern_rows_all_present"] = True
+    manifest["sha256"] = sha
     (out / "MANIFEST.json").write_text(json.dumps(manifest, indent=2) + "\n")
     return manifest
 
