@@ -26,7 +26,7 @@ class MixConfig:
     most_repeats: float = 2.0
     n_shards: int = 16
     block_bits: int = 12  # a source has 2^12 blocks; fewer where there are so many sources that all draws would pass 9e8
-    shard_words: int = 32_000_000  # of one shuffled part of a shard, about
+    shard_words: int = 8_000_000  # of one shuffled part of a shard, about: some 50 MB of text
     seed: int = 11
     most_sources: int = 1_000_000  # the driver holds a few numbers for each source; more are refused
     broadcast_blocks: int = 200_000  # above this many rows, the table of blocks is joined by a shuffle
