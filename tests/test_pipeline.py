@@ -3,7 +3,7 @@
 import pytest
 
 from tidewatch.plans import checks, ml
-from tidewatch.plans.pipeline import Pipeline, build, evaluate_rule
+from tidewatch.plans.pipeline import Pipeline, build, evaluate_rule, stored
 from tidewatch.queries import DRIVER
 
 SF = "/root/testdata/sf0.001"
@@ -101,7 +101,7 @@ def test_tune_features_ignore_the_future(spark, built):
     p, tables = built
     raw = dict(p.raw)
     raw["transactions"] = raw["transactions"].filter("timestamp < '2024/01/08'")
-    early = Pipeline(raw, DRIVER).fct_alert_features.filter("split = 'tune'")
+    early = Pipeline(raw, DRIVER, keep=stored(spark)).fct_alert_features.filter("split = 'tune'")
     cols = [c for c in early.columns if c.startswith("f_")]
     whole = tables["fct_alert_features"].filter("split = 'tune'")
     assert early.select("account_id", "label", *cols).subtract(whole.select("account_id", "label", *cols)).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +81,9 @@ class Pipeline:
 
     @cached_property
     def rule_cycles(self) -> DataFrame:
-        return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles, self.keep if self.keeps else None)
+        if self.keeps:
+            return rules.cycles(self.int_edges, self.int_account_profile, self.params.cycles, self.keep)
+        return rules.cycles(self.int_edges, self.int_account_profile, replace(self.params.cycles, row_budget=None))  # a mere plan counts nothing
 
     @cached_property
     def rule_baseline_anomaly(self) -> DataFrame:

@@ -77,7 +77,8 @@ def model_report(p: Pipeline, params: ml.GbtParams = ml.GbtParams(), others: dic
     feats = p.keep("report_features", p.fct_alert_features)
     models = {name: ml.fit(feats, params, rules, without) for name, (rules, without) in ml.FEATURE_SETS.items()}
     sections = [(f"{split}, accounts not seen in training", feats, split, True) for split in ("validate", "tune")]
-    sections += [(f"{name} {split}, models as trained above", q.fct_alert_features, split, False) for name, q in (others or {}).items() for split in ("validate", "tune")]
+    tables = {name: q.keep(f"report_features_{name}", q.fct_alert_features) for name, q in (others or {}).items()}
+    sections += [(f"{name} {split}, models as trained above", table, split, False) for name, table in tables.items() for split in ("validate", "tune")]
     text, data = ["# Models against rules at equal volume", ""], {}
     for title, table, split, unseen in sections:
         result = compared(table, models, split, unseen).orderBy("method", "budget")

@@ -76,10 +76,10 @@ def cycles(edge: DataFrame, profile: DataFrame, p: CycleParams = CycleParams(),
     """Payments that run in a loop back to their start; every member alerts at the closing payment, once a day, with the loop of the largest smallest leg (of equal ones the shortest).
 
     Each hop reads the pruned payments again, so `keep` (name, frame) should store them where there are many, and the walks of each length, against whose number
-    the row budget is held; without it nothing is counted.
+    the row budget is held; without it each length is counted from the payments on.
     """
     edges = cycle_edges(edge, profile, p)
-    loops = closed_walks(keep("cycle_edges", edges) if keep else edges, p.min_hops, p.max_hops, p.window_hours, p.row_budget if keep else None, keep)
+    loops = closed_walks(keep("cycle_edges", edges) if keep else edges, p.min_hops, p.max_hops, p.window_hours, p.row_budget, keep)
     members = loops.select(F.explode("path").alias("account_id"), "hops", "closed_ts", "smallest")
     daily = members.groupBy("account_id", F.to_date("closed_ts").alias("day")).agg(F.min("closed_ts").alias("alert_ts"), F.min(F.struct(-F.col("smallest"), F.col("hops"))).alias("best"), F.count("*").alias("n"))
     leg = F.lit(-1) * F.col("best.col1")
