@@ -10,18 +10,17 @@ def global_row_number(df: DataFrame, lead: list[str], rest: list[str], name: str
     """Number all rows from 1 in the order of lead, then rest.
 
     Rows are counted for each value of the lead columns and numbered within it. The running counts before each value add up over levels:
-    first the values of `coarse` (columns over lead, from coarse to fine, that rise with the order, such as a timestamp's day), each level
-    within the one above, then the lead columns one by one. So one task orders the counts of the first level only, and a task of a
-    lower level those within one value of the level above; no task orders the leads, even if they are as many as the rows.
+    the values of `coarse` (columns over lead, from coarse to fine, that rise with the order, such as a timestamp's hour), each level within
+    the one above, then the leads within the last level. So one task orders the counts of the first level only, and a task of a lower level
+    those within one value of the level above; with a level, no task orders all leads, even if they are as many as the rows.
     """
     levels = [f"__level{k}" for k in range(len(coarse))]
     counts = df.groupBy(*lead).agg(F.count("*").alias("__n")).withColumns(dict(zip(levels, coarse, strict=True)))
-    names = [*levels, *lead]
-    starts, start = counts, F.lit(0)
-    for k, level in enumerate(names):
-        above, upto = names[:k], names[: k + 1]
-        before = Window.partitionBy(*above).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        own = counts.groupBy(*upto).agg(F.sum("__n").alias("__n")).select(*[F.col(c).alias(f"{c}__") for c in upto], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__before{k}"))
+    before = lambda above, by: F.coalesce(F.sum("__n").over(Window.partitionBy(*above).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts, start = counts.withColumn("__before", before(levels, lead)), F.col("__before")
+    for k, level in enumerate(levels):
+        upto = levels[: k + 1]
+        own = counts.groupBy(*upto).agg(F.sum("__n").alias("__n")).select(*[F.col(c).alias(f"{c}__") for c in upto], before(levels[:k], [level]).alias(f"__before{k}"))
         starts = starts.join(own, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in upto]).drop(*[f"{c}__" for c in upto])
         start = start + F.col(f"__before{k}")
     starts = starts.select(*[F.col(c).alias(f"__{c}") for c in lead], start.alias("__start"))

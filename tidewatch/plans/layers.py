@@ -24,7 +24,7 @@ def _ends() -> dict[str, Column]:
 def staged_transactions(raw: DataFrame) -> DataFrame:
     """Typed transactions with a surrogate key; exact duplicates stay, each with its own key."""
     order = ["from_account", "to_bank", "to_account", "amount_paid", "payment_currency", "amount_received", "receiving_currency", "payment_format", "is_laundering"]
-    t = global_row_number(raw, ["timestamp", "from_bank"], order, "txn_id", (F.substring("timestamp", 1, 10),)).withColumns(_ends())
+    t = global_row_number(raw, ["timestamp", "from_bank"], order, "txn_id", (F.substring("timestamp", 1, 13),)).withColumns(_ends())
     ts = minute_stamp(F.col("timestamp"))
     return t.select(
         "txn_id", ts.alias("txn_ts"), F.to_date(ts).alias("txn_date"),
