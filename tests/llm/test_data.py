@@ -159,6 +159,14 @@ def test_mix(make, bits):
     assert len(runs) == len(set(runs)) and [d for d, s in out if s == runs[0]] != sorted(d for d, s in out if s == runs[0])
 
 
+def test_parts_of_shards_are_bounded(make):
+    r = random.Random(6)
+    df = make([words(r, 20) for _ in range(200)])
+    many, few = (realise(df, MixConfig(n_shards=4, shard_words=50, most_parts=most), "s") for most in (1000, 8))
+    assert many.rdd.getNumPartitions() == 4 * 30 and few.rdd.getNumPartitions() == 8  # 6,000 words
+    assert sorted((x.doc_id, x.s) for x in many.collect()) == sorted((x.doc_id, x.s) for x in few.collect())
+
+
 def test_many_sources_take_fewer_blocks(make):
     r = random.Random(5)
     df = make([words(r, 9) for _ in range(50)], [f"s{k % 25}" for k in range(50)])

@@ -13,6 +13,7 @@ from tidewatch.llm.common import Scratch, small_batches
 from tidewatch.llm.decontaminate import near_distance
 from tidewatch.llm.mixing import MixConfig, source_targets
 from tidewatch.llm.quality import statistics
+from tidewatch.llm.sharding import MAP_SETTING, SlotMap
 
 from .test_similarity import brute
 
@@ -118,6 +119,19 @@ def test_run_leaves_only_its_result(spark):
     assert out.count() > 50 and len(Scratch.made) == mark + 1 and {f.split("/")[-2] for f in out.inputFiles()} == {"05-sharding"}
 
 
+def test_kept_maps_outlive_the_run_and_are_edited(spark, tmp_path):
+    spark.conf.set(MAP_SETTING, str(tmp_path))
+    try:
+        first, second = (corpus_pipeline.run(spark, SF) for _ in range(2))
+        a, b = ({r.virtual_slot: (r.shard, r.map_version) for r in out.select("virtual_slot", "shard", "map_version").distinct().collect()} for out in (first, second))
+    finally:
+        spark.conf.unset(MAP_SETTING)
+    old, new = (SlotMap.load(spark, f"{tmp_path}/pipeline", k) for k in (1, 2))
+    assert {v for _, v in a.values()} == {1} and {v for _, v in b.values()} == {2} and SlotMap.versions(spark, f"{tmp_path}/pipeline") == [1, 2]
+    assert all(old.shard_of[k] == s for k, (s, _) in a.items()) and all(new.shard_of[k] == s for k, (s, _) in b.items())
+    assert a.keys() == b.keys() and sum(x != y for x, y in zip(old.shard_of, new.shard_of)) < len(a) / 10  # edited, not made anew
+
+
 def test_batch_limit_with_a_unit(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

@@ -27,6 +27,7 @@ class MixConfig:
     n_shards: int = 16
     block_bits: int = 12  # a source has 2^12 blocks; fewer where there are so many sources that all draws would pass 9e8
     shard_words: int = 8_000_000  # of one shuffled part of a shard, about: some 50 MB of text
+    most_parts: int = 50_000  # shuffled parts of all shards together; beyond, the parts grow instead, and their sorts spill
     seed: int = 11
     most_sources: int = 1_000_000  # the driver holds a few numbers for each source; more are refused
     broadcast_blocks: int = 200_000  # above this many rows, the table of blocks is joined by a shuffle
@@ -182,7 +183,7 @@ def realise(docs: DataFrame, cfg: MixConfig = MixConfig(), keep_shard: str | Non
     out = out.withColumn(times, (F.col(f"{draw}.whole") + again.cast("int")).cast("int")).filter(F.col(times) > 0)
     out = out.select(*docs.columns, key, F.posexplode(F.slice(f"{draw}.shards", 1, F.col(times))).alias(draw, shard))
     place = F.xxhash64(F.lit(cfg.seed + 3), key, draw)
-    parts = max(1, -(-words // (cfg.n_shards * cfg.shard_words)))
+    parts = max(1, min(-(-words // (cfg.n_shards * cfg.shard_words)), cfg.most_parts // cfg.n_shards))
     out = out.withColumn(n, place).withColumn(part, F.pmod(n, F.lit(parts))).repartition(cfg.n_shards * parts, shard, part).sortWithinPartitions(shard, part, n, "doc_id")
     return out.select(*docs.columns, *([F.col(shard).alias(keep_shard)] if keep_shard else []))
 

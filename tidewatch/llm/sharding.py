@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch
 
+MAP_SETTING = "spark.tidewatch.slots.path"
 MAP_SCHEMA = T.StructType([T.StructField("slot", T.IntegerType(), False), T.StructField("shard", T.IntegerType(), False), T.StructField("bytes", T.LongType(), False), T.StructField("n_shards", T.IntegerType(), False), T.StructField("heavy", T.ArrayType(T.LongType()), False)])
 
 
@@ -187,6 +188,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = 4096, map_
     return place(docs, plan_shards(docs, cfg, map_path), cfg, keep)
 
 
+def map_folder(spark: SparkSession, name: str) -> str:
+    """Where the maps of one use of shards are kept: under the folder that the session's setting names, so that the next run edits them; else in a scratch table, for this run alone."""
+    kept = spark.conf.get(MAP_SETTING, None)
+    return f"{kept.rstrip('/')}/{name}" if kept else Scratch(spark, "sharding").fresh("map")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), map_path=Scratch(spark, "sharding").fresh("map"))
+    out = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), map_path=map_folder(spark, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
