@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to shards, each on all that the one before it kept.
 
 quality: rows that the discriminant rejects go. near_duplicates: one row of each class of near copies stays. decontamination: rows with a passage of
-the benchmark go. mixing: sources are brought to their target weights, rows repeated or left out as the quotas ask. sharding: every row, text included, gets its shard and place.
+the benchmark go. mixing: sources are brought to their target weights, rows repeated or left out as the quotas ask. sharding: every row, text included, gets its shard and place
+by the latest slot map under spark.tidewatch.slots.path, edited for these rows; without that setting, by a new map that goes when the run ends.
 
 No SQL says the same (fits by covariances, hashed draws, edit distance), so ORACLE_SQL is None. The tests hold what each stage keeps and drops against what
 a brute-force version of the stage, on the same input, keeps and drops.
@@ -17,7 +18,7 @@ from tidewatch.llm.decontaminate import without_leaks
 from tidewatch.llm.mixing import realise
 from tidewatch.llm.ngram_join import one_of_each
 from tidewatch.llm.quality import keep_good
-from tidewatch.llm.sharding import assign_shards
+from tidewatch.llm.sharding import assign_shards, map_folder
 
 ORACLE_SQL = None
 
@@ -39,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = assign_shards(docs, map_path=Scratch(spark, "sharding").fresh("map"), keep=docs.columns)
+    placed = assign_shards(docs, map_path=map_folder(spark, "pipeline"), keep=docs.columns)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
