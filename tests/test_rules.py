@@ -1,6 +1,7 @@
 """Hand-made cases of each rule: what must alert, and near misses."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -34,6 +35,21 @@ def test_fan(spark):
     assert got["D", at(1, 16)].reason.startswith("fan-out: 5 distinct receivers")
 
 
+@pytest.mark.parametrize("least", [2, 4, 6])
+def test_fan_windows_across_bucket_edges(spark, least):
+    r = random.Random(8)
+    rows = [(at(1 + r.randrange(4), r.choice([0, 1, 5, 6, 11, 12, 18, 23]), r.choice([0, 0, 1, 59])), f"s{r.randrange(9)}", f"d{r.randrange(3)}", float(r.randrange(1, 900))) for _ in range(150)]
+    want = {}
+    for name, me, other in (("fan-in", 2, 1), ("fan-out", 1, 2)):
+        for e in rows:
+            n = len({x[other] for x in rows if x[me] == e[me] and timedelta(0) <= e[0] - x[0] <= timedelta(hours=6)})
+            if n >= least:
+                first, peak = want.get((name, e[me], e[0].date()), (e[0], 0))
+                want[name, e[me], e[0].date()] = (min(first, e[0]), max(peak, n))
+    alerts = rules.fan_in_out(edges(spark, rows), FanParams(least, 6)).collect()
+    assert want and {(a.reason.split(":")[0], a.account_id, a.alert_ts.date()): (a.alert_ts, int(a.score)) for a in alerts} == want and len(alerts) == len(want)
+
+
 def test_window_is_closed_at_both_ends_and_sees_its_own_minute(spark):
     rows = [(at(1, 8), "a", "X", 1.0), (at(1, 14), "b", "X", 2.0), (at(1, 14), "c", "X", 4.0)]  # the first is exactly 6 h old
     got = found(rules.fan_in_out(edges(spark, rows), FanParams(3, 6)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import exact, grouped, plain
+from ..functions import exact, grouped, plain, seconds
 from ..operators.intervals import within_hours
 from ..operators.trailing import trailing_totals
 from ..operators.walks import closed_walks
@@ -31,12 +31,18 @@ def _alerts(df: DataFrame, rule: str, score: Column, *reason: Column | str) -> D
 def fan_in_out(edge: DataFrame, p: FanParams = FanParams()) -> DataFrame:
     """Accounts that meet at least k different counterparties in a trailing window, as receivers or senders; one alert for each side and day, with the day's peak.
 
-    Accounts that never meet k counterparties at all leave before the window. Of equal peaks the earliest gives the amount.
+    A window lies in two neighbouring time buckets of its length, so what stands in buckets that don't meet k counterparties with either neighbour
+    leaves before the window: no window that meets k reads it. Of equal peaks the earliest gives the amount.
     """
     sides = [("in", "dst", "src"), ("out", "src", "dst")]
     rows = reduce(DataFrame.unionByName, [edge.select(F.lit(s).alias("side"), F.col(me).alias("account_id"), F.col(other).alias("counterparty"), "txn_ts", "amount_usd") for s, me, other in sides])
-    wide = rows.groupBy("side", "account_id").agg(F.countDistinct("counterparty").alias("n")).filter(F.col("n") >= p.min_counterparties).select("side", "account_id")
-    seen = trailing_totals(rows.join(wide, ["side", "account_id"], "left_semi"), ["side", "account_id"], "txn_ts", p.window_hours, "amount_usd", "counterparty").filter(F.col("n") >= p.min_counterparties)
+    rows = rows.withColumn("bucket", F.floor(seconds(F.col("txn_ts")) / (p.window_hours * 3600)).cast("bigint"))
+    met = rows.groupBy("side", "account_id", "bucket").agg(F.countDistinct("counterparty").alias("n"))
+    by_time = Window.partitionBy("side", "account_id").orderBy("bucket")
+    beside = [F.when(F.abs(of("bucket").over(by_time) - F.col("bucket")) == 1, of("n").over(by_time)).otherwise(0) for of in (F.lag, F.lead)]
+    wide = met.withColumn("most", F.col("n") + F.greatest(*beside)).filter(F.col("most") >= p.min_counterparties).select("side", "account_id", "bucket")
+    near = rows.join(wide, ["side", "account_id", "bucket"], "left_semi")
+    seen = trailing_totals(near, ["side", "account_id"], "txn_ts", p.window_hours, "amount_usd", "counterparty").filter(F.col("n") >= p.min_counterparties)
     daily = seen.groupBy("side", "account_id", F.to_date("txn_ts").alias("day")).agg(F.min("txn_ts").alias("alert_ts"), F.max("n").alias("peak"), F.min_by("total", F.struct(-F.col("n"), F.col("txn_ts"))).alias("usd"))
     who = F.when(F.col("side") == "in", F.concat(F.lit("fan-in: "), F.col("peak").cast("string"), F.lit(" distinct senders"))).otherwise(F.concat(F.lit("fan-out: "), F.col("peak").cast("string"), F.lit(" distinct receivers")))
     return _alerts(daily, "rule_fan_in_out", F.col("peak"), who, f" within {p.window_hours}h, ", grouped(F.col("usd").cast("double")), " USD in that window")
