@@ -21,6 +21,9 @@ NAMES = {
     "op8_media": "media",
     "op9_mixing": "mixing",
     "op10_url_filter": "url_filter",
+    "op11_exact_dedup": "exact_dedup",
+    "op12_fim": "fim",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 
@@ -31,7 +34,7 @@ PARTS = {
     "part9_mix_targets": ("op9_mixing", lambda df: df.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))),
     "part10_url_rules": ("op10_url_filter", lambda df: df.select("page_id", "host", "path", "rule")),
 }
-ORACLES = {"op7_ngram_join": sql.NGRAM_JOIN, "part1_exact_leaks": sql.EXACT_LEAKS, "part8_media_bytes": sql.MEDIA_BYTES, "part9_mix_targets": sql.MIX_TARGETS, "part10_url_rules": sql.URL_RULES}
+ORACLES = {"op7_ngram_join": sql.NGRAM_JOIN, "part1_exact_leaks": sql.EXACT_LEAKS, "part8_media_bytes": sql.MEDIA_BYTES, "part9_mix_targets": sql.MIX_TARGETS, "part10_url_rules": sql.URL_RULES, "op11_exact_dedup": sql.EXACT_DEDUP, "op12_fim": sql.FIM, "op13_hard_negatives": sql.HARD_NEGATIVES}
 
 
 def _late(name: str, module: str) -> Callable[[SparkSession, str], DataFrame]:

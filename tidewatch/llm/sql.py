@@ -53,3 +53,29 @@ with p as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$',
 ), r(rule, top, start) as (values ('com/', 'com', '/'), ('example.com/en/', 'example.com', '/en/'), ('www.example.com/en/', 'www.example.com', '/en/'), ('net/es/', 'net', '/es/'), ('net/fr/', 'net', '/fr/'))
 select page_id, host, path, (select arg_max(rule, length(rule)) from r where (host = top or ends_with(host, '.' || top)) and starts_with(path, start)) as rule from h
 """
+
+# Groups of texts that are equal without blanks.
+EXACT_DEDUP = r"""
+with d as (select doc_id, coalesce(text, '') as raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as t from documents
+), k as (select *, row_number() over w as rn, first_value(doc_id) over w as keep_id from d window w as (partition by t order by length(raw) desc, doc_id nulls last))
+select doc_id, keep_id, count(*) over (partition by t) as group_size, rn = 1 as kept, sha256(t) as text_sha256 from k
+"""
+
+# Cuts by four numbers from the hash of the id.
+FIM = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents
+), r as (select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from r
+), o as (select *, case form when 'plain' then t when 'psm' then '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) else '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) end as output from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars, sha256(output) as output_sha256, sha256(t) as restored_sha256 from o
+"""
+
+# All scores of anchors, then the bands below each anchor's best rows of its label.
+HARD_NEGATIVES = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+), n as (select p.*, s.id as negative_id, s.score as negative_score from p join s on s.anchor_id = p.anchor_id and not s.same and 100 * s.score between 80 * p.positive_score and 100 * p.positive_score)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id))::int as rank, negative_id, positive_score, negative_score from n qualify rank <= 5
+"""
