@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_number
+from ..operators.ranges import discrete_quantiles
 from .rules import TARGETS, WIRED_RULES
 
 CUTOFFS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -81,12 +82,7 @@ class Evaluation:
 
     def threshold_sensitivity(self) -> DataFrame:
         own = self.accounts.filter("split = 'all'")
-        # discrete quantiles from running counts over scores: what is ordered is one row for each score, and no buffer holds them
-        steps = own.groupBy("rule_id", "score").agg(F.count("*").alias("n"))
-        by = Window.partitionBy("rule_id").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        steps = steps.withColumn("upto", F.sum("n").over(by)).join(F.broadcast(own.groupBy("rule_id").agg(F.count("*").alias("rows"))), "rule_id")  # a row for each rule
-        cut = [F.struct(F.lit(p).alias("cutoff_pct"), F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.col("rows") - F.floor(F.col("rows") - F.col("rows") * F.lit(p))), F.col("score"))).alias("score_cutoff")) for p in CUTOFFS]
-        cuts = steps.groupBy("rule_id").agg(F.array(*cut).alias("c")).select("rule_id", F.explode("c").alias("c")).select("rule_id", "c.*")
+        cuts = discrete_quantiles(own, ["rule_id"], "score", CUTOFFS).select("rule_id", F.col("probability").alias("cutoff_pct"), F.col("quantile").alias("score_cutoff"))
         base = self.pop.filter("split = 'all'").agg(F.count("*").alias("n_pop"), F.sum(F.col("is_lab").cast("int")).alias("n_lab"))  # one row
         lab = F.sum(F.col("is_lab").cast("int"))
         kept = own.join(F.broadcast(cuts), "rule_id").filter(F.col("score") >= F.col("score_cutoff"))  # cuts: at most 7 rows a rule
