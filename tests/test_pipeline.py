@@ -62,7 +62,7 @@ def test_model_report(spark, built):
     from tidewatch.plans import report
 
     p, tables = built
-    text, data = report.model_report(p, ml.GbtParams(iterations=2, depth=2, least_rows=1), {"other": p}, importance_rows=50, top=3, importance_of=("f_n_sent", "f_n_recv"))
+    text, data = report.model_report(p, ml.BoostParams(iterations=2, leaves=4, least_rows=1), {"other": p}, importance_rows=50, top=3, importance_of=("f_n_sent", "f_n_recv"))
     assert len(data) == 6 and "## Importance of model_no_artifacts" in text
     rows = data["validate, accounts not seen in training"]["rows"]
     assert {r["method"] for r in rows} == {*ml.FEATURE_SETS, "combined_excl_baseline", *ml.REAL_RULES} and len(data["other tune, models as trained above"]["verdicts"]) == 9
@@ -109,7 +109,7 @@ def test_tune_features_ignore_the_future(spark, built):
 
 def test_model_protocol(built):
     _, tables = built
-    scored = ml.fit_and_score(tables["fct_alert_features"], ml.GbtParams(iterations=2, depth=2, least_rows=1), without=ml.ARTIFACTS)
+    scored = ml.fit_and_score(tables["fct_alert_features"], ml.BoostParams(iterations=2, leaves=4, least_rows=1), without=ml.ARTIFACTS)
     rows = ml.compare(ml.model_rows(scored, "model").unionByName(ml.rule_scores(tables["fct_alert_features"].filter("split = 'validate'")))).collect()
     assert {r.method for r in rows} == {"model", "combined_excl_baseline", *ml.REAL_RULES} and len(rows) == 21
     assert (ml.verdict(1.1, 1.0), ml.verdict(1.0, 1.0), ml.verdict(0.9, 1.0)) == ("beats", "level with", "does not beat")
@@ -118,15 +118,15 @@ def test_model_protocol(built):
 def test_registered_comparison_is_whole(spark, monkeypatch):
     from tidewatch import queries
 
-    seen, fit = [], ml.fit_and_score
+    seen, fit = [], ml.fit_sets
 
-    def quick(features, p=ml.GbtParams(), rules=True, without=()):
-        seen.append((p, rules, without))
-        return fit(features, ml.GbtParams(iterations=1, depth=2), rules, without)
+    def quick(features, p=ml.BoostParams(), sets=ml.FEATURE_SETS, keep=None):
+        seen.append((p, dict(sets)))
+        return fit(features, ml.BoostParams(iterations=1, leaves=3), sets, keep)
 
-    monkeypatch.setattr(ml, "fit_and_score", quick)
+    monkeypatch.setattr(ml, "fit_sets", quick)
     rows = queries.QUERIES["l03_model_comparison"](spark, "/root/testdata/sf0.001").collect()
-    assert seen == [(ml.GbtParams(), False, ()), (ml.GbtParams(), True, ()), (ml.GbtParams(), False, ml.ARTIFACTS)]
+    assert seen == [(ml.BoostParams(), {"model_base": (False, ()), "model_base_rules": (True, ()), "model_no_artifacts": (False, ml.ARTIFACTS)})]
     assert {(r.method, r.budget) for r in rows} == {(m, b) for m in ml.FEATURE_SETS for b in ml.BUDGETS} and len(rows) == 9
 
 
@@ -135,12 +135,44 @@ def test_permutation_importance(built):
 
     _, tables = built
     tune = tables["fct_alert_features"].filter("split = 'tune'")
-    rows = {r.column: r.importance for r in ml.permutation_importance(tune, lambda df: df.select("label", F.col("f_n_sent").cast("double").alias("model_score")), ["f_n_sent", "f_n_recv"], repeats=1).collect()}
+    score = lambda df: df.withColumn("model_score", F.col("f_n_sent").cast("double"))
+    rows = {r.column: r.importance for r in ml.permutation_importance(tune, score, ["f_n_sent", "f_n_recv"], repeats=1).collect()}
     assert rows["f_n_recv"] == 0 and rows["f_n_sent"] != 0
-    shares = {r.column: r.share for r in ml.permutation_importance(tune, lambda df: df.select("label", F.col("f_n_sent").cast("double").alias("model_score")), ["f_n_sent", "f_n_recv"], repeats=2, rows=40).collect()}
+    shares = {r.column: r.share for r in ml.permutation_importance(tune, score, ["f_n_sent", "f_n_recv"], repeats=2, rows=40).collect()}
     assert shares["f_n_recv"] == 0 and shares["f_n_sent"] in (0, 1)
 
 
+def test_importance_equals_a_loop(built):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    _, tables = built
+    tune = tables["fct_alert_features"].filter("split = 'tune'")
+    score = lambda df: df.withColumn("model_score", F.log1p(F.col("f_sent_usd").cast("double")) + F.col("f_in_degree") * 0.5)
+    got = {r.column: r.importance for r in ml.permutation_importance(tune, score, ["f_sent_usd", "f_in_degree"], repeats=3, seed=5).collect()}
+    keys = [F.xxhash64(F.lit(s), "split", "account_id").alias(f"k{j}") for j, s in enumerate([5, 6, 7, -6, -7, -8])]
+    rows = tune.select("label", "f_sent_usd", F.col("f_in_degree").cast("double").alias("f_in_degree"), *keys).toPandas()
+
+    def precision(x, y):
+        total, value = y.sum(), 0.0
+        for s in sorted(set(x), reverse=True):
+            value += y[x == s].sum() / total * y[x >= s].mean()
+        return value
+
+    label = rows["label"].to_numpy().astype(float)
+    of = lambda r: np.log1p(r["f_sent_usd"].to_numpy()) + r["f_in_degree"].to_numpy() * 0.5
+    for c in got:
+        loss = []
+        for r in range(3):
+            dealt = rows.copy()
+            gives = rows[c].to_numpy()[np.argsort(rows[f"k{r}"].to_numpy())]
+            column = np.empty(len(rows))
+            column[np.argsort(rows[f"k{r + 3}"].to_numpy())] = gives
+            dealt[c] = column
+            loss.append(precision(of(rows), label) - precision(of(dealt), label))
+        assert abs(got[c] - np.mean(loss)) < 1e-9
+
+
 def test_stream(spark, tmp_path):
     from datetime import datetime, timedelta
 

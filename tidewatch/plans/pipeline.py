@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property, reduce
@@ -13,6 +12,7 @@ from ..sources.events import raw_from_events
 from ..sources.raw import load_raw
 from . import evaluate, features, layers, rules
 from .params import Params
+from .storage import stored as stored
 
 
 class Pipeline:
@@ -149,24 +149,6 @@ class Pipeline:
         return evaluate.rule_overlap(self.fct_alerts, self.int_account_profile)
 
 
-def stored(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
-    """A `keep` that writes tables into the folder that driver and executors share (spark.checkpoint.dir), or persists where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{root.rstrip('/')}/marts-{uuid.uuid4().hex}" if root else None
-
-    kept: list[DataFrame] = []
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        if base is None:
-            kept.append(df.persist())
-            return kept[-1]
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
-    keep.kept = kept
-    return keep
-
-
 def evaluate_rule(pipeline: Pipeline, alerts: DataFrame, rule_id: str) -> dict[str, DataFrame]:
     """The three evaluations of one set of alerts, before it is wired in."""
     e = evaluate.Evaluation(alerts, pipeline.int_account_activity_days, pipeline.fct_account_split_label, pipeline.int_txn_enriched, pipeline.params.tune_last_day, (rule_id,))

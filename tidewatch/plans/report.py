@@ -69,13 +69,13 @@ def verdicts(rows: list) -> list[str]:
     return out
 
 
-def model_report(p: Pipeline, params: ml.GbtParams = ml.GbtParams(), others: dict[str, Pipeline] | None = None, importance_rows: int = 40_000, top: int = 10, importance_of: tuple[str, ...] = ()) -> tuple[str, dict]:
+def model_report(p: Pipeline, params: ml.BoostParams = ml.BoostParams(), others: dict[str, Pipeline] | None = None, importance_rows: int = 40_000, top: int = 10, importance_of: tuple[str, ...] = ()) -> tuple[str, dict]:
     """Three models (base features, with rule features, without artifacts) trained once, compared with the rules on both splits of this dataset and of others.
 
     Returns Markdown and what stands in it as plain values. importance_of: the features to measure, all of a model if empty.
     """
     feats = p.keep("report_features", p.fct_alert_features)
-    models = {name: ml.fit(feats, params, rules, without) for name, (rules, without) in ml.FEATURE_SETS.items()}
+    models = ml.fit_sets(feats, params, keep=p.keep if p.keeps else None)
     sections = [(f"{split}, accounts not seen in training", feats, split, True) for split in ("validate", "tune")]
     tables = {name: q.keep(f"report_features_{name}", q.fct_alert_features) for name, q in (others or {}).items()}
     sections += [(f"{name} {split}, models as trained above", table, split, False) for name, table in tables.items() for split in ("validate", "tune")]
@@ -102,7 +102,7 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--out", default="reports")
     a.add_argument("--readme", help="a file whose `rules` block is rewritten with the performance table")
     a.add_argument("--models", action="store_true", help="train and compare the models too")
-    a.add_argument("--trees", type=int, default=ml.GbtParams().iterations)
+    a.add_argument("--trees", type=int, default=ml.BoostParams().iterations)
     a.add_argument("--transfer", help="folder of another dataset that the models are applied to")
     a.add_argument("--transfer-dataset", default="li", choices=("hi", "li"))
     x = a.parse_args(args)
@@ -116,7 +116,7 @@ def main(args: list[str] | None = None) -> None:
         readme.write_text(rewrite_block(readme.read_text(), "rules", markdown_table(rule_tables(p)["Performance of the rules"])))
     if x.models:
         others = {x.transfer_dataset: Pipeline.from_files(spark, x.transfer, x.transfer_dataset, Params(), keep=stored(spark))} if x.transfer else None
-        text, data = model_report(p, ml.GbtParams(iterations=x.trees), others)
+        text, data = model_report(p, ml.BoostParams(iterations=x.trees), others)
         (out / "models.md").write_text(text)
         (out / "models.json").write_text(json.dumps(data, indent=1) + "\n")
 
