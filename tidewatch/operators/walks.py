@@ -1,44 +1,105 @@
-"""Simple paths in time that return to their start."""
+"""Simple paths in time that return to their start, found from two halves."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seconds
 
+Keep = Callable[[str, DataFrame], DataFrame]
+
 
 class RowBudgetExceeded(RuntimeError):
-    """A level of the walk grew past its row budget."""
+    """Half walks of one length are more than their row budget."""
 
 
-def closed_walks(edges: DataFrame, min_hops: int, max_hops: int, hours: int, row_budget: int | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(path, hops, closed_ts, smallest) of walks over edges (src, dst, txn_ts, amount_usd) that close at their start.
+def may_close(edges: DataFrame, hours: int) -> DataFrame:
+    """The edges (src, dst, at in seconds, and others) that can still stand on a closed walk: after a payment into their start or before one back to it, and before a payment out of their end or after one that left it.
 
-    Times strictly increase and stay within `hours` of the first; no account but the start comes twice. One join a hop, unrolled up to max_hops, on the
-    walk's end and on time buckets of the window's length: a payment that may follow stands in the bucket of the walk's last time or in the next, so
-    an account's long history is not looked at. With a row budget each level is stored by `keep`, if there is one, and counted, and an error stops
-    a search that explodes.
+    Both within the window, by the latest and the earliest such payment of the account (running extremes in time order, n log n). A first payment has no
+    payment before it, so the start must be paid again later; a last one has none after it, so its end must have paid before.
     """
     width = hours * 3600
-    bucket = lambda c: F.floor(seconds(F.col(c)) / width).cast("bigint")
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("txn_ts").alias("ts"), F.col("amount_usd").alias("usd"), bucket("txn_ts").alias("slot"))
-    walk = edges.select(F.col("src").alias("start"), F.col("dst").alias("cur"), F.col("txn_ts").alias("first_ts"), F.col("txn_ts").alias("last_ts"), F.array("src", "dst").alias("path"), F.col("amount_usd").alias("smallest"))
-    closed = []
+    columns = edges.columns
+    one = lambda df, account, role: df.withColumn("__account", F.col(account)).withColumn("__role", F.lit(role))
+    w = Window.partitionBy("__account").orderBy("at")
+    before, after = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(1, Window.unboundedFollowing)
+    other = F.when(F.col("__role") == "other", F.col("at"))
+    earlier = F.coalesce(F.col("at") - F.max(other).over(before) <= width, F.lit(False))
+    later = F.coalesce(F.min(other).over(after) - F.col("at") <= width, F.lit(False))
+
+    def seen(df: DataFrame, mine: str, theirs: str, names: tuple[str, str]) -> DataFrame:
+        rows = one(df, mine, "own").unionByName(one(edges.select("at", theirs), theirs, "other"), allowMissingColumns=True)
+        flagged = rows.withColumns({names[0]: earlier, names[1]: later}).filter("__role = 'own'")
+        return flagged.drop("__account", "__role")
+
+    started = seen(edges, "src", "dst", ("__paid_before", "__paid_again")).filter("__paid_before or __paid_again")
+    ended = seen(started, "dst", "src", ("__left_before", "__leaves_later"))
+    first, middle, last = F.col("__paid_again") & F.col("__leaves_later"), F.col("__paid_before") & F.col("__leaves_later"), F.col("__paid_before") & F.col("__left_before")
+    return ended.filter(first | middle | last).select(*columns)
+
+
+def pruned(edges: DataFrame, hours: int, keep: Keep, most_rounds: int = 8) -> DataFrame:
+    """may_close until nothing more goes, or most_rounds times: each round is stored and counted."""
+    n = edges.count()
+    for k in range(most_rounds):
+        edges = keep(f"cycle_edges_{k}", may_close(edges, hours))
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return edges
+
+
+def half_walks(edges: DataFrame, max_hops: int, hours: int, row_budget: int | None, keep: Keep | None) -> dict[int, DataFrame]:
+    """Simple walks (start, end, path, first, last, smallest) of 1 to max_hops payments with rising times within the window.
+
+    Each grows by a join on its end and on time buckets of the window's length: a payment that may follow stands in the bucket of the walk's last time or
+    in a later one up to the window's end, so an account's long history is not looked at.
+    """
+    width = hours * 3600
+    bucket = lambda c: F.floor(c / width).cast("bigint")
+    step = edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), "at", F.col("usd"), bucket(F.col("at")).alias("slot"))
+    walks = {1: edges.filter("src <> dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.col("at").alias("first"), F.col("at").alias("last"), F.col("usd").alias("smallest"))}
     for hops in range(2, max_hops + 1):
-        until = F.col("first_ts") + F.expr(f"interval {hours} hours")
-        looked = walk.withColumn("bucket", F.explode(F.sequence(bucket("last_ts"), F.floor((seconds(F.col("first_ts")) + width) / width).cast("bigint"))))
-        grown = looked.join(step, (F.col("at") == F.col("cur")) & (F.col("slot") == F.col("bucket")) & (F.col("ts") > F.col("last_ts")) & (F.col("ts") <= until))
-        grown = grown.select("start", "first_ts", "path", F.col("to").alias("cur"), F.col("ts").alias("last_ts"), F.least("smallest", "usd").alias("smallest"))
-        if hops >= min_hops:
-            closed.append(grown.filter(F.col("cur") == F.col("start")).select("path", F.lit(hops).alias("hops"), F.col("last_ts").alias("closed_ts"), "smallest"))
-        if hops < max_hops:
-            walk = grown.filter(~F.array_contains("path", F.col("cur"))).withColumn("path", F.array_append("path", F.col("cur")))
-            if row_budget is not None:
-                walk = keep(f"walks_of_{hops}_hops", walk) if keep else walk
-                if (n := walk.count()) > row_budget:
-                    raise RowBudgetExceeded(f"{n} walks of {hops} hops; the budget is {row_budget}")
+        looked = walks[hops - 1].withColumn("bucket", F.explode(F.sequence(bucket(F.col("last")), bucket(F.col("first") + width))))
+        near = (F.col("from") == F.col("end")) & (F.col("slot") == F.col("bucket")) & (F.col("at") > F.col("last")) & (F.col("at") <= F.col("first") + width)
+        grown = looked.join(step, near).filter(~F.array_contains("path", F.col("to")))
+        grown = grown.select("start", F.col("to").alias("end"), F.array_append("path", F.col("to")).alias("path"), "first", F.col("at").alias("last"), F.least("smallest", "usd").alias("smallest"))
+        if row_budget is not None:
+            grown = keep(f"walks_of_{hops}_hops", grown) if keep else grown
+            if (n := grown.count()) > row_budget:
+                raise RowBudgetExceeded(f"{n} walks of {hops} hops; the budget is {row_budget}")
+        walks[hops] = grown
+    return walks
+
+
+def _closed(there: DataFrame, back: DataFrame, hops: int, hours: int) -> DataFrame:
+    """Walks that go from start to end by `there` and return by `back`, later and over other accounts."""
+    width = hours * 3600
+    bucket = lambda c: F.floor(c / width).cast("bigint")
+    a = there.withColumn("bucket", F.explode(F.sequence(bucket(F.col("last")), bucket(F.col("first") + width))))
+    b = back.select(F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.expr("slice(path, 2, size(path) - 2)").alias("between"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.col("smallest").alias("b_smallest"), bucket(F.col("first")).alias("slot"))
+    meets = (F.col("end") == F.col("b_start")) & (F.col("start") == F.col("b_end")) & (F.col("bucket") == F.col("slot")) & (F.col("b_first") > F.col("last")) & (F.col("b_last") <= F.col("first") + width)
+    found = a.join(b, meets).filter(~F.arrays_overlap("path", "between"))
+    return found.select(F.concat("path", "between").alias("path"), F.lit(hops).alias("hops"), F.timestamp_add("SECOND", F.col("b_last"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("closed_ts"), F.least("smallest", "b_smallest").alias("smallest"))
+
+
+def closed_walks(edges: DataFrame, min_hops: int, max_hops: int, hours: int, row_budget: int | None = None, keep: Keep | None = None) -> DataFrame:
+    """(path, hops, closed_ts, smallest) of walks over edges (src, dst, txn_ts, amount_usd) that close at their start.
+
+    Times strictly increase and stay within `hours` of the first; no account but the start comes twice. A walk of h payments is one of h/2 (rounded up) that
+    leaves its start and one of the rest that returns there: both halves come from the same table of walks of at most max_hops/2 payments and meet on start,
+    end and time bucket, so what is stored grows with the root of the number of open walks of the full length. With `keep` edges that no closed walk can use go
+    first. With a row budget half walks of each length are stored by `keep`, if there is one, and counted, and an error stops a search that explodes.
+    """
+    edges = edges.select("src", "dst", seconds(F.col("txn_ts")).alias("at"), F.col("amount_usd").alias("usd"))
+    if keep:
+        edges = pruned(keep("cycle_edges", edges), hours, keep)
+    walks = half_walks(edges, (max_hops + 1) // 2, hours, row_budget, keep)
+    closed = [_closed(walks[(h + 1) // 2], walks[h // 2], h, hours) for h in range(max(2, min_hops), max_hops + 1)]
     return reduce(DataFrame.unionByName, closed)
