@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exact, grouped, plain, seconds
-from ..operators.intervals import within_hours
+from ..operators.intervals import first_reaching, least_decimal
+from ..operators.medians import earlier_medians
 from ..operators.trailing import trailing_totals
 from ..operators.walks import closed_walks
 from .params import BaselineParams, CycleParams, FanParams, PassThroughParams, StructuringParams
@@ -58,13 +59,13 @@ def structuring(txns: DataFrame, p: StructuringParams = StructuringParams()) ->
 
 
 def pass_through(edge: DataFrame, p: PassThroughParams = PassThroughParams()) -> DataFrame:
-    """Money that soon leaves again to others than its sender; alert at the payment that completes the ratio, one for each account and day."""
-    into = edge.filter(F.col("amount_usd") >= F.lit(float(p.min_amount_usd))).select(F.col("txn_id").alias("in_id"), F.col("dst").alias("account_id"), F.col("src").alias("sender"), F.col("txn_ts").alias("t_in"), F.col("amount_usd").alias("a_in"))
-    out = edge.select(F.col("txn_id").alias("out_id"), F.col("src").alias("payer"), F.col("dst").alias("receiver"), F.col("txn_ts").alias("t_out"), F.col("amount_usd").alias("a_out"))
-    pairs = within_hours(into, out, ("account_id", "payer"), ("t_in", "t_out"), p.window_hours).filter(F.col("receiver") != F.col("sender"))
-    so_far = Window.partitionBy("in_id").orderBy("t_out", "out_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = pairs.withColumn("sum_out", F.sum(exact(F.col("a_out"))).over(so_far).cast("double")).filter(F.col("sum_out") >= F.lit(float(p.forward_ratio)) * F.col("a_in"))
-    hits = reached.groupBy("in_id", "account_id", "a_in").agg(F.min("t_out").alias("alert_ts"), F.min("sum_out").alias("forwarded"))
+    """Money that soon leaves again to others than its sender; alert at the payment that completes the ratio, one for each account and day. Payments of no or less money don't count as forwarded."""
+    into = edge.filter(F.col("amount_usd") >= F.lit(float(p.min_amount_usd))).select(F.col("txn_id").alias("id"), F.col("dst").alias("account"), F.col("src").alias("party"), seconds(F.col("txn_ts")).alias("at"), F.col("amount_usd").alias("a_in"))
+    needs = into.withColumn("need", least_decimal(F.lit(float(p.forward_ratio)) * F.col("a_in")))
+    flows = edge.filter("amount_usd > 0").select(F.col("src").alias("account"), F.col("dst").alias("party"), seconds(F.col("txn_ts")).alias("at"), F.col("txn_id").alias("tie"), exact(F.col("amount_usd")).alias("amount"))
+    reached = first_reaching(needs.filter("need > 0"), flows, p.window_hours)
+    moment = F.timestamp_add("SECOND", F.col("at"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    hits = reached.select("id", moment.alias("alert_ts"), F.col("total").cast("double").alias("forwarded")).join(into.select("id", F.col("account").alias("account_id"), "a_in"), "id")
     daily = hits.groupBy("account_id", F.to_date("alert_ts").alias("day")).agg(F.min("alert_ts").alias("alert_ts"), F.max(F.struct("forwarded", "a_in")).alias("best"))
     a_in, sent = F.col("best.a_in"), F.col("best.forwarded")
     return _alerts(daily, "rule_pass_through", sent, "pass-through: ", grouped(a_in), " USD received, ", grouped(sent), " USD (", plain(F.lit(100) * sent / a_in), f"%) forwarded to other accounts within {p.window_hours}h")
@@ -93,9 +94,8 @@ def cycles(edge: DataFrame, profile: DataFrame, p: CycleParams = CycleParams(),
 
 def baseline_anomaly(daily: DataFrame, p: BaselineParams = BaselineParams()) -> DataFrame:
     """Days on which an account moves a multiple of the median of its own earlier active days."""
-    earlier = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     d = daily.select("account_id", "day", (F.col("sent_usd") + F.col("recv_usd")).alias("total"))
-    d = d.withColumn("n_hist", F.count("*").over(earlier)).withColumn("usual", F.percentile("total", F.lit(0.5)).over(earlier))
+    d = earlier_medians(d, ["account_id"], ["day"], "total", "n_hist", "usual")
     d = d.filter((F.col("n_hist") >= p.min_history_days) & (F.col("total") >= F.lit(float(p.min_usd))) & (F.col("usual") > 0) & (F.col("total") >= F.lit(float(p.ratio)) * F.col("usual")))
     d = d.withColumn("alert_ts", F.col("day").cast("timestamp_ntz"))
     times = F.try_divide(F.col("total"), F.col("usual"))
