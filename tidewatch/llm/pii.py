@@ -19,30 +19,35 @@ from .common import spare
 # What each kind looks like (Java syntax), in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62}){1,8}(?![A-Za-z0-9])",
-    "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "access_key": r"(?<![A-Za-z0-9])(?:(?:ABIA|ACCA|AGPA|AIDA|AIPA|AKIA|ANPA|ANVA|AROA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[prs]k_(?:live|test)_[A-Za-z0-9]{16,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "hex_secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?i:password)=[A-Za-z0-9]{6,64}(?![A-Za-z0-9])",
+    "hex_secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
+    "password": r"(?<![A-Za-z0-9])(?i:password)(?:=[\"']?[^\s\"']{6,}|[ \t]{0,8}[:=][ \t]{0,8}[\"']?(?=[^\s\"']*(?:[0-9]|[!@#$%^&*+=~?_][A-Za-z0-9]))[^\s\"']{6,})",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
 }
+# What stays of a secret: the words before a password, the prefix of a key.
+PASSWORD_HEAD = r"^(?i:password)[ \t]*[:=][ \t]*[\"']?"
+KEY_HEAD = r"^(?:gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|AIza|[prs]k_(?:live|test)_|A[A-Z]{3})"
 # Every kind implies one of these: texts without any skip the search.
-SIGN = r"[0-9@]|(?i:password)=|AKIA|[a-f]{32}|[A-F]{32}"
+SIGN = r"[0-9@]|(?i:password)|A(?:BIA|CCA|GPA|IDA|IPA|KIA|NPA|NVA|ROA|SIA|Iza)|gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|[prs]k_(?:live|test)_|[a-f]{32}|[A-F]{32}"
 # Lengths of a country's IBAN (registry); other lengths and countries are taken where the check digits are right.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
     24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IS TR", 27: "BF BI CF CG CM DJ EG FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GT HN HU LB ML NE NI PL SN SV TG",
     29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
-WINDOW = 700  # longer than any value (an email of eight full labels has 640) and the character after it
+OPEN_ENDED = ("email", "access_key", "hex_secret", "password")  # of any length, and always valid where they match
+WINDOW = 64  # longer than any value of the other kinds (an IBAN in groups has 43) and the character after it
 CHUNK = 64
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
-FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 73,049 days, to 2099-12-31
-WALK = 64  # steps within which a walk over dates meets a day after the 12th but once in 10^25 times
+FIRST_YEAR, MONTHS = 1900, 2400  # to 2099-12
+EARLY, LATE = (160, 180), (200, 228)  # days to the 12th: 2,400 x 12; days after it: 2,400 x 19 places, of which 3 % are no days
+WALK = 24  # steps within which a walk over the latter meets a day but once in 10^36 times
 KEY_SETTING = "spark.tidewatch.pii.key"
 
 
@@ -80,8 +85,10 @@ class Feistel:
         """The string with each character moved within its alphabet; `alphabet` is SQL over its character c and place i (from 0), the
         character itself to keep it. Even and odd places are the two halves, which take turns."""
         others = "array_join(transform(filter(v, (x, i) -> i % 2 <> t % 2), x -> cast(x as string)), ',')"
-        moved = "transform(v, (x, i) -> if(i % 2 = t % 2, cast((x + cast(conv(substr(h, 1 + 4 * cast(floor(i / 2) % 32 as int), 4), 16, 10) as int)) % length(al[i]) as int), x))"
-        walk = f"aggregate(sequence(0, {ROUNDS - 1}), transform(ch, (c, i) -> cast(locate(c, al[i]) - 1 as int)), (v, t) -> {let(self.digest(tweak, others, 't'), 'h', moved)})"
+        moved = "transform(v, (x, i) -> if(i % 2 = t % 2, cast((x + cast(conv(substr(hs[i div 64], 1 + 4 * cast(floor(i / 2) % 32 as int), 4), 16, 10) as int)) % length(al[i]) as int), x))"
+        # a digest for every 64 characters, so that long values don't repeat one
+        digests = let(others, "o", f"transform(sequence(0, (size(v) - 1) div 64), b -> {self.digest(tweak, 'o', "concat(t, if(b = 0, '', concat('#', b)))")})")
+        walk = f"aggregate(sequence(0, {ROUNDS - 1}), transform(ch, (c, i) -> cast(locate(c, al[i]) - 1 as int)), (v, t) -> {let(digests, 'hs', moved)})"
         out = f"array_join(transform({walk}, (x, i) -> substr(al[i], x + 1, 1)), '')"
         return let(f"split({text}, '')", "ch", let(f"transform(ch, (c, i) -> {alphabet})", "al", out))
 
@@ -126,11 +133,14 @@ def pseudonym(kind: str, m: str, cfg: PiiConfig) -> str:
         top = f"substring_index({m}, '.', -1)"
         return f"concat({f.chars(f'left({m}, length({m}) - length({top}) - 1)', by_class(), kind)}, '.', {top})"
     if kind == "access_key":
-        return f.chars(m, f"if(i < 4, c, '{DIGITS}{UPPER}')", kind)
+        head = f"length(regexp_extract({m}, {quoted(KEY_HEAD)}, 0))"
+        plain = f"if({m} rlike '^A[A-Z]{{3}}[0-9A-Z]{{16}}$', '{DIGITS}{UPPER}', {by_class()})"
+        return let(head, "hd", f"concat(substr({m}, 1, hd), {f.chars(f'substr({m}, hd + 1)', plain, kind)})")
     if kind == "hex_secret":
         return f.chars(m, f"if({m} rlike '[A-F]', '{DIGITS}ABCDEF', '{DIGITS}abcdef')", kind)
     if kind == "password":
-        return f"concat(substr({m}, 1, 9), {f.chars(f'substr({m}, 10)', by_class(), kind)})"
+        head = f"length(regexp_extract({m}, {quoted(PASSWORD_HEAD)}, 0))"
+        return let(head, "hd", f"concat(substr({m}, 1, hd), {f.chars(f'substr({m}, hd + 1)', by_class(), kind)})")
     if kind == "iban":
         moved, turned = f.chars("substr(b, 5)", by_class(), kind), mod97("concat(w, substr(b, 1, 2), '00')")
         whole = let(moved, "w", f"concat(substr(b, 1, 2), lpad(cast(98 - {turned} as string), 2, '0'), w)")
@@ -142,17 +152,24 @@ def pseudonym(kind: str, m: str, cfg: PiiConfig) -> str:
         dotted = "concat_ws('.', q.l div 256, q.l % 256, q.r div 256, q.r % 256)"
         return f"if({valid}, {let(moved, 'q', dotted)}, null)"
     if kind == "date":
-        day = lambda d: f"datediff({d}, date'{FIRST_DAY}')"
-        moved = lambda d: let(f.pair(f"{day(d)} div {DAYS[1]}", f"{day(d)} % {DAYS[1]}", *DAYS, kind), "q", f"date_add(date'{FIRST_DAY}', cast(q.l * {DAYS[1]} + q.r as int))")
-        # month first: the second number is a day after the 12th, in the pseudonym too, so no two dates get the same one
+        # days to the 12th and days after it are permuted apart: the latter must stay so where the month is written first, and then in all forms alike
+        month = f"((year(d) - {FIRST_YEAR}) * 12 + month(d) - 1)"
+        early = lambda i: f.pair(f"{i} div {EARLY[1]}", f"{i} % {EARLY[1]}", *EARLY, kind)
+        late = lambda l, r: f.pair(l, r, *LATE, f"{kind} late")
+        first = lambda n: f"make_date(cast({FIRST_YEAR} + {n} div 12 as int), cast({n} % 12 + 1 as int), 1)"
+        place = f"(x.l * {LATE[1]} + x.r)"
+        is_day = f"{place} % 19 + 13 <= day(last_day({first(f'({place} div 19)')}))"
+        index = f"({month} * 19 + day(d) - 13)"
+        walk = f"aggregate(sequence(1, {WALK}), {late(f'{index} div {LATE[1]}', f'{index} % {LATE[1]}')}, (x, u) -> if({is_day}, x, {late('x.l', 'x.r')}))"
+        new_early = let(early(f"({month} * 12 + day(d) - 1)"), "q", let(f"(q.l * {EARLY[1]} + q.r)", "z", f"date_add({first('(z div 12)')}, cast(z % 12 as int))"))
+        new_late = let(walk, "x", f"if({is_day}, date_add({first(f'({place} div 19)')}, cast({place} % 19 + 12 as int)), null)")
         month_first = f"{m} rlike '^[0-9]{{1,2}}[./](?:1[3-9]|2[0-9]|3[01])[./]'"
-        walk = f"aggregate(sequence(1, {WALK}), {moved('d')}, (x, t) -> if(day(x) > 12, x, {moved('x')}))"
         mark = f"regexp_extract({m}, '[./]', 0)"
         wide = f"{m} rlike '^[0-9]{{2}}.[0-9]{{2}}.'"
-        first, second = (f"if({wide}, {a}, {b})" for a, b in (("if(mf, 'MM', 'dd')", "if(mf, 'M', 'd')"), ("if(mf, 'dd', 'MM')", "if(mf, 'd', 'M')")))
-        shown = f"if({m} rlike '^[0-9]{{4}}-', date_format(n, 'yyyy-MM-dd'), concat(date_format(n, {first}), {mark}, date_format(n, {second}), {mark}, date_format(n, 'yyyy')))"
-        new = let(month_first, "mf", let(f"if(mf, {walk}, {moved('d')})", "n", f"if(mf and day(n) <= 12, null, {shown})"))
-        return let(parsed_date(m), "d", f"if({day('d')} between 0 and {DAYS[0] * DAYS[1] - 1}, {new}, null)")
+        one, two = (f"if({wide}, {a}, {b})" for a, b in (("if(mf, 'MM', 'dd')", "if(mf, 'M', 'd')"), ("if(mf, 'dd', 'MM')", "if(mf, 'd', 'M')")))
+        shown = f"if({m} rlike '^[0-9]{{4}}-', date_format(n, 'yyyy-MM-dd'), concat(date_format(n, {one}), {mark}, date_format(n, {two}), {mark}, date_format(n, 'yyyy')))"
+        new = let(month_first, "mf", let(f"if(day(d) > 12, {new_late}, {new_early})", "n", f"if(n is null, null, {shown})"))
+        return let(parsed_date(m), "d", f"if(d is null or year(d) < {FIRST_YEAR} or {month} >= {MONTHS}, null, {new})")
     if kind == "ssn":
         area, group, serial = (f"cast(split({m}, '-')[{k}] as int)" for k in range(3))
         valid = f"{area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0"
@@ -217,12 +234,14 @@ def pseudonymise(docs: DataFrame, cfg: PiiConfig) -> DataFrame:
     Values that look like a kind but fail its validation stay as they are; at each place all kinds and lengths are tried, then the next places, those inside a failed match too. Null texts stay null, with no values; texts
     without values come back unchanged. Repeated rows change alike; an empty table gives no rows. Columns named pii_kinds or pii_found are replaced.
 
-    Scale: one projection, no exchange, no Python; texts without a SIGN (a digit, @, password=, AKIA or 32 hex letters) skip the search.
+    Scale: one projection, no exchange, no Python; texts without a SIGN (a digit, @, the word password, a key's prefix or 32 hex letters) skip the search. A place's window holds the value there and 64 characters more.
     """
     pattern = f"(?={search_pattern(cfg.kinds)})"
     plain = docs.drop("pii_kinds", "pii_found")
     m, b, r = spare(plain, "__matches"), spare(plain, "__between"), spare(plain, "__replaced")
-    windows = F.regexp_extract_all("text", F.lit(f"{pattern}(?=((?s:.{{1,{WINDOW}}})))"), F.lit(1))
+    # a place's window: what an open-ended kind matches there, whatever its length, and what the other kinds may need after it
+    whole = "|".join(f"(?:{KINDS[k]})" for k in cfg.kinds if k in OPEN_ENDED)
+    windows = F.regexp_extract_all("text", F.lit(f"{pattern}(?=((?:{whole})?+(?s:.{{0,{WINDOW}}})))" if whole else f"{pattern}(?=((?s:.{{1,{WINDOW}}})))"), F.lit(1))
     out = plain.withColumn(m, F.when(F.col("text").rlike(SIGN), windows))
     out = out.withColumn(b, F.when(F.size(m) > 0, F.split("text", pattern, -1)))  # one more than matches, unless the text starts with one
     before = f"coalesce(right(get({b}, i + size({b}) - size({m}) - 1), 1), ' ')"
