@@ -214,3 +214,33 @@ def test_short_items_are_found_exactly(spark, make):
 def test_words_do_not_run_over_texts():
     got = [(list(np.diff(first)), len(set(w))) for _, _, w, first in iter_words(pa.array(["ab cd", "ab", None, "", "ab cd\nÉt"]))]
     assert got == [([2, 1, 0, 0, 3], 3)]
+
+
+def test_a_text_that_repeats_a_common_piece_is_read_in_bounded_runs():
+    import resource
+    import time
+
+    from tidewatch.llm.decontaminate import EditConfig, Pieces, matches, near_distance
+
+    r = np.random.default_rng(5)
+    shared = np.array([11, 12, 13], np.uint64)
+    items = [(k, np.concatenate([shared, r.integers(100, 10**9, 12, dtype=np.uint64)])) for k in range(500)]
+    pieces = Pieces(items, EditConfig())
+    text = np.tile(shared, 66_700)[:200_000].copy()
+    planted = {7: (0, 50_000), 44: (2, 120_001), 300: (0, 199_900)}
+    for k, (edits, at) in planted.items():
+        passage = items[k][1].copy()
+        passage[5 : 5 + edits] = np.uint64(5)
+        text[at : at + 15] = passage
+    text[80_000:80_015] = items[7][1]  # a second copy
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    began = time.time()
+    got = matches(pieces, text, np.array([0, len(text)]))
+    took, grown = time.time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert [(t, i, e) for t, i, e, _, _ in got] == [(0, k, planted[k][0]) for k in sorted(planted)] and took < 10 and grown < 300
+    for _, i, e, _, end in got:
+        around = text[end - 40 : end + 40] if end > 40 else text[:80]
+        assert near_distance(items[i][1].tolist(), around.tolist(), 3)[0] == e and end == planted[i][1] + 15
+    short = text[49_900:50_100]
+    want = [(0, k) for k, w in items if near_distance(w.tolist(), short.tolist(), 3)[0] <= 3]
+    assert [(t, i) for t, i, *_ in matches(pieces, short, np.array([0, len(short)]))] == want == [(0, 7)]

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textkernel import GRAM_BASE, iter_words, mix, powers
 
+# What is held at once, whatever a text repeats: piece hits, hits below which items are not looked up first, words of windows.
+RANGE_HITS, FEW_HITS, WINDOW_WORDS = 1_000_000, 20_000, 1_000_000
+
 
 @dataclass(frozen=True)
 class EditConfig:
@@ -68,6 +71,11 @@ class Pieces:
         owner = np.repeat(np.arange(len(self.items), dtype=np.uint64), [len(w) for _, w, _ in self.items])
         pairs = owned(owner, np.concatenate([w for _, w, _ in self.items])) if self.items else np.zeros(0, np.uint64)
         self.pairs, self.times = np.unique(pairs, return_counts=True)
+        own = [np.unique(w, return_counts=True) for _, w, _ in self.items]  # the different words of each item, one item after the other
+        self.own_off = np.cumsum([0, *(len(w) for w, _ in own)])
+        self.own_words, self.own_times = (np.concatenate([x[j] for x in own]) if own else np.zeros(0, np.int64) for j in (0, 1))
+        self.least = np.array([len(w) - most for _, w, most in self.items], np.int64)
+        self.longest = max((len(w) + most for _, w, most in self.items), default=0)
         self.by_length = {}
         for n, rows in by_length.items():
             rows.sort()
@@ -76,9 +84,9 @@ class Pieces:
             seen[(h >> np.uint64(48)).astype(int)] = True
             self.by_length[n] = (h, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seen)
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place at which the item would start) of every exact piece hit in a run of words."""
-        items, starts = [], []
+    def hit_ranges(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of words (from, to) with the exact piece hits in them, as item and place at which the item would start: at most RANGE_HITS in a run, or those of one word."""
+        found, total = [], np.zeros(len(words) + 1, np.int64)
         for n, (h, item, at, seen) in self.by_length.items():
             if len(words) < n:
                 continue
@@ -86,15 +94,35 @@ class Pieces:
             place = np.flatnonzero(seen[(own >> np.uint64(48)).astype(np.int64)])
             lo, hi = np.searchsorted(h, own[place], "left"), np.searchsorted(h, own[place], "right")
             count = hi - lo
-            place, lo, count = place[count > 0], lo[count > 0], count[count > 0]
-            if len(place):
-                k = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                items.append(item[k])
-                starts.append(np.repeat(place, count) - at[k])
-        if not items:
-            return np.zeros(0, int), np.zeros(0, int)
-        return np.concatenate(items), np.concatenate(starts)
-
+            on = count > 0
+            if on.any():
+                found.append((place[on], lo[on], count[on], item, at))
+                total[place[on] + 1] += count[on]
+        total = np.cumsum(total)
+        ends = np.searchsorted(total, np.arange(RANGE_HITS, total[-1] + RANGE_HITS, RANGE_HITS), "right")
+        first = 0
+        for end in np.unique(np.minimum(ends, len(words))).tolist():
+            items, starts = [], []
+            for place, lo, count, item, at in found:
+                i, j = np.searchsorted(place, [first, end])
+                if i < j:
+                    p, c = place[i:j], count[i:j]
+                    k = np.repeat(lo[i:j], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    items.append(item[k])
+                    starts.append(np.repeat(p, c) - at[k])
+            if items:
+                yield first, end, np.concatenate(items), np.concatenate(starts)
+            first = end
+
+    def possible(self, words: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Of the items (numbers, each once) those of whose words a run holds as many as a near passage must, each as often as the item has it at most."""
+        known, count = np.unique(words, return_counts=True)
+        size = self.own_off[item + 1] - self.own_off[item]
+        which = np.repeat(np.arange(len(item)), size)
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.own_off[item], size)
+        place = np.minimum(np.searchsorted(known, self.own_words[k]), len(known) - 1)
+        held = np.where(known[place] == self.own_words[k], np.minimum(count[place], self.own_times[k]), 0)
+        return item[np.bincount(which, held, len(item)) >= self.least[item]]
 
     def enough(self, words: np.ndarray, windows: list[tuple[int, int, int]]) -> np.ndarray:
         """Which windows (item, from, to) hold as many words of the item, each as often as the item has it at most, as a near passage must."""
@@ -107,7 +135,7 @@ class Pieces:
         known = self.pairs[place] == key
         seen, count = np.unique(window[known] * len(self.pairs) + place[known], return_counts=True)
         held = np.bincount(seen // len(self.pairs), np.minimum(count, self.times[seen % len(self.pairs)]), minlength=len(size))
-        return held >= [len(self.items[i][1]) - self.items[i][2] for i in item]
+        return held >= self.least[item]
 
 
 def owned(item: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -125,23 +153,46 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
 
 def matches(pieces: Pieces, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, first word of the window, end word) for the best passage of each item in each text of a slice."""
-    item, start = pieces.hits(words)
-    if not len(item):
-        return []
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for lo, hi, item, start in pieces.hit_ranges(words):
+        if len(item) > FEW_HITS:  # a common piece: most of its items have no other word here
+            near = words[max(0, lo - pieces.longest) : hi + pieces.longest]
+            stay = np.isin(item, pieces.possible(near, np.unique(item)))
+            item, start = item[stay], start[stay]
+        if len(item):
+            _verify(pieces, words, first, item, start, best)
+    return [(t, i, e, a - int(first[t]), end - int(first[t])) for (t, i), (e, end, a) in sorted(best.items())]
+
+
+def _verify(pieces: Pieces, words: np.ndarray, first: np.ndarray, item: np.ndarray, start: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Read the windows around the hits and keep the best passage of each (text, item).
+
+    Near starts of one item share a window, up to four lengths of the item; a longer run of them is read in windows that overlap.
+    """
     order = np.lexsort((start, item))
     held: tuple[int, int, int] | None = None  # item, first and last start of a run of near starts
     groups: list[tuple[int, int, int]] = []
-    for k in order:
-        i, s = int(item[k]), int(start[k])
-        if held and held[0] == i and s - held[2] <= pieces.items[i][2]:
+    for i, s in zip(item[order].tolist(), start[order].tolist(), strict=True):
+        if held and held[0] == i and s - held[2] <= pieces.items[i][2] and s - held[1] <= 4 * len(pieces.items[i][1]):
             held = (i, held[1], s)
         else:
             if held:
                 groups.append(held)
             held = (i, s, s)
     groups.append(held)
-    windows, texts = [], []
+    windows, texts, size = [], [], 0
+
+    def read() -> None:
+        for k in np.flatnonzero(pieces.enough(words, windows)):
+            (i, a, b), t = windows[k], texts[k]
+            _, pattern, most = pieces.items[i]
+            known = best.get((t, i), (most + 1, 0, 0))
+            if known[0] == 0 and known[1] <= b:  # no passage is better than an exact one, and no later one as early
+                continue
+            edits, end = near_distance(pattern.tolist(), words[a:b].tolist(), most)
+            if edits <= most and (edits, a + end) < known[:2]:
+                best[t, i] = (edits, a + end, a)
+
     for i, lo, hi in groups:
         _, pattern, most = pieces.items[i]
         lo, hi = max(0, lo - most), min(len(words), hi + len(pattern) + most)
@@ -151,16 +202,12 @@ def matches(pieces: Pieces, words: np.ndarray, first: np.ndarray) -> list[tuple[
             if b - a >= len(pattern) - most:
                 windows.append((i, a, b))
                 texts.append(t)
-    if not windows:
-        return []
-    passed = [lo + k for lo in range(0, len(windows), 20_000) for k in np.flatnonzero(pieces.enough(words, windows[lo : lo + 20_000]))]
-    for k in passed:
-        (i, a, b), t = windows[k], texts[k]
-        _, pattern, most = pieces.items[i]
-        edits, end = near_distance(pattern.tolist(), words[a:b].tolist(), most)
-        if edits <= most and (edits, a + end) < best.get((t, i), (most + 1, 0, 0))[:2]:
-            best[t, i] = (edits, a + end, a)
-    return [(t, i, e, a - int(first[t]), end - int(first[t])) for (t, i), (e, end, a) in sorted(best.items())]
+                size += b - a
+        if size > WINDOW_WORDS:
+            read()
+            windows, texts, size = [], [], 0
+    if windows:
+        read()
 
 
 def item_blocks(benchmark: DataFrame, cfg: EditConfig) -> Iterator[list[tuple[int | None, np.ndarray]]]:
@@ -201,7 +248,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
     hold nothing; null items, those without words and those shorter than least_words are left out; repeated rows and items give repeated rows. Empty tables give no rows.
 
     Scale: one pass over the texts (one for each block_words of a benchmark beyond that size), and no exchange; a passage that a third of
-    all texts share costs each of them one verification, and a common piece without its passage a count of words.
+    all texts share costs each of them one verification, and a common piece without its passage a count of words. A text that repeats a piece of many items is
+    read in runs of a million hits, so memory is bounded beside the words of the text.
     """
     small_batches(docs.sparkSession)
     out = None
@@ -213,7 +261,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConf
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, cfg: EditConfig = EditConfig()) -> DataFrame:
-    """Rows of docs in which no test item is found; texts stay where they are."""
+    """Rows of docs in which no test item is found (see find_leaks), whole and unchanged; texts stay where they are.
+
+    Rows with null and empty texts stay; repeated rows stay or go together; null items, those without words and those shorter than least_words remove nothing.
+    Empty tables remove nothing. Other columns, whatever their names, are kept.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in item_blocks(benchmark, cfg):
