@@ -214,6 +214,36 @@ def test_palettes():
         media.read_bmp(palette_bmp([[0, 7]], 4, [red, grey]))
 
 
+def masked_bmp(pixels, bits, masks):
+    """A bitmap of whole pixels (rows from the top), with or without colour masks."""
+    kind = "<u2" if bits == 16 else "<u4"
+    h, w = pixels.shape
+    row = -(-w * bits // 32) * 4
+    body = b"".join(r.astype(kind).tobytes().ljust(row, b"\0") for r in pixels)
+    head = struct.pack("<IiiHHIIiiII", 40, w, -h, 1, bits, 3 if masks else 0, len(body), 0, 0, 0, 0) + (struct.pack("<3I", *masks) if masks else b"")
+    return struct.pack("<2sIHHI", b"BM", 14 + len(head) + len(body), 0, 0, 14 + len(head)) + head + body
+
+
+def test_bitmaps_with_masks():
+    r = np.random.default_rng(2)
+    rgb = r.integers(0, 256, (5, 3, 3)).astype(np.uint32)
+    red, green, blue = rgb[..., 0], rgb[..., 1], rgb[..., 2]
+    for shifts in ((0, 8, 16), (16, 8, 0), (24, 16, 8)):
+        pixels = (red << shifts[0]) | (green << shifts[1]) | (blue << shifts[2])
+        assert (media.read_bmp(masked_bmp(pixels, 32, tuple(255 << s for s in shifts))) == rgb).all()
+    assert (media.read_bmp(masked_bmp((red << 16) | (green << 8) | blue, 32, None)) == rgb).all()
+    small = np.stack([red >> 3, green >> 2, blue >> 3], -1)
+    wide = np.rint(small * (255 / np.array([31, 63, 31])))
+    assert (media.read_bmp(masked_bmp((small[..., 0] << 11) | (small[..., 1] << 5) | small[..., 2], 16, (0xF800, 0x7E0, 0x1F))) == wide).all()
+    five = rgb >> 3
+    assert (media.read_bmp(masked_bmp((five[..., 0] << 10) | (five[..., 1] << 5) | five[..., 2], 16, None)) == np.rint(five * (255 / 31))).all()
+    for masks in ((0, 0xFF00, 0xFF), (0x50000, 0xFF00, 0xFF)):
+        with pytest.raises(ValueError):
+            media.read_bmp(masked_bmp(red, 32, masks))
+    with pytest.raises(ValueError):
+        media.read_bmp(masked_bmp(red, 32, (0xFF, 0xFF00, 0xFF0000))[:58])
+
+
 def test_decode_media(spark):
     a = np.arange(60, dtype=np.uint8).reshape(6, 10)
     files = [media.write_pnm(a), media.write_bmp(a), media.write_bmp(np.stack([a] * 3, 2)), b"GIF89a", b"", None, media.write_pnm(a)[:-1], media.write_bmp(a)[:60], b"P5 0 3 255\n", b"P5\n99999999 99999999\n255\n", b"P2 1 1 5 9", b"P6 1", media.write_pnm(a), b"P2 1 1 5 x"]

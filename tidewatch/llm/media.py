@@ -82,18 +82,34 @@ def write_bmp(a: np.ndarray) -> bytes:
     return head + palette.tobytes() + rows[::-1].tobytes()
 
 
+def masked(pixels: np.ndarray, masks: tuple[int, int, int]) -> np.ndarray:
+    """Red, green and blue of whole pixels by their bit masks, each scaled to 0 to 255."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        low = mask & -mask
+        if not mask or mask // low & (mask // low + 1):
+            raise ValueError("colour masks must be runs of bits")
+        top = mask // low
+        out[..., k] = np.rint(((pixels & np.uint32(mask)) // np.uint32(low)).astype(np.float64) * (255 / top))
+    return out
+
+
 def read_bmp(raw: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4 or 8 (by its palette), 24 or 32 bits, rows from the bottom or from the top."""
+    """Uncompressed BMP of 1, 4 or 8 (by its palette), 16, 24 or 32 bits, rows from the bottom or from the top; 16 and 32 bits by colour masks, where the file has them."""
     if raw[:2] != b"BM" or len(raw) < 54:
         raise ValueError("not a BMP file")
     start = struct.unpack_from("<I", raw, 10)[0]
     head, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", raw, 14)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or head < 40:
-        raise ValueError("only uncompressed BMP files of 1, 4, 8, 24 and 32 bits are supported")
+    if head < 40 or bits not in (1, 4, 8, 16, 24, 32) or packed not in ((0, 3) if bits in (16, 32) else (0,)):
+        raise ValueError("only uncompressed BMP files of 1, 4, 8, 16, 24 and 32 bits are supported")
     if w < 1 or not h:
         raise ValueError("empty image")
     row = -(-w * bits // 32) * 4
     a = _samples(raw, np.uint8, row * abs(h), start).reshape(abs(h), row)[:: -1 if h > 0 else 1]
+    if bits == 16 or packed == 3:
+        # masks follow a header of 40 bytes and stand at the same place in longer ones
+        masks = (0x7C00, 0x3E0, 0x1F) if packed == 0 else struct.unpack("<3I", _samples(raw, np.uint8, 12, 54).tobytes())
+        return masked(np.ascontiguousarray(a[:, : w * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.uint32), masks)
     if bits > 8:
         return a[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
     used = min(struct.unpack_from("<I", raw, 46)[0] or 1 << bits, 1 << bits)

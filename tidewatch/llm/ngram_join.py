@@ -455,7 +455,11 @@ def classify(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
-    """docs with one row of each class: the least doc_id of the class that has one."""
+    """docs with one row of each class (see classify): that of the least doc_id of the class that has one, whole.
+
+    A null text counts as empty, and empty texts are one class; of repeated rows one stays; a class without any doc_id keeps one of its rows. An empty table gives
+    no rows. Other columns, whatever their names, are kept.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     kept = classify(docs, cfg).filter("is_kept").groupBy("row_key").agg(F.count("*").alias("rows"))
