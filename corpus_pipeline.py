@@ -24,22 +24,27 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the discriminant, fitted on the labelled rows of docs, scores below the limit go. A null text counts as empty; repeated rows share their fate; no labels, nothing goes; an empty table stays so."""
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row of the least doc_id stays (null last). Null and empty texts are one class, repeated rows too; texts of any length are compared whole."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which a test item stands, within a fifth of its words, go; null and empty texts stay, and all stay where the benchmark is empty."""
     return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or left out as the quotas of their sources ask; rows without words (null and empty texts too) are not taken; null is a source of its own."""
     return realise(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot. Columns of docs that are named as the stage's own (size, text_crc32, law, shard, slot, grown_shard, map_version) are replaced by them."""
     placed = assign_shards(docs, map_path=map_folder(spark, "pipeline"), keep=docs.columns)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
