@@ -63,12 +63,47 @@ def test_model_report(spark, built):
 
     p, tables = built
     text, data = report.model_report(p, ml.BoostParams(iterations=2, leaves=4, least_rows=1), {"other": p}, importance_rows=50, top=3, importance_of=("f_n_sent", "f_n_recv"))
-    assert len(data) == 6 and "## Importance of model_no_artifacts" in text
+    assert len(data) == 7 and data["headline"] in text and "## Importance of model_no_artifacts" in text
     rows = data["validate, accounts not seen in training"]["rows"]
     assert {r["method"] for r in rows} == {*ml.FEATURE_SETS, "combined_excl_baseline", *ml.REAL_RULES} and len(data["other tune, models as trained above"]["verdicts"]) == 9
     assert report.tuning_report(p, p.rule_structuring, "rule_structuring").count("| rule_structuring |") >= 3 + 7
 
 
+def test_fixtures_gate_a_rule(spark, built, monkeypatch):
+    from tidewatch.plans import fixtures, report, rules
+
+    p, _ = built
+    assert all(fixtures.faults(spark, r) == [] for r in fixtures.FIXTURES) and set(fixtures.FIXTURES) == set(rules.REAL_RULES)
+    assert "## threshold_sensitivity" in report.one_rule(p, "rule_structuring")
+    monkeypatch.setattr(rules, "structuring", lambda txns, params: rules.dummy_none(spark))
+    with pytest.raises(SystemExit, match="missing: low"):
+        report.one_rule(p, "rule_structuring")
+    with pytest.raises(SystemExit, match="no rule"):
+        report.one_rule(p, "rule_none")
+
+
+def test_headline_and_ablation():
+    from pyspark.sql import Row
+
+    from tidewatch.plans import report
+
+    perf = [Row(rule_id="rule_cycles", split="validate", precision=0.2, alerts_per_1000_accounts=4.0, n_labelled_accounts=10, n_population=1000), Row(rule_id="rule_fan_in_out", split="validate", precision=None, alerts_per_1000_accounts=0.0, n_labelled_accounts=10, n_population=1000)]
+    row = lambda m, b, x, ap=0.4: Row(method=m, budget=b, precision=x, average_precision=ap)
+    for model, word in ((0.3, "ahead of it"), (0.205, "level with it"), (0.1, "behind it")):
+        rows = [row("rule_cycles", 5, 0.2), row("model_no_artifacts", 5, model, 0.1), row("model_base", 5, 0.4)]
+        text = report.headline(perf, rows)
+        assert "20.0 times the base rate of 1.00%" in text and word in text and f"{model:.1%} against 20.0%" in text
+    assert [a["kept"] for a in report.ablation(rows)] == [0.25, 0.25]
+    assert report.headline([], rows) == "No rule alerts in the validate split."
+
+
+def test_profile_report(built):
+    from tidewatch.plans import report
+
+    text = report.profile_report(built[0])
+    assert all(f"## {t}" in text for t in ("Counts", "By day", "By currency", "By format", "Days")) and "| transactions | 1,000 |" in text
+
+
 def test_sample_with_accounts_and_patterns(spark, tmp_path):
     from tidewatch.sources.sinks import stratified_sample, write_sample
 
