@@ -231,3 +231,20 @@ def test_odd_urls(spark):
     rows = judge_urls(df).collect()
     assert len(rows) == 7 and {r.rule for r in rows if r.page_id == 3} == {"net/es/"} and [len(r.path) for r in rows if r.page_id == 1] == [400_001]
     assert len({(r.verdict, r.score) for r in rows if r.page_id == 2}) == 1
+
+
+def test_the_vocabulary_stops_at_its_ceiling(spark, make):
+    from dataclasses import replace
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(100)]
+    docs = make([" ".join(r.choice(words) for _ in range(60)) for _ in range(120)] + ["", None])
+    counts = lm.word_counts(docs)
+    small = lm.LmConfig(digits=(4, 4), classes=7, group_tokens=2000, marks=8)
+    free, held = lm.grown(small, counts), lm.grown(replace(small, most_tokens=64), counts)
+    assert free.size > 64 >= held.size > small.size
+    rows = lm.score_documents(docs, replace(small, most_tokens=64)).collect()
+    again = lm.score_documents(docs.repartition(3), replace(small, most_tokens=64)).collect()
+    assert sorted((x.doc_id, x.n_tokens, round(x.log_likelihood, 6)) for x in rows) == sorted((x.doc_id, x.n_tokens, round(x.log_likelihood, 6)) for x in again)
+    # every word has a probability of its own: a text of any 60 words is worth about the log of one in 100 a word, and none is free
+    assert all(-7 < x.per_token < -3 for x in rows if x.n_tokens)

@@ -26,6 +26,7 @@ from .textkernel import iter_endings
 @dataclass(frozen=True)
 class LmConfig:
     digits: tuple[int, int] = (64, 64)  # a token is one of 64 x 64 numbers, or of more: see grown; the first is a power of 2
+    most_tokens: int = 1 << 18  # as many numbers at most: with them go 50 MB of network and codes to a task, and 134 MB of neighbour counts to the driver
     classes: int = 1023  # the last numbers: classes of words beyond the vocabulary, by ending
     reach: int = 2
     hidden: int = 24
@@ -110,13 +111,16 @@ class Vocabulary:
 
 
 def grown(cfg: LmConfig, counts: DataFrame) -> LmConfig:
-    """cfg with room for every word that makes up half the root of all tokens or more: at most twice that root of words."""
+    """cfg with room for every word that makes up half the root of all tokens or more: at most twice that root of words, and most_tokens numbers in all.
+
+    Words beyond that room are not lost: they are rarer words, each with its own share of the counts of its class.
+    """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    need = counts.filter(F.col("n") >= total**0.5 / 2).count() + cfg.classes
+    need = min(counts.filter(F.col("n") >= total**0.5 / 2).count() + cfg.classes, cfg.most_tokens)
     if need <= cfg.size:
         return cfg
     high = 1 << round(math.log2(need) / 2)
-    return replace(cfg, digits=(high, -(-need // high)))
+    return replace(cfg, digits=(high, min(-(-need // high), cfg.most_tokens // high)))
 
 
 def vocabulary(counts: DataFrame, cfg: LmConfig) -> Vocabulary:
@@ -153,6 +157,9 @@ def tokenise(docs: DataFrame, vocab: Vocabulary, cfg: LmConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+RANGE_WORDS = 4_000_000  # 32 MB
+
+
 def within_classes(rare: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """slice, k and within: the sum of log(count of the word / count of its class) over a text's words beyond the vocabulary.
 
@@ -167,7 +174,9 @@ def within_classes(rare: DataFrame, counts: DataFrame, vocab: Vocabulary) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     totals = add_up(counts.select("word", "n", "ending").mapInArrow(class_sums, "part binary"))
-    ranges = max(256, int(totals.sum() ** 0.5 / 300))
+    # a range's share of what slices ask, and of the counts, stays about RANGE_WORDS words
+    asked_words = (rare.agg(F.sum(F.length("words"))).first()[0] or 0) // 8
+    ranges = min(1 << 22, max(256, -(-asked_words // RANGE_WORDS)))
     width = 2**64 // ranges + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +450,8 @@ def score_documents(docs: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
     Scores don't hang on how docs is partitioned.
 
     Scale: words of all texts are counted (a task passes on its distinct words only) and all tokens are trained on, in `rounds` parts of groups of
-    `group_tokens`; what comes together for each part is one sum of networks for each task, over three levels. The token table is two bytes a token and four more
+    `group_tokens`; what comes together for each part is one sum of networks for each task, over three levels. The vocabulary grows with the root of the
+    corpus up to most_tokens, which bounds the network, what is sent with tasks and what the driver holds. The token table is two bytes a token and four more
     for a word beyond the vocabulary; a slice of texts asks for the counts of its distinct such words.
     """
     scratch = Scratch(docs.sparkSession, "lm")
