@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import lm_scoring as lm
 from tidewatch.llm.quality import keep_good, score_quality
-from tidewatch.llm.toxicity import Voters, fit_label_model, score_toxicity
+from tidewatch.llm.toxicity import Voters, score_toxicity
 from tidewatch.llm.url_filter import FEATURES, RULES, TreeConfig, fit_trees, grow, judge_urls, lexical, with_rates
 
 SF = "/root/testdata/sf0.01"
@@ -59,42 +59,74 @@ def test_long_words_take_linear_time():
 
 
 def test_label_model_equals_plain_rounds(spark):
-    """The same rounds over all texts at once, voter by voter."""
+    """The same rounds over all texts at once, text by text and voter by voter; the objective never falls."""
+    from tidewatch.llm import toxicity as tox
+
     r = np.random.default_rng(5)
     toxic = r.random(3000) < 0.1
-    fired = (r.random((3000, 6)) < np.where(toxic[:, None], [0.6, 0.5, 0.3, 0.2, 0.05, 0.6], [0.01, 0.02, 0.001, 0.001, 0.04, 0.01])).astype(float)
+    fired = r.random((3000, 7)) < np.where(toxic[:, None], [0.6, 0.5, 0.3, 0.2, 0.05, 0.6, 0.5], [0.01, 0.02, 0.001, 0.001, 0.04, 0.01, 0.02])
     fired[:, 5] = np.where(r.random(3000) < 0.97, fired[:, 0], fired[:, 5])  # repeats the first
+    fired[:, 6] = np.where(r.random(3000) < 0.9, fired[:, 5], fired[:, 6])  # repeats the repeated one
     rows = [([int(k) for k in np.flatnonzero(f)], [1] * int(f.sum())) for f in fired]
-    model = fit_label_model(spark.createDataFrame(rows, "at array<int>, n array<int>").repartition(5), 6, 5)
-    prior, p1, p0, together = 0.05, np.full(6, 0.2), np.full(6, 0.002), np.zeros((6, 6))
-
-    def posterior(f):
-        odds = np.log(prior / (1 - prior))
-        for k in range(6):
-            if f[k]:
-                odds += np.log(p1[k] / p0[k]) / (1 + sum(together[j, k] for j in range(6) if f[j]))
-            else:
-                odds += np.log((1 - p1[k]) / (1 - p0[k]))
-        return 1 / (1 + np.exp(-odds))
-
-    for _ in range(5):
-        post = np.array([posterior(f) for f in fired])
-        n1 = post.sum()
-        both = np.array([[(post * fired[:, i] * fired[:, j]).sum() / n1 for j in range(6)] for i in range(6)])
-        yes, all_ = post @ fired, fired.sum(0)
-        q1, q0 = (yes + 0.02) / (n1 + 0.1), (all_ - yes + 0.001) / (3000 - n1 + 1)
-        prior, p1, p0 = n1 / 3000, np.maximum(q1, 3 * q0), q0
-        for i in range(6):
-            for j in range(6):
-                a, b = both[i, i], both[j, j]
-                c = (both[i, j] - a * b) / np.sqrt(a * (1 - a) * b * (1 - b))
-                together[i, j] = c if i != j and c > 0.6 else 0
-    assert together[0, 5] > 0.6 and np.count_nonzero(together) == 2
-    assert np.allclose([model.prior], [prior], rtol=1e-6) and np.allclose(model.toxic, p1, rtol=1e-6) and np.allclose(model.other, p0, rtol=1e-6) and np.allclose(model.together, together, atol=1e-9)
-    post = model.posterior(fired)
+    votes = spark.createDataFrame(rows, "at array<int>, n array<int>").repartition(5)
+    model, told = tox.fit_label_model(votes, 7, 9)
+    linked = {frozenset((k, int(q))) for k, q in enumerate(model.parent) if q >= 0}
+    assert linked <= {frozenset(x) for x in ((0, 5), (5, 6), (0, 6))} and len(linked) == 2
+    assert len(told) == 6 and all(b >= a - 1e-6 * abs(a) for a, b in zip(told, told[1:])) and told[-1] > told[0]
+
+    def joints(m):
+        out = np.zeros((len(fired), 2))
+        for t, f in enumerate(fired):
+            for c, (p, share) in enumerate(((m.toxic, m.prior), (m.other, 1 - m.prior))):
+                out[t, c] = np.log(share)
+                for k in range(7):
+                    q = p[k, int(m.parent[k] >= 0 and f[m.parent[k]])]
+                    out[t, c] += np.log(q if f[k] else 1 - q)
+        return out
+
+    def plain_round(m):
+        j = joints(m)
+        post = 1 / (1 + np.exp(j[:, 1] - j[:, 0]))
+        toxic, other = np.zeros((7, 2)), np.zeros((7, 2))
+        for k in range(7):
+            up = fired[:, m.parent[k]] if m.parent[k] >= 0 else np.zeros(len(fired), bool)
+            a1, n1, a0, n0 = ((w * (fired[:, k] & ~up)).sum() if hit else (w * ~up).sum() for w in (post, 1 - post) for hit in (True, False))
+            def objective(p1, p0, a1=a1, n1=n1, a0=a0, n0=n0):
+                return (a1 + 0.02) * np.log(p1) + (n1 - a1 + 0.08) * np.log1p(-p1) + (a0 + 0.001) * np.log(p0) + (n0 - a0 + 0.999) * np.log1p(-p0)
+            p1, p0 = (a1 + 0.02) / (n1 + 0.1), (a0 + 0.001) / (n0 + 1)
+            if p1 < 3 * p0:  # the best pair with the least ratio, by trying
+                grid = np.linspace(1e-6, 0.33, 400_001)
+                p0 = grid[np.argmax(objective(3 * grid, grid))]
+                p1 = 3 * p0
+            toxic[k], other[k] = np.clip(p1, 1e-5, 0.95), np.clip(p0, 1e-7, 0.3)
+            if m.parent[k] >= 0:
+                toxic[k, 1] = np.clip(((post * (fired[:, k] & up)).sum() + m.pooled[k]) / ((post * up).sum() + 1), 1e-4, 1 - 1e-4)
+                other[k, 1] = np.clip((((1 - post) * (fired[:, k] & up)).sum() + m.pooled[k]) / (((1 - post) * up).sum() + 1), 1e-4, 1 - 1e-4)
+        return tox.LabelModel(float(np.clip(post.mean(), 1e-4, 0.5)), toxic, other, m.parent, m.pooled), np.logaddexp(j[:, 0], j[:, 1]).sum() + m.log_prior()
+
+    for start in (tox.LabelModel.started(7), model):
+        (got, value), (want, plain) = tox.em_round(votes, start), plain_round(start)
+        assert abs(value - plain) < 1e-6 * abs(plain) and abs(got.prior - want.prior) < 1e-9
+        assert np.allclose(got.toxic, want.toxic, rtol=1e-4, atol=3e-6) and np.allclose(got.other, want.other, rtol=1e-4, atol=1e-6)
+    post = 1 / (1 + np.exp(np.diff(joints(model))[:, 0]))
     assert ((post > 0.5) == toxic).mean() > 0.93
 
 
+def test_any_number_of_stems_vote(spark):
+    from tidewatch.llm import toxicity as tox
+
+    letters = "abcdefghijklmnopqrst"
+    stems = [a + b + c + "zu" for a in letters for b in letters for c in "xyz"]  # 1,200 stems
+    r = random.Random(1)
+    rows = [(k, " ".join(r.sample(stems, 6))) for k in range(1500)] + [(2000 + k, " ".join(r.choice(["good", "plain", "words", "here"]) for _ in range(12))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 2000).cast("int").alias("toxic"))
+    found = tox.find_stems(docs.join(labels, "doc_id").select(F.col("toxic").alias("label"), "text"), tox.ToxicConfig(least_odds=10))
+    assert len(found) > 1000 and len(set(found)) == len(found) and not any(a != b and a.startswith(b) for a in found[:200] for b in found if not b.endswith("$"))
+    out = tox.score_toxicity(docs, labels, tox.ToxicConfig(least_odds=10, em_rounds=4)).join(labels, "doc_id")
+    assert out.filter("predicted <> toxic").count() < 30
+
+
 def small_network():
     cfg = lm.LmConfig(digits=(4, 4), classes=4, hidden=3, batch=8)
     net, r = lm.Network(cfg), np.random.default_rng(0)
