@@ -69,16 +69,24 @@ def edges(txns: DataFrame) -> DataFrame:
     return txns.filter(~F.col("is_self_transfer")).select("txn_id", "txn_ts", F.col("from_account_id").alias("src"), F.col("to_account_id").alias("dst"), "amount_usd", "is_laundering")
 
 
-def account_daily(edge: DataFrame) -> DataFrame:
-    """Flows of each account and active day, both sides; the largest amounts stay null where a side is absent."""
+def pair_days(edge: DataFrame) -> DataFrame:
+    """Both sides of every movement by account, counterparty and day: sent (or received), n, usd (a decimal) and largest.
 
-    def side(me: str, other: str, name: str) -> DataFrame:
-        return edge.groupBy(F.col(me).alias("account_id"), F.to_date("txn_ts").alias("day")).agg(F.count("*").alias(f"{name}_count"), usd_sum(F.col("amount_usd")).alias(f"{name}_usd"), F.max("amount_usd").alias(f"max_{name}_usd"), F.countDistinct(other).alias(f"{name}_distinct_counterparties"))
+    Counted before they are shuffled, once for all layers that count different counterparties: these are then mere counts of rows, by day or over
+    any days, and no account's counterparties are ever held together.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("account_id"), F.col("dst").alias("other"), F.lit(True).alias("sent")), F.struct(F.col("dst").alias("account_id"), F.col("src").alias("other"), F.lit(False).alias("sent"))))
+    rows = edge.select(ends.alias("e"), F.to_date("txn_ts").alias("day"), "amount_usd").select("e.*", "day", "amount_usd")
+    return rows.groupBy("account_id", "other", "sent", "day").agg(F.count("*").alias("n"), F.sum(exact(F.col("amount_usd"))).alias("usd"), F.max("amount_usd").alias("largest"))
 
-    both = side("src", "dst", "sent").join(side("dst", "src", "recv"), ["account_id", "day"], "full")
-    zero = [f"{s}_{c}" for s in ("sent", "recv") for c in ("count", "usd", "distinct_counterparties")]
-    names = ["account_id", "day"] + [c for s in ("sent", "recv") for c in (f"{s}_count", f"{s}_usd", f"max_{s}_usd", f"{s}_distinct_counterparties")]
-    return both.fillna(0, zero).select(*names)
+
+def account_daily(pairs: DataFrame) -> DataFrame:
+    """Flows of each account and active day, both sides, from pair_days; the largest amounts stay null where a side is absent."""
+    out = []
+    for name, mine in (("sent", F.col("sent")), ("recv", ~F.col("sent"))):
+        of = lambda c, mine=mine: F.when(mine, F.col(c))
+        out += [F.coalesce(F.sum(of("n")), F.lit(0)).alias(f"{name}_count"), F.coalesce(F.sum(of("usd")).cast("double"), F.lit(0.0)).alias(f"{name}_usd"), F.max(of("largest")).alias(f"max_{name}_usd"), F.count_if(mine).alias(f"{name}_distinct_counterparties")]
+    return pairs.groupBy("account_id", "day").agg(*out)
 
 
 def endpoints(txns: DataFrame) -> DataFrame:
@@ -92,13 +100,16 @@ def activity_days(txns: DataFrame) -> DataFrame:
     return endpoints(txns).groupBy("account_id", F.col("txn_date").alias("day"), "day_index").agg(F.count("*").alias("n_txns"), F.sum("is_laundering").alias("n_laundering_txns"))
 
 
-def account_profile(accounts: DataFrame, txns: DataFrame, edge: DataFrame) -> DataFrame:
-    """Every account, active or not, over the whole window. is_laundering_account is a label, never a feature."""
+def account_profile(accounts: DataFrame, txns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every account, active or not, over the whole window; its flows from pair_days. is_laundering_account is a label, never a feature."""
     act = endpoints(txns).groupBy("account_id").agg(F.min("txn_ts").alias("first_txn_ts"), F.max("txn_ts").alias("last_txn_ts"), F.countDistinct("txn_date").alias("active_days"), F.sum(F.col("is_self_transfer").cast("int")).alias("n_self_transfers"), F.sum("is_laundering").alias("n_laundering_txns"))
-    sent = edge.groupBy(F.col("src").alias("account_id")).agg(F.count("*").alias("n_sent"), usd_sum(F.col("amount_usd")).alias("sent_usd"), F.countDistinct("dst").alias("out_degree"))
-    got = edge.groupBy(F.col("dst").alias("account_id")).agg(F.count("*").alias("n_recv"), usd_sum(F.col("amount_usd")).alias("recv_usd"), F.countDistinct("src").alias("in_degree"))
+    flows = []
+    for name, degree, mine in (("sent", "out_degree", F.col("sent")), ("recv", "in_degree", ~F.col("sent"))):
+        flows += [F.sum(F.when(mine, F.col("n"))).alias(f"n_{name}"), F.sum(F.when(mine, F.col("usd"))).cast("double").alias(f"{name}_usd"), F.count_if(mine).alias(degree)]
+    each = pairs.groupBy("account_id", "other", "sent").agg(F.sum("n").alias("n"), F.sum("usd").alias("usd"))
+    flow = each.groupBy("account_id").agg(*flows)
     zero = ["active_days", "n_sent", "sent_usd", "out_degree", "n_recv", "recv_usd", "in_degree", "n_self_transfers", "n_laundering_txns"]
-    p = accounts.join(act, "account_id", "left").join(sent, "account_id", "left").join(got, "account_id", "left").fillna(0, zero)
+    p = accounts.join(act, "account_id", "left").join(flow, "account_id", "left").fillna(0, zero)
     return p.select("account_id", "bank_id", "bank_country", "entity_id", "entity_type", "first_txn_ts", "last_txn_ts", *zero, (F.col("n_laundering_txns") > 0).alias("is_laundering_account"))
 
 

@@ -21,8 +21,8 @@ class Pipeline:
     `keep` stores a frame that several others read (see stored and build); without it Spark plans each mart from the raw tables.
     """
 
-    TABLES = ("stg_transactions", "stg_accounts", "stg_patterns", "int_txn_enriched", "int_edges", "int_account_daily", "int_account_activity_days", "int_account_profile", "rule_fan_in_out", "rule_structuring", "rule_pass_through", "rule_cycles", "rule_baseline_anomaly", "rule_dummy_all", "rule_dummy_none", "fct_alerts", "fct_alerts_combined_headline", "fct_alerts_combined_all", "fct_account_split_label", "dim_account", "fct_transactions", "fct_alert_features", "fct_rule_performance", "fct_rule_pattern_recall", "fct_rule_threshold_sensitivity", "fct_rule_overlap")
-    SHARED = ("int_txn_enriched", "int_account_daily", "int_account_activity_days", "int_account_profile", "fct_alerts", "fct_account_split_label")
+    TABLES = ("stg_transactions", "stg_accounts", "stg_patterns", "int_txn_enriched", "int_edges", "int_pair_days", "int_account_daily", "int_account_activity_days", "int_account_profile", "rule_fan_in_out", "rule_structuring", "rule_pass_through", "rule_cycles", "rule_baseline_anomaly", "rule_dummy_all", "rule_dummy_none", "fct_alerts", "fct_alerts_combined_headline", "fct_alerts_combined_all", "fct_account_split_label", "dim_account", "fct_transactions", "fct_alert_features", "fct_rule_performance", "fct_rule_pattern_recall", "fct_rule_threshold_sensitivity", "fct_rule_overlap")
+    SHARED = ("int_txn_enriched", "int_pair_days", "int_account_daily", "int_account_activity_days", "int_account_profile", "fct_alerts", "fct_account_split_label")
 
     def __init__(self, raw: dict[str, DataFrame], params: Params = Params(), keep: Callable[[str, DataFrame], DataFrame] | None = None):
         self.raw, self.params, self.keep, self.keeps = raw, params, keep or (lambda name, df: df), keep is not None
@@ -55,9 +55,13 @@ class Pipeline:
     def int_edges(self) -> DataFrame:
         return layers.edges(self.int_txn_enriched)
 
+    @cached_property
+    def int_pair_days(self) -> DataFrame:
+        return self.keep("int_pair_days", layers.pair_days(self.int_edges))
+
     @cached_property
     def int_account_daily(self) -> DataFrame:
-        return self.keep("int_account_daily", layers.account_daily(self.int_edges))
+        return self.keep("int_account_daily", layers.account_daily(self.int_pair_days))
 
     @cached_property
     def int_account_activity_days(self) -> DataFrame:
@@ -65,7 +69,7 @@ class Pipeline:
 
     @cached_property
     def int_account_profile(self) -> DataFrame:
-        return self.keep("int_account_profile", layers.account_profile(self.stg_accounts, self.int_txn_enriched, self.int_edges))
+        return self.keep("int_account_profile", layers.account_profile(self.stg_accounts, self.int_txn_enriched, self.int_pair_days))
 
     @cached_property
     def rule_fan_in_out(self) -> DataFrame:
