@@ -36,7 +36,8 @@ class ForestConfig:
     coarse: float = 0.675  # least share of equal signature values between sets that are compared exactly: 5 deviations below 0.8
     first_trees: int = 4  # trees in which large nodes are compared before all others
     node_rows: int = 256  # signatures that one block of a trie holds
-    block_bytes: int = 8_000_000  # n-grams of a class that one block holds
+    block_bytes: int = 8_000_000  # n-grams of a class that one chunk of it holds
+    block_sets: int = 1000  # sets that it holds, whatever their size: a block counts all pairs of two chunks in one matrix
     seed: int = 5
 
     def missed(self, depth: int) -> float:
@@ -437,7 +438,7 @@ def classify(docs: DataFrame, cfg: ForestConfig = ForestConfig()) -> DataFrame:
 
     classes = coarse_classes(sets.filter("n > 0"), cfg, scratch)
     inside = classes.withColumnRenamed("component", "class_key").join(sets.select("sid", "fp", "row_key", "copies", "n"), "sid")
-    weight = inside.groupBy("class_key").agg(F.ceil(F.sum(F.col("n") * 8.0 + 64) / cfg.block_bytes).cast("int").alias("chunks"))
+    weight = inside.groupBy("class_key").agg(F.greatest(F.ceil(F.sum(F.col("n") * 8.0 + 64) / cfg.block_bytes), F.ceil(F.count("*") / cfg.block_sets)).cast("int").alias("chunks"))
     inside = scratch.table(inside.join(weight, "class_key").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")), "inside")
     grams = gram_sets(docs, inside.select("row_key"), cfg)
     blocks = _in_blocks(grams.join(inside, ["row_key", "fp"]).select("class_key", "chunks", "chunk", "sid", "copies", "grams"), "class_key", "0", "chunks")
