@@ -44,12 +44,12 @@ def may_close(edges: DataFrame, hours: int) -> DataFrame:
 
 
 def pruned(edges: DataFrame, hours: int, keep: Keep, most_rounds: int = 8) -> DataFrame:
-    """may_close until a round takes less than one edge in a hundred, or most_rounds times: each round is stored and counted."""
+    """may_close until a round takes less than one edge in ten, or most_rounds times: each round is stored and counted."""
     n = edges.count()
     for k in range(most_rounds):
         edges = keep(f"cycle_edges_{k}", may_close(edges, hours))
         left = edges.count()
-        if left > 0.99 * n:
+        if left > 0.9 * n:
             break
         n = left
     return edges
