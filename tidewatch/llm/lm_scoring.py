@@ -133,7 +133,7 @@ def vocabulary(counts: DataFrame, cfg: LmConfig) -> Vocabulary:
 def tokenise(docs: DataFrame, vocab: Vocabulary, cfg: LmConfig) -> DataFrame:
     """doc_id, key (a hash of the row), n_tokens and tokens of every whole text, and its place k in a slice of texts.
 
-    One more row a slice, with a null key, has the words beyond the vocabulary: their hashes (words, sorted), the place in it of each such token (at) and each text's first of these (first).
+    One more row a slice, with a null key, has the words beyond the vocabulary: how many different ones (n_tokens), their hashes (words, sorted), the place in it of each such token (at) and each text's first of these (first).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def tokenise(docs: DataFrame, vocab: Vocabulary, cfg: LmConfig) -> DataFrame:
                 none = pa.nulls(j - i, pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first), pa.int64()), cells, pa.array(np.full(j - i, slice_id)), pa.array(np.arange(j - i)), none, none, none], names)
                 packed = [own.tobytes(), at.astype(np.uint32).tobytes(), start.astype(np.int64).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([slice_id]), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(own)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([slice_id]), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names)
                 slice_id += 1
 
     schema = "doc_id long, key long, n_tokens long, tokens binary, slice long, k long, words binary, at binary, first binary"
@@ -175,7 +175,7 @@ def within_classes(rare: DataFrame, counts: DataFrame, vocab: Vocabulary) -> Dat
 
     totals = add_up(counts.select("word", "n", "ending").mapInArrow(class_sums, "part binary"))
     # a range's share of what slices ask, and of the counts, stays about RANGE_WORDS words
-    asked_words = (rare.agg(F.sum(F.length("words"))).first()[0] or 0) // 8
+    asked_words = rare.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = min(1 << 22, max(256, -(-asked_words // RANGE_WORDS)))
     width = 2**64 // ranges + 1
 
