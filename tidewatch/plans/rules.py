@@ -60,12 +60,12 @@ def structuring(txns: DataFrame, p: StructuringParams = StructuringParams()) ->
 
 def pass_through(edge: DataFrame, p: PassThroughParams = PassThroughParams()) -> DataFrame:
     """Money that soon leaves again to others than its sender; alert at the payment that completes the ratio, one for each account and day. Payments of no or less money don't count as forwarded."""
-    into = edge.filter(F.col("amount_usd") >= F.lit(float(p.min_amount_usd))).select(F.col("txn_id").alias("id"), F.col("dst").alias("account"), F.col("src").alias("party"), seconds(F.col("txn_ts")).alias("at"), F.col("amount_usd").alias("a_in"))
-    needs = into.withColumn("need", least_decimal(F.lit(float(p.forward_ratio)) * F.col("a_in")))
+    into = edge.filter(F.col("amount_usd") >= F.lit(float(p.min_amount_usd))).select(F.struct(F.col("dst").alias("account_id"), F.col("amount_usd").alias("a_in")).alias("id"), F.col("dst").alias("account"), F.col("src").alias("party"), seconds(F.col("txn_ts")).alias("at"))
+    needs = into.withColumn("need", least_decimal(F.lit(float(p.forward_ratio)) * F.col("id.a_in")))
     flows = edge.filter("amount_usd > 0").select(F.col("src").alias("account"), F.col("dst").alias("party"), seconds(F.col("txn_ts")).alias("at"), F.col("txn_id").alias("tie"), exact(F.col("amount_usd")).alias("amount"))
     reached = first_reaching(needs.filter("need > 0"), flows, p.window_hours)
     moment = F.timestamp_add("SECOND", F.col("at"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    hits = reached.select("id", moment.alias("alert_ts"), F.col("total").cast("double").alias("forwarded")).join(into.select("id", F.col("account").alias("account_id"), "a_in"), "id")
+    hits = reached.select("id.account_id", "id.a_in", moment.alias("alert_ts"), F.col("total").cast("double").alias("forwarded"))
     daily = hits.groupBy("account_id", F.to_date("alert_ts").alias("day")).agg(F.min("alert_ts").alias("alert_ts"), F.max(F.struct("forwarded", "a_in")).alias("best"))
     a_in, sent = F.col("best.a_in"), F.col("best.forwarded")
     return _alerts(daily, "rule_pass_through", sent, "pass-through: ", grouped(a_in), " USD received, ", grouped(sent), " USD (", plain(F.lit(100) * sent / a_in), f"%) forwarded to other accounts within {p.window_hours}h")
