@@ -65,6 +65,8 @@ def test_medians_equal_plain_ones(spark):
         held = [x for x in before if x is not None]
         want = statistics.median(held) if held else None
         assert got[k][0] == len(before) and (got[k][1] is None if want is None else abs(got[k][1] - want) < 1e-12)
+    near = spark.createDataFrame([("a", 1, 624.53), ("a", 2, 2732.47), ("a", 3, 0.0)], "key string, k int, x double")  # the lower plus half the distance is 1678.5000000000002
+    assert earlier_medians(near, ["key"], ["k"], "x").filter("k = 3").first().median_before == 1678.5
     long = spark.range(100_000).select(F.lit("one").alias("key"), "id", F.rand(1).alias("x"))
     began = time.time()
     assert earlier_medians(long, ["key"], ["id"], "x").agg(F.max("n_before")).first()[0] == 99_999 and time.time() - began < 30
