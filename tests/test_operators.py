@@ -29,6 +29,13 @@ def test_trailing_totals_equal_brute_force_and_frames(spark):
             assert got == want
 
 
+def test_trailing_totals_tell_parts_of_a_second_apart(spark):
+    rows = [("a", START + timedelta(microseconds=x), "u", 1.0) for x in (100, 900_000, 6 * 3_600_000_000 + 100, 6 * 3_600_000_000 + 101, 6 * 3_600_000_000 + 900_001)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, item string, usd double")
+    assert [(x.n, float(x.total)) for x in trailing_totals(df, ["k"], "ts", 6, "usd").orderBy("ts").collect()] == [(1, 1.0), (2, 2.0), (3, 3.0), (3, 3.0), (3, 3.0)]
+    assert [x.n for x in trailing_totals(df, ["k"], "ts", 6, "usd", "item").orderBy("ts").collect()] == [1] * 5
+
+
 def test_walks_equal_brute_force(spark):
     r = random.Random(9)
     rows = sorted({(r.choice("abcde"), r.choice("abcde"), START + timedelta(hours=r.randrange(60)), float(r.randrange(1, 9))) for _ in range(40)})
