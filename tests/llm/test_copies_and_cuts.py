@@ -61,6 +61,12 @@ def test_a_hot_text_is_sent_once_by_each_task(spark, make):
     assert all(x["count"] <= 4 for x in sent) and exact_duplicates(docs).filter("kept").count() == 2
 
 
+def test_query_has_the_columns_of_its_sql(spark):
+    from tidewatch.llm.exact_dedup import op11_exact_dedup
+
+    assert op11_exact_dedup(spark, "/root/testdata/sf0.001").columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
 @pytest.mark.parametrize("units", ["chars", "words"])
 def test_scan_equals_one_reader(units):
     r, auto = random.Random(1), automaton(units, SENTINELS)

@@ -142,4 +142,4 @@ def without_copies(docs: DataFrame, config: DedupConfig = DedupConfig()) -> Data
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read(spark, sf_dir, "documents"))
+    return exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
