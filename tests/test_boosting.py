@@ -94,6 +94,32 @@ def test_equal_to_a_plain_version(spark, params, seed):
         assert abs(np.sort(1 / (1 + np.exp(-margin))) - np.sort(scored["model_score"])).max() < 1e-9
 
 
+def test_splits_of_nodes_equal_those_of_the_plan(spark):
+    r = np.random.default_rng(3)
+    for gaps in (0.0, 0.2):
+        bins = np.where(r.random((400, 3)) < gaps, MISSING, r.integers(2, 9, (400, 3))).astype(np.uint8)
+        y = (bins[:, 0] + r.integers(0, 6, 400) > 8).astype(np.int32)
+        sums = boosting.node_sums([(bins, y, np.zeros((400, 1)))], [[0, 1, 2]], 3, [[]], [boosting.Tree()], [[1]])[0, 1].astype(np.int64).reshape(3, 3, 256)
+        cells = [(0, 1, f, b, *(int(x) for x in sums[:, f, b])) for f in range(3) for b in range(256) if sums[2, f, b]]
+        plan = boosting.split_gains(spark.createDataFrame(cells, "model int, node int, feature int, bin int, g long, h long, n long"), ["model", "node"], 20, 1.0)
+        want = max(plan.collect(), key=lambda x: (x.gain, -x.feature)).asDict()
+        assert boosting.best_split(sums, 20, 1.0) == {k: v for k, v in want.items() if k not in ("model", "node")}
+    assert boosting.best_split(sums, 300, 1.0) is None
+
+
+def test_a_pass_is_one_small_job(spark):
+    """Rows of a small table are read by one task a pass, those of a larger one by several, with the same model."""
+    x, y = made(900, 5)
+    rows = spark.createDataFrame([(int(t), *[None if np.isnan(c) else float(c) for c in v]) for v, t in zip(x, y)], "label int, a double, b double, c double, d double").repartition(6)
+    fits = [boosting.fit(rows, "label", {"m": ["a", "b", "c"]}, stored(spark), BoostParams(3, 0.3, 7, 20, store_every=2, block_rows=n))["m"] for n in (20_000, 250)]
+    assert fits[0].trees == fits[1].trees and fits[0].trees[0].splits
+    ids = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small passes", "")
+    boosting.fit(rows, "label", {"m": ["a", "b", "c"]}, stored(spark), BoostParams(3, 0.3, 7, 20))
+    jobs = [ids.getJobInfo(j) for j in ids.getJobIdsForGroup("small passes")]
+    assert sum(len(j.stageIds) == 1 for j in jobs) >= 6
+
+
 def test_odd_labels(spark):
     table = spark.createDataFrame([(1, 1.0), (1, None), (None, 3.0)], "label int, a double")
     for rows in (table, table.limit(0)):
