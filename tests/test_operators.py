@@ -10,7 +10,7 @@ from tidewatch.functions import hash_bucket
 from tidewatch.operators.ranked_metrics import average_precision, top_n_shared
 from tidewatch.operators.ranking import global_row_number
 from tidewatch.operators.trailing import trailing_totals, trailing_totals_by_frame
-from tidewatch.operators.walks import RowBudgetExceeded, closed_walks
+from tidewatch.operators.walks import RowBudgetExceeded, closed_walks, facing, half_walks, matched
 from tidewatch.sources.raw import parse_patterns, read_transactions
 from tidewatch.sources.sinks import markdown_table, rewrite_block, stratified_sample, write_sample
 
@@ -98,6 +98,35 @@ def test_walks_of_six_hops_and_budget(spark):
         closed_walks(df, 3, 6, 20, 2, keep)
 
 
+def test_only_half_walks_that_close_are_joined_whole(spark):
+    r = random.Random(5)
+    onward = [(f"n{k}", f"n{k + r.randrange(1, 4)}", START + timedelta(minutes=60 * k + r.randrange(60)), 5.0) for k in range(200) for _ in range(3)]  # no way leads back
+    loop = [(f"a{k}", f"a{(k + 1) % 6}", START + timedelta(hours=3 * k), 10.0 + k) for k in range(6)]
+    df = spark.createDataFrame(onward + loop, "src string, dst string, txn_ts timestamp_ntz, amount_usd double")
+    stored = {}
+
+    def keep(name, frame):
+        stored[name] = frame.persist()
+        return stored[name]
+
+    keep.kept = []
+    walks = half_walks(df.select("src", "dst", F.unix_seconds(F.col("txn_ts").cast("timestamp")).alias("at"), F.col("amount_usd").alias("usd")), 3, 20, 10**6, keep)
+    assert stored["walks_of_3_hops"].columns == ["start", "end", "first", "last"] and walks[3].count() > 500
+    near = facing(walks, 20)
+    assert near.count() < 20 and sorted(x.hops for x in matched(near, 3, 6, 20).collect()) == [3, 3]
+    got = closed_walks(df, 3, 6, 20, 10**6, keep).collect()
+    assert [(x.path, x.smallest) for x in got] == [(["a0", "a1", "a2", "a3", "a4", "a5"], 10.0)] and [x.count() for x in keep.kept] == [2]
+
+
+def test_loops_between_accounts_of_equal_hashes(spark):
+    same = spark.range(400_000).select(F.concat(F.lit("n"), "id").alias("a")).groupBy(F.hash("a").alias("h")).agg(F.collect_list("a").alias("both")).filter("size(both) > 1").first().both
+    path = [same[0], "p", same[1], "q"]
+    edges = [(path[k], path[(k + 1) % 4], START + timedelta(hours=k), 1.0 + k) for k in range(4)]
+    df = spark.createDataFrame(edges, "src string, dst string, txn_ts timestamp_ntz, amount_usd double")
+    got = closed_walks(df, 3, 4, 20, 100, lambda name, frame: frame.persist()).collect()
+    assert [(x.path, x.hops, x.smallest) for x in got] == [(path, 4, 1.0)]
+
+
 def test_top_n_shares_ties(spark):
     df = spark.createDataFrame([("m", s, y, e) for s, y, e in zip([2.0, 1.0, 1.0, 1.0, 1.0], [0, 1, 0, 0, 0], [True] * 5)], "method string, score double, label int, ok boolean")
     row = top_n_shared(df, ["method"], "score", "label", F.lit(3), F.col("ok")).first()
