@@ -81,6 +81,15 @@ def test_large_slots_are_numbered_in_lanes(make):
     assert sorted((x.doc_id, x.text) for x in rows) == [(k, "" if k < 500 else "a b") for k in range(520)]
 
 
+def test_texts_are_read_once_for_the_numbers(make, monkeypatch):
+    from tidewatch.llm import sharding
+
+    kept, keyed = [], sharding._keyed
+    monkeypatch.setattr(sharding, "_keyed", lambda docs, cfg, heavy, keep: kept.append(keep) or keyed(docs, cfg, heavy, keep))
+    assert assign_shards(make(["one", "two", None, "one"]), keep=["doc_id", "text"]).count() == 4
+    assert kept == [[], ["doc_id", "text"]]  # once for the map and the places, once for the rows themselves
+
+
 def test_hot_group_is_dealt(make):
     rows = assign_shards(make(["hot " * 50] * 400 + [f"t{k}" for k in range(100)])).collect()
     load = Counter()
