@@ -95,6 +95,18 @@ def test_cycles(spark):
         rules.cycles(e, profile, CycleParams(3, 5, 1000, 72, 50, row_budget=1))
 
 
+def test_stored_cycles_are_whole_beyond_the_row_budget(spark):
+    """17 half walks of three payments a payment of the test events: with 36 million a fixed number of walks stopped the query."""
+    rows = [(at(1, 8 + k), f"n{k}", f"n{(k + 1) % 6}", 5000.0 + k) for k in range(6)] + [(at(2, k), f"m{k}", f"m{(k + 1) % 3}", 3000.0) for k in range(3)]
+    e = edges(spark, rows)
+    profile = spark.createDataFrame([(x, 2, 2) for r in rows for x in r[1:2]], "account_id string, out_degree long, in_degree long")
+    kept = []
+    keep = lambda name, frame: kept.append(name) or frame.persist()
+    got = found(rules.cycles(e, profile, CycleParams(3, 6, 1000, 72, 50, row_budget=1), keep))
+    assert set(got) == {(f"n{k}", at(1, 13)) for k in range(6)} | {(f"m{k}", at(2, 2)) for k in range(3)}
+    assert "walks_of_2_hops" in kept and "walks_of_3_hops" not in kept  # what is read once is not stored
+
+
 def test_baseline(spark):
     days = {"A": [1000, 1200, 900, 1100, 9000], "B": [1000, 1200, 900, 1100, 4000], "C": [1000, 1200, 20000], "D": [100, 100, 100, 800], "E": [1000] * 4 + [10000, 1000], "Z": [0, 0, 0, 9000]}
     df = spark.createDataFrame([(a, at(k, 0).date(), float(x), 0.0) for a, xs in days.items() for k, x in enumerate(xs, 1)], "account_id string, day date, sent_usd double, recv_usd double")
