@@ -120,6 +120,20 @@ def test_a_pass_is_one_small_job(spark):
     assert sum(len(j.stageIds) == 1 for j in jobs) >= 6
 
 
+def test_rows_of_one_block_take_a_job_for_many_trees(spark):
+    x, y = made(600, 7)
+    rows = spark.createDataFrame([(int(t), float(np.nan_to_num(v[0])), float(np.nan_to_num(v[1]))) for v, t in zip(x, y)], "label int, a double, b double").coalesce(1)
+    ids, sets = spark.sparkContext.statusTracker(), {"two": ["a", "b"], "one": ["b"]}
+    spark.sparkContext.setJobGroup("one block", "")
+    models = boosting.fit(rows, "label", sets, stored(spark), BoostParams(24, 0.3, 5, 20))
+    assert len(ids.getJobIdsForGroup("one block")) < 24 and {len(m.trees) for m in models.values()} == {24}
+    spark.sparkContext.setJobGroup("small passes of others", "")
+    for least in (20, 280):  # of 600 rows no split of b leaves 280 on both sides, so that model stops first
+        fits = [boosting.fit(rows, "label", sets, stored(spark), BoostParams(4, 0.3, 5, least, store_every=3, block_rows=n)) for n in (20_000, 250)]
+        assert all(fits[0][name].trees == fits[1][name].trees for name in sets)
+    assert not any(t.splits for t in fits[0]["one"].trees) and fits[0]["two"].trees[0].splits
+
+
 def test_odd_labels(spark):
     table = spark.createDataFrame([(1, 1.0), (1, None), (None, 3.0)], "label int, a double")
     for rows in (table, table.limit(0)):
